@@ -83,20 +83,21 @@ def candidates(
     ``keys, i, j, w, expected_return, volatility, sharpe`` with ``w`` the share
     of ``i``.
     """
-    diagonal = cov.where(F.col("i") == F.col("j"))
-    v_i = diagonal.select(*keys, "i", F.col("cov").alias("v_i"))
-    v_j = diagonal.select(*keys, "j", F.col("cov").alias("v_j"))
-    m_i = mu.select(*keys, F.col("asset").alias("i"), F.col("mu").alias("m_i"))
-    m_j = mu.select(*keys, F.col("asset").alias("j"), F.col("mu").alias("m_j"))
+    variance_of = cov.where(F.col("i") == F.col("j")).select(*keys, F.col("i").alias("asset"), F.col("cov").alias("v"))
+    facts = mu.select(*keys, "asset", "mu").join(variance_of, [*keys, "asset"])
+
+    def of(leg: str) -> DataFrame:
+        return facts.select(
+            *keys, F.col("asset").alias(leg), F.col("mu").alias(f"m_{leg}"), F.col("v").alias(f"v_{leg}")
+        )
+
     share = F.when(F.col("i") == F.col("j"), F.array(F.lit(steps))).otherwise(
         F.sequence(F.lit(1), F.lit(steps - 1))
     )
     mixed = (
         cov.where(F.col("i") <= F.col("j"))
-        .join(v_i, [*keys, "i"])
-        .join(v_j, [*keys, "j"])
-        .join(m_i, [*keys, "i"])
-        .join(m_j, [*keys, "j"])
+        .join(of("i"), [*keys, "i"])
+        .join(of("j"), [*keys, "j"])
         .withColumn("step", F.explode(share))
         .withColumn("w", F.col("step") / steps)
     )

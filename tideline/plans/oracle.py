@@ -461,8 +461,8 @@ def oracle_sql() -> dict[str, str]:
         f"""select portfolio, {day('rebalance_date')} as rebalance_date, {rnd('sum(abs(neww - oldw))')} as turnover,
             count(*) filter (neww <> oldw) as n_changed
         from (
-          select portfolio, at as rebalance_date, asset, sum(n) as neww, sum(o) as oldw from (
-            select portfolio, rebalance_date as at, asset, weight as n, 0.0 as o from cw
+          select portfolio, due as rebalance_date, asset, sum(n) as neww, sum(o) as oldw from (
+            select portfolio, rebalance_date as due, asset, weight as n, 0.0 as o from cw
             union all
             select cw.portfolio, nxt, asset, 0.0, weight from cw
             join rd on rd.portfolio = cw.portfolio and rd.rebalance_date = cw.rebalance_date where nxt is not null)
@@ -472,7 +472,7 @@ def oracle_sql() -> dict[str, str]:
     )
     q["rebalanced_return"] = sql(
         f"""select portfolio, {day()} as date, {rnd('r')} as r,
-            {rnd('(product(1 + r) over (partition by portfolio order by date) - 1) * 100')} as cum_return
+            {rnd('sum(ln(1 + r)) over (partition by portfolio order by date)')} as log_growth
         from (
           select cw.portfolio, r.date, sum(weight * r.r) as r from cw
           join rd on rd.portfolio = cw.portfolio and rd.rebalance_date = cw.rebalance_date

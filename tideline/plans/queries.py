@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from tideline.operators import estimators, measure, optimize, panel, portfolio, rebalance, returns, rolling
 from tideline.operators.resample import resample
+from tideline.session import ensure_checkpoint_dir
 from tideline.sources.sheet import unpivot_pairs
 from tideline.sources.star import (
     MARKETS,
@@ -290,12 +291,12 @@ def resample_year(spark, sf_dir):
 # --- estimators ----------------------------------------------------------------
 
 
-def shrunk_cov(spark, sf_dir) -> DataFrame:
-    return estimators.ledoit_wolf_cov(market_returns(spark, sf_dir), n_blocks=ONE_BLOCK)
+def shrunk_cov(r: DataFrame) -> DataFrame:
+    return estimators.ledoit_wolf_cov(r, n_blocks=ONE_BLOCK)
 
 
-def expected_returns(spark, sf_dir) -> DataFrame:
-    return estimators.ewm_mean_return(market_returns(spark, sf_dir), as_of=PANEL_END)
+def expected_returns(r: DataFrame) -> DataFrame:
+    return estimators.ewm_mean_return(r, as_of=PANEL_END)
 
 
 @query()
@@ -315,12 +316,12 @@ def cov_ewm(spark, sf_dir):
 
 @query()
 def cov_ledoit_wolf(spark, sf_dir):
-    return shrunk_cov(spark, sf_dir)
+    return shrunk_cov(market_returns(spark, sf_dir))
 
 
 @query()
 def mu_ewm(spark, sf_dir):
-    return expected_returns(spark, sf_dir)
+    return expected_returns(market_returns(spark, sf_dir))
 
 
 @query()
@@ -337,19 +338,23 @@ def near_duplicates(spark, sf_dir):
 # --- portfolios ----------------------------------------------------------------
 
 
-def universes(mu: DataFrame, cov: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split the markets by line status; each status is one universe."""
+def stored(estimate: DataFrame) -> DataFrame:
+    """Write an estimate to the checkpoint folder before it is used several times over."""
+    ensure_checkpoint_dir(estimate.sparkSession)
+    return estimate.checkpoint()
+
+
+def universes(r: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Estimates of the markets of each line status; each status is one universe."""
+    cov = stored(shrunk_cov(r)).withColumn("universe", F.substring_index("i", "_", -1))
     return (
-        mu.withColumn("universe", F.substring_index("asset", "_", -1)),
-        cov.withColumn("universe", F.substring_index("i", "_", -1)).where(
-            F.col("universe") == F.substring_index("j", "_", -1)
-        ),
+        expected_returns(r).withColumn("universe", F.substring_index("asset", "_", -1)),
+        cov.where(F.col("universe") == F.substring_index("j", "_", -1)),
     )
 
 
-def scored_candidates(spark, sf_dir) -> DataFrame:
-    mu, cov = universes(expected_returns(spark, sf_dir), shrunk_cov(spark, sf_dir))
-    return portfolio.candidates(mu, cov, ("universe",))
+def scored_candidates(r: DataFrame) -> DataFrame:
+    return portfolio.candidates(*universes(r), ("universe",))
 
 
 @query(5)
@@ -381,21 +386,22 @@ def portfolio_value(spark, sf_dir):
 
 @query()
 def portfolio_performance(spark, sf_dir):
-    return portfolio.performance(all_weights(spark), expected_returns(spark, sf_dir), shrunk_cov(spark, sf_dir))
+    r = market_returns(spark, sf_dir)
+    return portfolio.performance(all_weights(spark), expected_returns(r), shrunk_cov(r))
 
 
 @query()
 def frontier_points(spark, sf_dir):
-    return portfolio.frontier_points(scored_candidates(spark, sf_dir), ("universe",))
+    return portfolio.frontier_points(scored_candidates(market_returns(spark, sf_dir)), ("universe",))
 
 
 @query()
 def best_candidate(spark, sf_dir):
-    return portfolio.best_candidates(scored_candidates(spark, sf_dir), ("universe",))
+    return portfolio.best_candidates(scored_candidates(market_returns(spark, sf_dir)), ("universe",))
 
 
 def _solved(spark, sf_dir, *objectives: str) -> DataFrame:
-    mu, cov = universes(expected_returns(spark, sf_dir), shrunk_cov(spark, sf_dir))
+    mu, cov = universes(market_returns(spark, sf_dir))
     return optimize.solve_weights(mu, cov, ("universe",), objectives)
 
 
@@ -411,7 +417,7 @@ def weights_min_vol(spark, sf_dir):
 
 @query()
 def efficient_frontier(spark, sf_dir):
-    mu, cov = universes(expected_returns(spark, sf_dir), shrunk_cov(spark, sf_dir))
+    mu, cov = universes(market_returns(spark, sf_dir))
     points = optimize.solve_weights(mu, cov, ("universe",), ("frontier",))
     return portfolio.performance(points, mu, cov, ("universe",))
 
@@ -463,19 +469,19 @@ def iqr_by_frequency(spark, sf_dir):
 # --- rebalancing -------------------------------------------------------------------
 
 
-def estimates_by_rebalance(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    r = market_returns(spark, sf_dir)
-    dates = rebalance.rebalance_dates(prices(spark, sf_dir))
-    mu = rebalance.dated(estimators.ewm_mean_by_period(r), dates)
-    cov = rebalance.dated(estimators.ledoit_wolf_by_period(r, n_blocks=ONE_BLOCK), dates)
-    return mu, cov
+def mu_as_of(r: DataFrame) -> DataFrame:
+    return rebalance.dated(estimators.ewm_mean_by_period(r), rebalance.rebalance_dates(r))
 
 
-def candidate_weights_by_rebalance(spark, sf_dir) -> DataFrame:
+def cov_as_of(r: DataFrame) -> DataFrame:
+    by_quarter = estimators.ledoit_wolf_by_period(r, n_blocks=ONE_BLOCK)
+    return rebalance.dated(by_quarter, rebalance.rebalance_dates(r))
+
+
+def candidate_weights_by_rebalance(r: DataFrame) -> DataFrame:
     keys = ("rebalance_date",)
-    mu, cov = estimates_by_rebalance(spark, sf_dir)
-    chosen = portfolio.best_candidates(portfolio.candidates(mu, cov, keys), keys)
-    return portfolio.candidate_weights(chosen, keys)
+    scored = portfolio.candidates(mu_as_of(r), stored(cov_as_of(r)), keys)
+    return stored(portfolio.candidate_weights(portfolio.best_candidates(scored, keys), keys))
 
 
 @query()
@@ -485,27 +491,29 @@ def rebalance_dates(spark, sf_dir):
 
 @query()
 def mu_by_rebalance(spark, sf_dir):
-    return estimates_by_rebalance(spark, sf_dir)[0]
+    return mu_as_of(market_returns(spark, sf_dir))
 
 
 @query()
 def cov_by_rebalance(spark, sf_dir):
-    return estimates_by_rebalance(spark, sf_dir)[1]
+    return cov_as_of(market_returns(spark, sf_dir))
 
 
 @query(5)
 def weights_by_rebalance(spark, sf_dir):
-    mu, cov = estimates_by_rebalance(spark, sf_dir)
-    return portfolio.clean_weights(optimize.solve_weights(mu, cov, ("rebalance_date",)))
+    r = market_returns(spark, sf_dir)
+    return portfolio.clean_weights(optimize.solve_weights(mu_as_of(r), cov_as_of(r), ("rebalance_date",)))
 
 
 @query()
 def rebalance_turnover(spark, sf_dir):
-    return rebalance.turnover(candidate_weights_by_rebalance(spark, sf_dir))
+    return rebalance.turnover(candidate_weights_by_rebalance(market_returns(spark, sf_dir)))
 
 
 @query()
 def rebalanced_return(spark, sf_dir):
-    weights = candidate_weights_by_rebalance(spark, sf_dir)
-    return rebalance.rebalanced_return(market_returns(spark, sf_dir), weights, PANEL_END)
+    r = market_returns(spark, sf_dir)
+    held = rebalance.rebalanced_return(r, candidate_weights_by_rebalance(r), PANEL_END)
+    # The fixture's prices swing so much that compounded returns only fit a log scale.
+    return held.select("portfolio", "date", "r", F.log1p(F.col("cum_return") / 100).alias("log_growth"))
 
