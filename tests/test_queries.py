@@ -1,6 +1,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -35,10 +36,14 @@ def test_entry_has_rows_and_a_stable_schema(spark):
     "name", ["unpivot_pairs", "series_quality", "rolling_std", "rolling_kurtosis", "cov_ledoit_wolf", "portfolio_summary", "mu_by_rebalance"]
 )
 def test_query_equals_its_sql(spark, db, name):
-    df = entry.queries()[name](spark, SF_DIR)
-    columns = sorted(df.columns)
-    result = db.execute(entry.oracle_sql()[name])
-    names = [d[0] for d in result.description]
-    assert sorted(names) == columns
-    expected = sorted(str(tuple(row[names.index(c)] for c in columns)) for row in result.fetchall())
-    assert sorted(str(tuple(row[c] for c in columns)) for row in df.collect()) == expected
+    got = entry.queries()[name](spark, SF_DIR).toPandas()
+    expected = db.execute(entry.oracle_sql()[name]).df()
+    assert sorted(got.columns) == sorted(expected.columns)
+    floats = [c for c in got.columns if got[c].dtype == "float64"]
+    keys = [c for c in got.columns if c not in floats]
+    got, expected = (df.sort_values(keys, ignore_index=True) for df in (got, expected))
+    for c in keys:
+        assert list(got[c]) == list(expected[c]), c
+    for c in floats:
+        # Sparse windows give exact fractions, whose last rounded digit may fall either way.
+        np.testing.assert_allclose(got[c], expected[c].astype(float), atol=1.01e-4, err_msg=c)
