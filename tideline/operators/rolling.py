@@ -5,13 +5,12 @@ A frame of ``k`` days is right-closed: it holds the days ``(t - k, t]``.
 Spark re-evaluates a sliding frame from scratch for every row, which costs
 rows x frame. Two shapes avoid that here:
 
-* mean and standard deviation come from running sums: the sum over a frame is
-  the running sum at its end minus the running sum at the last expired row, and
-  both start at the beginning of the partition, which Spark updates
-  incrementally inside the JVM;
-* quantiles, extremes and the third and fourth moments have no such difference
-  form (or lose their digits in it), so each series goes through one
-  Arrow-batched grouped call that updates its frame row by row.
+* means come from running sums: the sum over a frame is the running sum at its
+  end minus the running sum at the last expired row, and both start at the
+  beginning of the partition, which Spark updates incrementally inside the JVM;
+* quantiles and extremes have no such difference form, and the second to fourth
+  moments lose their digits in it once a large value has left the frame. Those
+  go through one Arrow-batched grouped call per series.
 
 Everything is partitioned by the same keys, so a full feature table needs one
 shuffle.
@@ -34,12 +33,11 @@ KEYS = ("asset",)
 
 
 class MeanFrame(NamedTuple):
-    """Output columns for the mean and the sample std of one column and frame."""
+    """Output column for the mean of one column and frame."""
 
     column: str
     days: int
-    mean: str | None = None
-    std: str | None = None
+    output: str
 
 
 class ShapeFrame(NamedTuple):
@@ -47,7 +45,7 @@ class ShapeFrame(NamedTuple):
 
     ``outputs`` maps an output column to ``("quantile", p)``,
     ``("spread", low, high)`` - the difference of two quantiles, where 0 and 1
-    are the extremes - ``("skew",)`` or ``("kurt",)``.
+    are the extremes - ``("std",)``, ``("skew",)`` or ``("kurt",)``.
     """
 
     column: str
@@ -55,68 +53,71 @@ class ShapeFrame(NamedTuple):
     outputs: Mapping[str, tuple]
 
 
-def rolling_mean_std(df: DataFrame, frames: Sequence[MeanFrame], keys: Sequence[str] = KEYS) -> DataFrame:
-    """Add rolling means and sample standard deviations.
-
-    Values are centred by the mean of their partition before they are squared.
-    A frame whose values are all equal is recognised exactly, by the length of
-    the current run of equal values, and gets std 0.
-    """
+def rolling_mean(df: DataFrame, frames: Sequence[MeanFrame], keys: Sequence[str] = KEYS) -> DataFrame:
+    """Add rolling means; values are centred by the mean of their partition before they are summed."""
     time = by_time(*keys)
     upto = time.rowsBetween(Window.unboundedPreceding, 0)
-    before = time.rowsBetween(Window.unboundedPreceding, -1)
     whole = time.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    kept, zero = df.columns, F.lit(0.0)
-    spread = {f.column for f in frames if f.std}
-
-    seen, runs, powers, running, sums, results = {}, {}, {}, {}, {}, {}
-    for x in dict.fromkeys(f.column for f in frames):
-        seen[f"_c_{x}"] = F.avg(x).over(whole)
-        seen[f"_n_{x}"] = F.count(x).over(upto)
-        powers[f"_z_{x}"] = F.col(x) - F.col(f"_c_{x}")
-        running[f"_s_{x}"] = F.sum(f"_z_{x}").over(upto)
-        if x in spread:
-            seen[f"_prev_{x}"] = F.last(x, ignorenulls=True).over(before)
-            fresh = F.col(x).isNotNull() & ~F.col(x).eqNullSafe(F.col(f"_prev_{x}"))
-            runs[f"_run_{x}"] = F.max(F.when(fresh, F.col(f"_n_{x}"))).over(upto)
-            powers[f"_zz_{x}"] = F.col(f"_z_{x}") * F.col(f"_z_{x}")
-            running[f"_ss_{x}"] = F.sum(f"_zz_{x}").over(upto)
+    columns = dict.fromkeys(f.column for f in frames)
+    centre = {f"_c_{x}": F.avg(x).over(whole) for x in columns}
+    shifted = {f"_z_{x}": F.col(x) - F.col(f"_c_{x}") for x in columns}
+    sums = {f"_s_{x}": F.sum(f"_z_{x}").over(upto) for x in columns}
+    counts = {f"_n_{x}": F.count(x).over(upto) for x in columns}
+    results = []
     for k, f in enumerate(frames):
-        x, expired = f.column, time.rangeBetween(Window.unboundedPreceding, -f.days)
-        running[f"_en_{k}"] = F.count(x).over(expired)
-        running[f"_e_{k}"] = F.sum(f"_z_{x}").over(expired)
-        sums[f"_n_{k}"] = F.col(f"_n_{x}") - F.col(f"_en_{k}")
-        sums[f"_f_{k}"] = F.col(f"_s_{x}") - F.coalesce(f"_e_{k}", zero)
-        n, total = F.col(f"_n_{k}"), F.col(f"_f_{k}")
-        if f.mean:
-            results[f.mean] = F.when(n > 0, F.col(f"_c_{x}") + total / n)
-        if f.std:
-            running[f"_ee_{k}"] = F.sum(f"_zz_{x}").over(expired)
-            squares = F.col(f"_ss_{x}") - F.coalesce(f"_ee_{k}", zero)
-            flat = F.col(f"_n_{x}") - F.col(f"_run_{x}") + 1 >= n
-            variance = F.greatest(squares - total * total / n, zero) / (n - 1)
-            results[f.std] = F.when(n >= 2, F.when(flat, zero).otherwise(F.sqrt(variance)))
-    out = df.withColumns(seen)
-    if runs:
-        out = out.withColumns(runs)
-    out = out.withColumns({name: c for name, c in powers.items() if name.startswith("_z_")})
-    for stage in (powers, running, sums):
-        out = out.withColumns({name: c for name, c in stage.items() if name not in out.columns})
-    return out.select(*kept, *(c.alias(name) for name, c in results.items()))
+        expired = time.rangeBetween(Window.unboundedPreceding, -f.days)
+        sums[f"_e_{k}"] = F.sum(f"_z_{f.column}").over(expired)
+        counts[f"_en_{k}"] = F.count(f.column).over(expired)
+        n = F.col(f"_n_{f.column}") - F.col(f"_en_{k}")
+        total = F.col(f"_s_{f.column}") - F.coalesce(f"_e_{k}", F.lit(0.0))
+        results.append(F.when(n > 0, F.col(f"_c_{f.column}") + total / n).alias(f.output))
+    return df.withColumns(centre).withColumns(shifted).withColumns(sums | counts).select(*df.columns, *results)
 
 
 def _shape_of_series(frames: list[tuple]) -> Callable:
     """Per-series helper; self-contained so that executors need no import of this package."""
 
+    # How far a value may lie from the rest, in units of a frame's spread, before
+    # the incrementally updated moment loses digits and is taken again directly.
+    reach_limit = {"std": 1000, "skew": 80, "kurt": 30}
+
+    def directly(np, kind, values, first, rows):
+        """Moments of the frames ``first[i] .. i`` of some rows, each centred by its own mean."""
+        out = np.empty(len(rows))
+        width = int((rows - first[rows]).max()) + 1
+        padded = np.concatenate([np.full(width - 1, np.nan), values])
+        windows = np.lib.stride_tricks.sliding_window_view(padded, width)
+        age = np.arange(width - 1, -1, -1)
+        batch = max(1, 250_000 // width)
+        for at in range(0, len(rows), batch):
+            part = rows[at : at + batch]
+            held = (age <= (part - first[part])[:, None]) & ~np.isnan(windows[part])
+            n = held.sum(axis=1)
+            x = np.where(held, windows[part], 0.0)
+            d = np.where(held, x - (x.sum(axis=1) / np.maximum(n, 1))[:, None], 0.0)
+            m2 = (d * d).sum(axis=1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                if kind == "std":
+                    got = np.where(n >= 2, np.sqrt(m2 / (n - 1)), np.nan)
+                elif kind == "skew":
+                    got = np.where(n >= 3, n * np.sqrt(n - 1) / (n - 2) * (d**3).sum(axis=1) / m2**1.5, np.nan)
+                else:
+                    excess = n * (d**4).sum(axis=1) / m2**2 - 3
+                    got = np.where(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * excess + 6), np.nan)
+            out[at : at + batch] = got
+        return out
+
     def add_columns(pdf):
         import numpy as np
         import pandas as pd
 
         pdf = pdf.sort_values("n", ignore_index=True)
+        day = pdf["n"].to_numpy()
         clock = pd.to_datetime(pdf["n"], unit="D")
         added = {}
         for column, days, outputs in frames:
-            series = pd.Series(pdf[column].to_numpy(dtype=float), index=clock)
+            values = pdf[column].to_numpy(dtype=float)
+            series = pd.Series(values, index=clock)
             frame = series.expanding() if days is None else series.rolling(f"{days}D")
             level = {}
 
@@ -126,15 +127,28 @@ def _shape_of_series(frames: list[tuple]) -> Callable:
                     level[p] = found.to_numpy()
                 return level[p]
 
+            centred = values - np.nanmean(values) if np.isfinite(values).any() else values
+            around = pd.Series(centred, index=clock)
+            around = around.expanding() if days is None else around.rolling(f"{days}D")
+            first = np.zeros(len(day), int) if days is None else np.searchsorted(day, day - days, "right")
+            reach = np.fmax.accumulate(np.nan_to_num(np.abs(centred)))
             for name, (kind, *p) in outputs.items():
                 if kind == "quantile":
                     added[name] = quantile(p[0])
                 elif kind == "spread":
                     added[name] = quantile(p[1]) - quantile(p[0])
                 else:
-                    # A frame of equal values has no shape.
-                    moment = (frame.skew() if kind == "skew" else frame.kurt()).to_numpy()
-                    added[name] = np.where(quantile(0) == quantile(1), np.nan, moment)
+                    flat = quantile(0) == quantile(1)
+                    if "std" not in level:
+                        level["std"] = around.std().to_numpy()
+                    spread = level["std"]
+                    got = spread if kind == "std" else (around.skew() if kind == "skew" else around.kurt()).to_numpy()
+                    rows = np.flatnonzero(~flat & ~np.isnan(spread) & (reach > reach_limit[kind] * spread))
+                    # A frame of equal values has no spread and no shape.
+                    got = np.where(flat, np.where(np.isnan(spread) | (kind != "std"), np.nan, 0.0), got)
+                    if len(rows):
+                        got[rows] = directly(np, kind, values, first, rows)
+                    added[name] = got
         return pdf.assign(**added)
 
     return add_columns
@@ -172,28 +186,13 @@ def in_slices(
     return step(copies, (*keys, "slice")).where(F.col("slice") == own).drop("slice")
 
 
-def return_mean_frames(
-    lags: Mapping[str, int], stats: Sequence[str] = ("mean", "std"), std_5yr_horizon: str = "3yr"
-) -> list[MeanFrame]:
-    """The ``SMA`` and ``STD`` columns of the feature table.
-
-    ``STD_5yr_Return`` measures the five-year return over the three-year frame
-    by default, as the original study does.
-    """
-    frames = []
-    for h, days in lags.items():
-        x = f"Return_{h}"
-        mean = f"SMA_{h}_Return" if "mean" in stats else None
-        std = f"STD_{h}_Return" if "std" in stats else None
-        std_days = lags.get(std_5yr_horizon, days) if h == "5yr" else days
-        if std_days == days:
-            frames.append(MeanFrame(x, days, mean, std))
-        else:
-            frames += [MeanFrame(x, d, m, s) for d, m, s in ((days, mean, None), (std_days, None, std)) if m or s]
-    return frames
+def return_mean_frames(lags: Mapping[str, int]) -> list[MeanFrame]:
+    """The ``SMA`` columns of the feature table."""
+    return [MeanFrame(f"Return_{h}", days, f"SMA_{h}_Return") for h, days in lags.items()]
 
 
 SHAPE_FAMILIES = {
+    "std": {"STD_{}_Return": ("std",)},
     "quantile": {f"Quantile_{{}}_{round(p * 100)}": ("quantile", p) for p in (0.1, 0.5, 0.9)},
     "iqr": {"IQR_{}": ("spread", 0.25, 0.75)},
     "skew": {"Skew_{}": ("skew",)},
@@ -202,16 +201,21 @@ SHAPE_FAMILIES = {
 }
 
 
-def return_shape_frames(lags: Mapping[str, int], families: Sequence[str] = tuple(SHAPE_FAMILIES)) -> list[ShapeFrame]:
-    """The quantile, interquartile-range, skewness, kurtosis and range columns of the feature table."""
-    return [
-        ShapeFrame(
-            f"Return_{h}",
-            days,
-            {name.format(h): how for family in families for name, how in SHAPE_FAMILIES[family].items()},
-        )
-        for h, days in lags.items()
-    ]
+def return_shape_frames(
+    lags: Mapping[str, int], families: Sequence[str] = tuple(SHAPE_FAMILIES), std_5yr_horizon: str = "3yr"
+) -> list[ShapeFrame]:
+    """The std, quantile, interquartile-range, skewness, kurtosis and range columns of the feature table.
+
+    ``STD_5yr_Return`` measures the five-year return over the three-year frame
+    by default, as the original study does.
+    """
+    outputs: dict[tuple[str, int], dict[str, tuple]] = {}
+    for h, days in lags.items():
+        for family in families:
+            shifted = family == "std" and h == "5yr"
+            frame = outputs.setdefault((f"Return_{h}", lags.get(std_5yr_horizon, days) if shifted else days), {})
+            frame |= {name.format(h): how for name, how in SHAPE_FAMILIES[family].items()}
+    return [ShapeFrame(column, days, wanted) for (column, days), wanted in outputs.items()]
 
 
 EXPANDING_QUANTILES = ShapeFrame(
@@ -260,6 +264,7 @@ def extract_features(panel: DataFrame, trading_days: int = 252, std_5yr_horizon:
     """The full feature table: price plus 69 return and risk columns per asset and day."""
     lags = horizons(trading_days)
     base = lagged_returns(cumulative_return(daily_returns(panel)), lags)
-    means = rolling_mean_std(expanding_moments(base), return_mean_frames(lags, std_5yr_horizon=std_5yr_horizon))
-    shaped = shape_statistics(means.drop("px"), [*return_shape_frames(lags), EXPANDING_QUANTILES])
+    means = rolling_mean(expanding_moments(base), return_mean_frames(lags))
+    frames = [*return_shape_frames(lags, std_5yr_horizon=std_5yr_horizon), EXPANDING_QUANTILES]
+    shaped = shape_statistics(means.drop("px"), frames)
     return shaped.select("asset", "date", "price", *feature_columns(lags))

@@ -192,28 +192,24 @@ def multi_period_return(spark, sf_dir):
 # --- rolling and expanding features --------------------------------------------
 
 
-def _means(spark, sf_dir, stat: str) -> DataFrame:
-    df, lags = _lagged(spark, sf_dir)
-    frames = rolling.return_mean_frames(lags, (stat,))
-    return rolling.rolling_mean_std(df, frames).select("asset", "date", *(f.mean or f.std for f in frames))
-
-
 def _shapes(spark, sf_dir, *families: str) -> DataFrame:
     df, lags = _lagged(spark, sf_dir)
     frames = rolling.return_shape_frames(lags, families)
     # Only what the frames read is handed to Python.
-    lean = df.select("asset", "date", "n", *(f.column for f in frames))
+    lean = df.select("asset", "date", "n", *dict.fromkeys(f.column for f in frames))
     return rolling.shape_statistics(lean, frames).select("asset", "date", *(name for f in frames for name in f.outputs))
 
 
 @query()
 def rolling_mean(spark, sf_dir):
-    return _means(spark, sf_dir, "mean")
+    df, lags = _lagged(spark, sf_dir)
+    frames = rolling.return_mean_frames(lags)
+    return rolling.rolling_mean(df, frames).select("asset", "date", *(f.output for f in frames))
 
 
 @query()
 def rolling_std(spark, sf_dir):
-    return _means(spark, sf_dir, "std")
+    return _shapes(spark, sf_dir, "std")
 
 
 @query()
