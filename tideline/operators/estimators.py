@@ -98,8 +98,9 @@ def shrink_constant_correlation(
     """Ledoit-Wolf shrinkage towards constant correlation, from raw pair sums.
 
     ``sums`` holds both triangles with the sums of :data:`SHRINKAGE_POWERS` over
-    complete rows. Returns ``keys, i, j, cov, delta``: the shrunk covariance and
-    the shrinkage intensity, which is one figure per ``keys`` group.
+    complete rows; ``keys`` are estimation dates or periods. Returns
+    ``keys, i, j, cov, delta``: the shrunk covariance and the shrinkage
+    intensity, which is one figure per group.
     """
     n = F.col(moment_name(0, 0))
 
@@ -141,7 +142,8 @@ def shrink_constant_correlation(
     group = group.select(
         *keys, "r_bar", F.least(F.greatest(F.coalesce(delta, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("delta")
     )
-    joined = centred.join(group, list(keys)) if keys else _beside(centred, group)
+    # One row per group of matrices: the groups are estimation dates, bounded by the calendar.
+    joined = centred.join(F.broadcast(group), list(keys)) if keys else _beside(centred, group)
     target = F.when(F.col("i") == F.col("j"), s).otherwise(F.coalesce(r_bar * scale, F.lit(0.0)))
     shrunk = F.col("delta") * target + (1 - F.col("delta")) * s
     return joined.select(*keys, "i", "j", (shrunk * frequency).alias("cov"), "delta")

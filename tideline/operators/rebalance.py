@@ -17,8 +17,11 @@ def rebalance_dates(panel: DataFrame, freq: str = "quarterly") -> DataFrame:
 
 
 def dated(estimates: DataFrame, dates: DataFrame) -> DataFrame:
-    """Replace the period number of per-period estimates by its rebalance date."""
-    return estimates.join(dates, "period").drop("period")
+    """Replace the period number of per-period estimates by its rebalance date.
+
+    There is one date per calendar period, few enough to broadcast.
+    """
+    return estimates.join(F.broadcast(dates), "period").drop("period")
 
 
 def _validity(weights: DataFrame) -> DataFrame:

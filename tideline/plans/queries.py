@@ -371,7 +371,7 @@ def clean_weights(spark, sf_dir):
         .groupBy(F.format_string("S%08d", "l_suppkey").alias("asset"))
         .agg(F.sum("l_extendedprice").alias("spent"))
     )
-    total = table(spark, sf_dir, "lineitem").agg(F.sum("l_extendedprice").alias("t")).select("t").scalar()
+    total = spent.agg(F.sum("spent").alias("t")).select("t").scalar()
     return portfolio.clean_weights(spent.select("asset", (F.col("spent") / total).alias("weight")))
 
 
