@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.operators.portfolio import RISK_FREE
-from tideline.session import ensure_checkpoint_dir
+from tideline.session import has_checkpoint_dir
 
 OBJECTIVES = ("max_sharpe", "min_vol")
 DENSE_LIMIT = 1000
@@ -159,7 +159,8 @@ def solve_large(
     """
     if objective not in OBJECTIVES:
         raise ValueError(f"objective must be one of {OBJECTIVES}")
-    ensure_checkpoint_dir(mu.sparkSession)
+    if not has_checkpoint_dir(mu.sparkSession):
+        raise ValueError("solve_large iterates: set spark.checkpoint.dir to a folder all executors share")
     keys = list(keys)
     pull = F.col("mu") - rf if objective == "max_sharpe" else F.lit(1.0)
     variance = cov.where(F.col("i") == F.col("j")).select(*keys, F.col("i").alias("asset"), F.col("cov").alias("v"))

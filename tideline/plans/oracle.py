@@ -347,6 +347,19 @@ def oracle_sql() -> dict[str, str]:
     )
 
     q["cov_sample"] = sql(f"select i, j, {rnd('cov')} as cov from cov", SAMPLE_COV)
+    q["cov_suppliers"] = f"""
+        with so as (
+          select printf('S%08d', l_suppkey) as asset, cast(l_shipdate as date) as date, {PRICE} as price
+          from lineitem group by 1, 2),
+        sc as (select cast(t.d as date) as date from range(date '{PANEL_START}', date '{PANEL_END}' + 1, interval 1 day) t(d)
+               where isodow(t.d) < 6),
+        sp as (select a.asset, sc.date, o.price from (select distinct asset from so) a cross join sc
+               left join so o on o.asset = a.asset and o.date = sc.date),
+        sx as (select asset, date, last_value(price ignore nulls) over
+               (partition by asset order by date rows between unbounded preceding and current row) as px from sp),
+        sr as (select asset, date, px / lag(px) over (partition by asset order by date) - 1 as r from sx)
+        select a.asset as i, b.asset as j, {rnd('covar_samp(a.r, b.r) * 252', 2)} as cov
+        from sr a join sr b on a.date = b.date group by a.asset, b.asset"""
     q["correlation"] = sql(f"select i, j, {rnd('corr')} as corr from corr", SAMPLE_COV, CORR)
     q["near_duplicates"] = sql(
         f"select i, j, {rnd('corr')} as corr from corr where i < j and corr >= 0.05", SAMPLE_COV, CORR

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tideline.operators import estimators, measure, optimize, panel, portfolio, rebalance, returns, rolling
 from tideline.operators.resample import resample
-from tideline.session import ensure_checkpoint_dir
+from tideline.session import stored
 from tideline.sources.sheet import unpivot_pairs
 from tideline.sources.star import (
     MARKETS,
@@ -300,6 +300,13 @@ def cov_sample(spark, sf_dir):
     return estimators.sample_cov(market_returns(spark, sf_dir), n_blocks=ONE_BLOCK)
 
 
+@query(2)
+def cov_suppliers(spark, sf_dir):
+    """A wide, sparse panel: one asset per supplier, paired block by block."""
+    sparse = panel.clean_prices(supplier_observations(spark, sf_dir), PANEL_START, PANEL_END)
+    return estimators.sample_cov(returns.daily_returns(sparse))
+
+
 @query()
 def cov_by_period(spark, sf_dir):
     return estimators.period_cov(market_returns(spark, sf_dir), COV_PERIODS, n_blocks=ONE_BLOCK)
@@ -334,12 +341,6 @@ def near_duplicates(spark, sf_dir):
 # --- portfolios ----------------------------------------------------------------
 
 
-def stored(estimate: DataFrame) -> DataFrame:
-    """Write an estimate to the checkpoint folder before it is used several times over."""
-    ensure_checkpoint_dir(estimate.sparkSession)
-    return estimate.checkpoint()
-
-
 def universes(r: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Estimates of the markets of each line status; each status is one universe."""
     cov = stored(shrunk_cov(r)).withColumn("universe", F.substring_index("i", "_", -1))

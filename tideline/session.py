@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -21,6 +21,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # The partition count is already the core count; merging small partitions would idle cores.
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -29,15 +31,22 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; fall back to a scratch one.
+def has_checkpoint_dir(spark: SparkSession) -> bool:
+    """Whether lineage can be cut in a folder all executors share.
 
-    The fallback is only reached where ``spark.checkpoint.dir`` is unset, that
-    is in local tests.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only
+    in local mode, where it is unset in tests, a scratch folder takes its place.
     """
-    if spark.sparkContext.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="run-"))
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and context.master.startswith("local"):
+            shared = tempfile.mkdtemp(prefix="run-")
+        if shared is not None:
+            context.setCheckpointDir(shared)
+    return context.getCheckpointDir() is not None
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a result that is used several times; without a shared folder leave it as it is."""
+    return df.checkpoint() if has_checkpoint_dir(df.sparkSession) else df
