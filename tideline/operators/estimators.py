@@ -102,39 +102,43 @@ def shrink_constant_correlation(
     ``keys, i, j, cov, delta``: the shrunk covariance and the shrinkage
     intensity, which is one figure per group.
     """
-    n = F.col(moment_name(0, 0))
-
-    def mean(p: int, q: int) -> Column:
-        return F.col(moment_name(p, q)) / n
-
-    a, b, xx, yy, xy = mean(1, 0), mean(0, 1), mean(2, 0), mean(0, 2), mean(1, 1)
-    xxy, xyy = mean(2, 1), mean(1, 2)
-    # E[(x-a)^2 (y-b)^2] and E[(x-a)^3 (y-b)], multiplied out.
-    m22 = mean(2, 2) - 2 * b * xxy - 2 * a * xyy + b * b * xx + a * a * yy + 4 * a * b * xy - 3 * a * a * b * b
-    m31 = mean(3, 1) - 3 * a * xxy + 3 * a * a * xy - b * mean(3, 0) + 3 * a * b * xx - 3 * a * a * a * b
-    centred = sums.where(n >= 2).select(
-        *keys, "i", "j", n.alias("t"), m22.alias("m22"), m31.alias("m31"),
-        (xy - a * b).alias("h"), (xx - a * a).alias("h_i"),
-        ((xy - a * b) * n / (n - 1)).alias("s"),
-        ((xx - a * a) * n / (n - 1)).alias("v_i"),
-        ((yy - b * b) * n / (n - 1)).alias("v_j"),
+    means = [f"{moment_name(p, q)} / x0y0 as e{p}{q}" for p, q in SHRINKAGE_POWERS[1:]]
+    centred = (
+        sums.where("x0y0 >= 2")
+        .selectExpr(*keys, "i", "j", "x0y0 as t", *means)
+        .selectExpr(
+            *keys,
+            "i",
+            "j",
+            "t",
+            # E[(x-a)^2 (y-b)^2] and E[(x-a)^3 (y-b)] with a = E[x], b = E[y], multiplied out.
+            "e22 - 2*e01*e21 - 2*e10*e12 + e01*e01*e20 + e10*e10*e02 + 4*e10*e01*e11 - 3*e10*e10*e01*e01 as m22",
+            "e31 - 3*e10*e21 + 3*e10*e10*e11 - e01*e30 + 3*e10*e01*e20 - 3*e10*e10*e10*e01 as m31",
+            "e11 - e10*e01 as h",
+            "e20 - e10*e10 as h_i",
+            "(e11 - e10*e01) * t / (t - 1) as s",
+            "(e20 - e10*e10) * t / (t - 1) as v_i",
+            "(e02 - e01*e01) * t / (t - 1) as v_j",
+        )
+        .selectExpr(
+            *keys, "i", "j", "t", "s", "v_i", "v_j", "sqrt(v_i * v_j) as scale",
+            "m22 - 2*h*s + s*s as pi", "m31 - h_i*s - h*v_i + v_i*s as theta",
+        )
     )
-    h, s, v_i, v_j, h_i = (F.col(c) for c in ("h", "s", "v_i", "v_j", "h_i"))
-    scale = F.sqrt(v_i * v_j)
-    pi = F.col("m22") - 2 * h * s + s * s
-    theta = F.col("m31") - h_i * s - h * v_i + v_i * s
-
-    def off_diagonal(c: Column) -> Column:
-        return F.when(F.col("i") != F.col("j"), c)
-
+    # Everything the intensity needs, summed over the off-diagonal in one pass.
     group = centred.groupBy(*keys).agg(
-        F.max("t").alias("t"),
-        F.avg(off_diagonal(F.try_divide(s, scale))).alias("r_bar"),
-        F.sum(off_diagonal(pi)).alias("pi"),
-        F.sum(off_diagonal(F.sqrt(F.try_divide(v_j, v_i)) * theta)).alias("rho"),
-        F.sum(off_diagonal(s * s)).alias("ss"),
-        F.sum(off_diagonal(s * scale)).alias("sf"),
-        F.sum(off_diagonal(v_i * v_j)).alias("ff"),
+        *(
+            F.expr(f"{how}(case when i != j then {what} end) as {name}")
+            for how, what, name in (
+                ("max", "t", "t"),
+                ("avg", "try_divide(s, scale)", "r_bar"),
+                ("sum", "pi", "pi"),
+                ("sum", "sqrt(try_divide(v_j, v_i)) * theta", "rho"),
+                ("sum", "s * s", "ss"),
+                ("sum", "s * scale", "sf"),
+                ("sum", "v_i * v_j", "ff"),
+            )
+        )
     )
     r_bar = F.col("r_bar")
     misfit = F.col("ss") - 2 * r_bar * F.col("sf") + r_bar * r_bar * F.col("ff")
@@ -144,9 +148,10 @@ def shrink_constant_correlation(
     )
     # One row per group of matrices: the groups are estimation dates, bounded by the calendar.
     joined = centred.join(F.broadcast(group), list(keys)) if keys else _beside(centred, group)
-    target = F.when(F.col("i") == F.col("j"), s).otherwise(F.coalesce(r_bar * scale, F.lit(0.0)))
-    shrunk = F.col("delta") * target + (1 - F.col("delta")) * s
-    return joined.select(*keys, "i", "j", (shrunk * frequency).alias("cov"), "delta")
+    target = "case when i = j then s else coalesce(r_bar * scale, 0D) end"
+    return joined.selectExpr(
+        *keys, "i", "j", f"(delta * {target} + (1 - delta) * s) * {frequency} as cov", "delta"
+    )
 
 
 def _beside(df: DataFrame, one_row: DataFrame) -> DataFrame:

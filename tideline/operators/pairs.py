@@ -116,11 +116,11 @@ def pair_moments(
 
 def both_triangles(moments: DataFrame, powers: Sequence[tuple[int, int]], keys: Sequence[str] = ()) -> DataFrame:
     """Mirror one row per unordered pair into (i, j) and (j, i) with x and y swapped."""
-    powers = list(dict.fromkeys(powers))
+    names = [(moment_name(p, q), moment_name(q, p)) for p, q in dict.fromkeys(powers)]
 
-    def side(a: str, b: str, flip: bool) -> Column:
-        sums = [F.col(moment_name(*((q, p) if flip else (p, q)))).alias(moment_name(p, q)) for p, q in powers]
-        return F.struct(F.col(a).alias("i"), F.col(b).alias("j"), *sums)
+    def side(a: str, b: str, flip: bool) -> str:
+        sums = "".join(f", '{name}', {swapped if flip else name}" for name, swapped in names)
+        return f"named_struct('i', {a}, 'j', {b}{sums})"
 
-    mirrored = F.when(F.col("i") != F.col("j"), F.array(side("i", "j", False), side("j", "i", True)))
-    return moments.select(*keys, F.inline(F.coalesce(mirrored, F.array(side("i", "j", False)))))
+    kept, mirrored = side("i", "j", False), side("j", "i", True)
+    return moments.selectExpr(*keys, f"inline(if(i = j, array({kept}), array({kept}, {mirrored})))")

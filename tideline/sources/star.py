@@ -33,38 +33,26 @@ def average_price() -> Column:
     return (cents / (F.sum("l_quantity") * 100)).alias("price")
 
 
-def market_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items labelled with their market: region of the supplier x line status.
+def market_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily average price per market: ``(asset, date, price, seq)``.
+
+    A market is the region of the supplier x the line status; ``seq`` is the
+    smallest order key of the day, standing for arrival order.
 
     The joins are left-deep so that each dimension is judged by its own measured
     size: Spark broadcasts it while it is small and sort-merges it beyond that,
-    with AQE splitting a hot supplier. Nothing is broadcast by hint.
+    with AQE splitting a hot supplier. Region names are only looked up for the
+    aggregated rows. Nothing is broadcast by hint.
     """
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_suppkey", "l_linestatus", F.col("l_shipdate").cast("date").alias("date"),
-        "l_orderkey", "l_extendedprice", "l_quantity",
-    )
-    return (
-        lines.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    daily = (
+        table(spark, sf_dir, "lineitem")
+        .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("r_name", "l_linestatus", "date", "l_orderkey", "l_extendedprice", "l_quantity")
+        .groupBy("n_regionkey", "l_linestatus", F.col("l_shipdate").cast("date").alias("date"))
+        .agg(average_price(), F.min("l_orderkey").alias("seq"))
     )
-
-
-def market_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily average price per market: ``(asset, date, price, seq)``.
-
-    ``seq`` is the smallest order key of the day, standing for arrival order.
-    """
-    return (
-        market_lines(spark, sf_dir)
-        .groupBy("r_name", "l_linestatus", "date")
-        .agg(
-            average_price(),
-            F.min("l_orderkey").alias("seq"),
-        )
-        .select(F.concat_ws("_", "r_name", "l_linestatus").alias("asset"), "date", "price", "seq")
+    return daily.join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.concat_ws("_", "r_name", "l_linestatus").alias("asset"), "date", "price", "seq"
     )
 
 
