@@ -24,7 +24,9 @@ OBJECTIVES = ("max_sharpe", "min_vol")
 DENSE_LIMIT = 1000
 
 
-def _group_solver(columns: Sequence[str], objectives: Sequence[str], rf: float, points: int, limit: int | None) -> Callable:
+def _group_solver(
+    columns: Sequence[str], objectives: Sequence[str], rf: float, points: int, limit: int | None
+) -> Callable:
     """Dense solver of one universe; self-contained so that executors need no import of this package."""
     key_columns, objectives = list(columns), list(objectives)
 

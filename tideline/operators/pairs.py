@@ -26,8 +26,7 @@ def moment_name(p: int, q: int) -> str:
 
 def _block_products(powers: Sequence[tuple[int, int]], weighted: bool, group_columns: Sequence[str]) -> Callable:
     """Matrix products of two blocks; self-contained so that executors need no import of this package."""
-    powers = list(powers)
-    n_keys = len(group_columns)
+    powers, group_columns = list(powers), list(group_columns)
 
     def multiply(key, pdf):
         import numpy as np
@@ -59,9 +58,8 @@ def _block_products(powers: Sequence[tuple[int, int]], weighted: bool, group_col
         frame = frame[keep]
         for position, name in enumerate(group_columns):
             frame.insert(position, name, [key[position]] * len(frame))
-        return frame[list(group_columns) + list(out)]
+        return frame[group_columns + list(out)]
 
-    assert n_keys == len(set(group_columns))
     return multiply
 
 
