@@ -14,14 +14,14 @@ OP9 = r"""
 with d as (
   select doc_id, coalesce(text, '') as t,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), l -> regexp_matches(l, '[^\x20\x09-\x0D]')) as l
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as l
   from documents),
 pos as (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d),
 win as (select doc_id, i, w[i] as a, w[i + 1] as b, w[i + 2] as c from pos),
 rep as (select doc_id, i from win qualify count(*) over (partition by doc_id, a, b, c) > 1),
 cov as (select doc_id, count(distinct i + k) as n from rep, range(3) as r(k) group by doc_id),
 m as (
-  select d.doc_id, len(w) as n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0)::bigint as word_chars,
+  select d.doc_id, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
          length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
          len(l) - len(list_distinct(l)) as n_dup_lines, len(l) as n_lines, coalesce(cov.n, 0) as n_repeat_words
   from d left join cov using (doc_id)),
