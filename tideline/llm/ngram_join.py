@@ -10,8 +10,8 @@ a Jaccard similarity of at least 0.8. All of it is exact:
    passages that many documents share out of the prefixes.
 2. *Groups.* Documents with equal sets become one node. Nodes with the same
    prefix and the same size become one group, which is written out once.
-3. *Filter.* Groups that share a prefix shingle are candidates if sizes and
-   positions allow the similarity.
+3. *Filter.* Groups that share a prefix shingle are candidates if their sizes,
+   the positions, and then the number of prefix shingles they share allow it.
 4. *Expand and verify* in two rounds. First each group is compared with the
    smallest group of every shingle (and each member with the first of its group), which is
    linear in the number of copies. Members that are linked by then need no
@@ -240,7 +240,8 @@ def links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     items = texts.select("text").mapInArrow(sets, "node bigint, items binary")
-    items = items.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    # Rows repeated with one doc_id give a node twice, which only repeats a link.
+    items = items.join(wanted, "node", "left_semi")
     both = (
         pairs.join(items.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
         .join(items.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
@@ -259,6 +260,21 @@ def links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.mapInArrow(verify, "a bigint, b bigint")
 
 
+def plausible(pairs: DataFrame, groups: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs of groups that share enough of their prefixes.
+
+    Of the two prefixes, the one that ends first in the order lies wholly
+    against the other; what is shared beyond it is at most what its set has left. So the
+    overlap is at most the shared part of the prefixes and the larger rest.
+    """
+    one = groups.select(F.col("gid").alias(a), F.col("n").alias("_n"), F.col("prefix").alias("_x"))
+    two = groups.select(F.col("gid").alias(b), F.col("n").alias("_m"), F.col("prefix").alias("_y"))
+    rest = F.greatest(F.col("_n") - F.size("_x"), F.col("_m") - F.size("_y"))
+    overlap = F.size(F.array_intersect("_x", "_y")) + rest
+    both = pairs.join(one, a).join(two, b)
+    return both.filter((100 + PERCENT) * overlap >= PERCENT * (F.col("_n") + F.col("_m"))).select(*pairs.columns)
+
+
 def _pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct()
 
@@ -275,10 +291,18 @@ def linked_components(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     )
     shared = saved(shared_prefixes(digest))
     heads = nodes.groupBy("gid").agg(F.min("node").alias("head"))
+    # Only groups that share a prefix shingle with another take part in the filter.
+    meeting = saved(shared.select("gid").unionByName(shared.select(F.col("cgid").alias("gid"))).distinct())
+    groups = saved(
+        digest.filter(F.size("prefix") > 0)
+        .join(meeting, "gid", "left_semi")
+        .groupBy("gid")
+        .agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    )
 
     # Round 1: groups against the smallest group of each shingle, members against the head of their group.
     stars = shared.filter("gid != cgid").filter(_possible(F.col("n"), F.col("at"), F.col("cn"), F.col("cat")))
-    stars = stars.select("gid", "cgid").distinct()
+    stars = plausible(stars.select("gid", "cgid").distinct(), groups, "gid", "cgid")
     stars = stars.join(heads, "gid").join(heads.select(F.col("gid").alias("cgid"), F.col("head").alias("chead")), "cgid")
     inside = nodes.join(heads, "gid").filter("node != head")
     first = saved(
@@ -314,6 +338,7 @@ def linked_components(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
         .select("gid", "comp", "g", "c")
         .distinct()
     )
+    across = plausible(across, groups, "gid", "g")
     within = (
         sides.join(mixed_groups.select("gid"), "gid", "left_semi").join(
             sides.join(mixed_groups.select("gid"), "gid", "left_semi").select("gid", F.col("comp").alias("c")), "gid"
