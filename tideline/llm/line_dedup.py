@@ -4,9 +4,9 @@ A line's key is the line without ASCII white space at its ends and with A-Z
 lower-cased. Keys of at least ``MIN_POINTS`` code points that ``MIN_DOCS``
 documents or more hold lose all their lines except in the largest ``doc_id``.
 
-1. Each task counts, per key hash, the documents that hold it and the largest
-   ``doc_id``; the counts are summed per hash. A very common line is one row per
-   task by then.
+1. Each task gathers, per key hash, the documents that hold it, of which it sends
+   on the ``MIN_DOCS`` largest: enough to tell whether a line is in that many
+   documents. A very common line is a few numbers per task by then.
 2. Hashes are dealt to shards of bounded size. A shard is a minimal perfect hash
    over its distinct line hashes with compact arrays by number: a fingerprint,
    the count (which stops at ``MIN_DOCS``), and the last document for the lines that reach it.
@@ -22,7 +22,6 @@ one empty line.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -32,12 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import WHITE_CHARS, byte_texts, power_of_two, saved, signed, slices, unsigned
+from tideline.llm.common import WHITE_CHARS, byte_texts, power_of_two, saved, slices, text_bytes
 from tideline.llm.perfect_hash import PerfectHash
 
 MIN_POINTS = 20
 MIN_DOCS = 3
 HASHES_PER_SHARD = 500_000
+LINES_PER_CHUNK = 1_000_000
+#: Bytes of line hashes that one task probes with, about.
+PROBE_BYTES = 8 << 20
 _WHITE = WHITE_CHARS.encode()
 
 
@@ -60,76 +62,79 @@ def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
             yield doc, zlib.crc32(text), line_hashes(text)
 
 
-def line_counts(docs: DataFrame) -> DataFrame:
-    """``h, n, last``: documents that hold a line, and the largest of them.
+def _packed(shards: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """One row per shard with its part of each column; the first column holds the hashes."""
+    h = columns["h"]
+    shift = np.uint64(64 - (shards.bit_length() - 1))
+    shard = (h >> shift).astype(np.int32) if shards > 1 else np.zeros(len(h), np.int32)
+    order = np.argsort(shard, kind="stable")
+    own, first = np.unique(shard[order], return_index=True)
+    parts = [order[i:j] for i, j in zip(first, np.r_[first[1:], len(h)])]
+    blobs = [pa.array([x[p].tobytes() for p in parts], pa.binary()) for x in columns.values()]
+    return pa.RecordBatch.from_arrays([pa.array(own), *blobs], ["shard", *columns])
 
-    Rows of one ``doc_id`` in one task count once; ``line_shards`` sees to the rest.
-    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_h, held_d, n = [], [], 0
-
-        def cut() -> pa.RecordBatch:
-            h, d = np.concatenate(held_h), np.concatenate(held_d)
-            order = np.lexsort((d, h))
-            h, d = h[order], d[order]
-            once = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]
-            h, d = h[once], d[once]
-            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            counts = np.diff(np.r_[first, len(h)])
-            last = d[np.r_[first[1:], len(h)] - 1]
-            least = d[first]
-            return pa.RecordBatch.from_arrays(
-                [signed(h[first]), pa.array(counts.astype(np.int64)), pa.array(least), pa.array(last)],
-                ["h", "n", "least", "last"],
-            )
+def _joined(table: pa.Table, column: str, kind: type) -> np.ndarray:
+    parts = [np.frombuffer(b, kind) for b in table.column(column).to_pylist()]
+    return np.concatenate(parts) if parts else np.empty(0, kind)
+
 
+def holders(docs: DataFrame, shards: int) -> DataFrame:
+    """``shard, h, doc``: per task, up to ``MIN_DOCS`` of the documents that hold a line, the largest among them."""
+
+    def cut(held: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
+        h = np.concatenate([x for x, _ in held])
+        doc = np.repeat(np.array([d for _, d in held], np.int64), [len(x) for x, _ in held])
+        h, doc = _distinct(h, doc)
+        # Places from the end of each run of equal hashes.
+        end = np.flatnonzero(np.r_[h[1:] != h[:-1], True])
+        back = np.repeat(end, np.diff(np.r_[-1, end])) - np.arange(len(h))
+        keep = back < MIN_DOCS
+        return _packed(shards, {"h": h[keep], "doc": doc[keep]})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in slices(batches):
             for doc, _, hashes in _documents(batch):
-                own = np.unique(hashes[hashes != 0])
-                held_h.append(own)
-                held_d.append(np.full(len(own), doc, np.int64))
-                n += len(own)
-            if n >= 1_000_000:
-                yield cut()
-                held_h, held_d, n = [], [], 0
+                held.append((np.unique(hashes[hashes != 0]), doc))
+                n += len(held[-1][0])
+            if n >= LINES_PER_CHUNK:
+                yield cut(held)
+                held, n = [], 0
         if n:
-            yield cut()
+            yield cut(held)
 
-    counts = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        count, "h bigint, n bigint, least bigint, last bigint"
-    )
-    return counts.groupBy("h").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("last").alias("last"))
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(count, "shard int, h binary, doc binary")
 
 
-def _shard(shards: int):
-    return F.shiftrightunsigned(F.col("h"), 64 - (shards.bit_length() - 1)).cast("int") if shards > 1 else F.lit(0)
+def _distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs in order."""
+    order = np.lexsort((doc, h))
+    h, doc = h[order], doc[order]
+    once = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])][: len(h)]
+    return h[once], doc[once]
 
 
-def line_shards(counts: DataFrame, shards: int) -> DataFrame:
+def line_shards(held: DataFrame) -> DataFrame:
     """``shard, hash, prints, counts, docs``: the perfect hash of each shard and its arrays."""
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
-        keys = unsigned(table.column("h"))
+        h, doc = _distinct(_joined(table, "h", np.uint64), _joined(table, "doc", np.int64))
+        end = np.flatnonzero(np.r_[h[1:] != h[:-1], True])
+        keys, last = h[end], doc[end]
+        n = np.minimum(np.diff(np.r_[-1, end]), MIN_DOCS).astype(np.uint8)
         index = PerfectHash.of(keys)
         order = np.argsort(index.numbers(keys))
-        often = np.minimum(table.column("n").to_numpy(), MIN_DOCS)[order].astype(np.uint8)
-        prints = (keys[order] >> np.uint64(1)).astype(np.uint16)
-        last = table.column("last").to_numpy()[order][often >= MIN_DOCS]
-        blobs = [index.to_bytes(), prints.tobytes(), often.tobytes(), last.tobytes()]
+        n, prints = n[order], (keys[order] >> np.uint64(1)).astype(np.uint16)
+        blobs = [index.to_bytes(), prints.tobytes(), n.tobytes(), last[order][n >= MIN_DOCS].tobytes()]
         arrays = [pa.array([key[0].as_py()], pa.int32()), *(pa.array([b], pa.binary()) for b in blobs)]
         return pa.table(arrays, ["shard", "hash", "prints", "counts", "docs"])
 
-    # A line that several rows of a single doc_id hold is in one document only.
-    counts = counts.withColumn("n", F.when(F.col("least") == F.col("last"), 1).otherwise(F.col("n")).cast("bigint"))
-    return counts.select(_shard(shards).alias("shard"), "h", "n", "last").groupBy("shard").applyInArrow(
-        build, "shard int, hash binary, prints binary, counts binary, docs binary"
-    )
+    return held.groupBy("shard").applyInArrow(build, "shard int, hash binary, prints binary, counts binary, docs binary")
 
 
 def probes(docs: DataFrame, shards: int) -> DataFrame:
     """``shard, h, doc, mark, line``: per task and shard the line hashes and where they are, packed."""
-    shift = np.uint64(64 - (shards.bit_length() - 1))
 
     def cut(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
         sizes = [len(h) for _, _, h in held]
@@ -138,13 +143,7 @@ def probes(docs: DataFrame, shards: int) -> DataFrame:
         mark = np.repeat(np.array([m for _, m, _ in held], np.uint32), sizes)
         line = np.concatenate([np.arange(n, dtype=np.uint32) for n in sizes])
         real = h != 0
-        h, doc, mark, line = h[real], doc[real], mark[real], line[real]
-        shard = (h >> shift).astype(np.int32) if shards > 1 else np.zeros(len(h), np.int32)
-        order = np.argsort(shard, kind="stable")
-        own, first = np.unique(shard[order], return_index=True)
-        parts = [order[i:j] for i, j in zip(first, np.r_[first[1:], len(h)])]
-        blobs = [pa.array([x[p].tobytes() for p in parts], pa.binary()) for x in (h, doc, mark, line)]
-        return pa.RecordBatch.from_arrays([pa.array(own), *blobs], ["shard", "h", "doc", "mark", "line"])
+        return _packed(shards, {"h": h[real], "doc": doc[real], "mark": mark[real], "line": line[real]})
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -152,7 +151,7 @@ def probes(docs: DataFrame, shards: int) -> DataFrame:
             own = list(_documents(batch))
             held += own
             n += sum(len(h) for _, _, h in own)
-            if n >= 1_000_000:
+            if n >= LINES_PER_CHUNK:
                 yield cut(held)
                 held, n = [], 0
         if n:
@@ -164,49 +163,55 @@ def probes(docs: DataFrame, shards: int) -> DataFrame:
 
 
 def dropped_lines(asked: DataFrame, shards: DataFrame) -> DataFrame:
-    """``doc_id, mark, lines``: the line numbers to drop, packed, as the shards answer."""
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, index = None, None
-        for batch in batches:
-            for row in range(batch.num_rows):
-                get = lambda c, kind: np.frombuffer(batch.column(c)[row].as_buffer(), kind)  # noqa: B023, E731
-                if batch.column("shard")[row].as_py() != at:
-                    at, index = batch.column("shard")[row].as_py(), PerfectHash.from_bytes(batch.column("hash")[row].as_py())
-                prints, counts, last = get("prints", np.uint16), get("counts", np.uint8), get("docs", np.int64)
-                h, doc, mark, line = get("h", np.uint64), get("doc", np.int64), get("mark", np.uint32), get("line", np.uint32)
-                number = index.numbers(h)
-                found = np.flatnonzero((number >= 0) & (counts[number] >= MIN_DOCS))
-                found = found[prints[number[found]] == (h[found] >> np.uint64(1)).astype(np.uint16)]
-                often = np.cumsum(counts >= MIN_DOCS) - 1
-                found = found[last[often[number[found]]] != doc[found]]
-                doc, mark, line = doc[found], mark[found], line[found]
-                order = np.lexsort((line, mark, doc))
-                doc, mark, line = doc[order], mark[order], line[order]
-                first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])]) if len(doc) else []
-                lines = [line[i:j].tobytes() for i, j in zip(first, [*first[1:], len(doc)])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc[first]), pa.array(mark[first].astype(np.int64)), pa.array(lines, pa.binary())]
-                    if len(doc)
-                    else [pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.binary())],
-                    ["doc_id", "mark", "lines"],
-                )
-
-    # Every probe of a shard meets the shard's one row; pieces of a large shard can go to several tasks.
-    both = asked.join(shards.withColumnRenamed("hash", "index"), "shard")
-    return both.select("shard", F.col("index").alias("hash"), "prints", "counts", "docs", "h", "doc", "mark", "line").mapInArrow(
-        answer, "doc_id bigint, mark bigint, lines binary"
+    """``doc_id, mark, lines``: the line numbers to drop, packed, as the shards answer.
+
+    The probes of a shard, which a very common line can make many, are dealt to
+    several tasks by their size; each gets the shard's arrays.
+    """
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        empty = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("lines", pa.binary())]).empty_table()
+        if not left.num_rows or not right.num_rows:
+            return empty
+        blob = lambda c: right.column(c)[0].as_py()
+        index = PerfectHash.from_bytes(blob("hash"))
+        prints, counts = np.frombuffer(blob("prints"), np.uint16), np.frombuffer(blob("counts"), np.uint8)
+        last, often = np.frombuffer(blob("docs"), np.int64), np.cumsum(counts >= MIN_DOCS) - 1
+        h, doc = _joined(left, "h", np.uint64), _joined(left, "doc", np.int64)
+        number = index.numbers(h)
+        found = np.flatnonzero((number >= 0) & (counts[number] >= MIN_DOCS))
+        found = found[prints[number[found]] == (h[found] >> np.uint64(1)).astype(np.uint16)]
+        found = found[last[often[number[found]]] != doc[found]]
+        if not len(found):
+            return empty
+        doc, mark, line = doc[found], _joined(left, "mark", np.uint32)[found], _joined(left, "line", np.uint32)[found]
+        order = np.lexsort((line, mark, doc))
+        doc, mark, line = doc[order], mark[order], line[order]
+        first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])])
+        lines = [line[i:j].tobytes() for i, j in zip(first, np.r_[first[1:], len(doc)])]
+        return pa.table(
+            [pa.array(doc[first]), pa.array(mark[first].astype(np.int64)), pa.array(lines, pa.binary())],
+            ["doc_id", "mark", "lines"],
+        )
+
+    parts = asked.groupBy("shard").agg(F.ceil(F.sum(F.octet_length("h")) / PROBE_BYTES).cast("int").alias("parts"))
+    asked = asked.join(parts, "shard").withColumn("part", F.pmod(F.hash("h"), F.greatest("parts", F.lit(1)))).drop("parts")
+    shards = shards.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest("parts", F.lit(1)) - 1)))
+    by = ["shard", "part"]
+    return (
+        asked.groupBy(*by)
+        .cogroup(shards.drop("parts").groupBy(*by))
+        .applyInArrow(answer, "doc_id bigint, mark bigint, lines binary")
     )
 
 
 def deduplicated_lines(docs: DataFrame, hashes_per_shard: int = HASHES_PER_SHARD) -> DataFrame:
     """``doc_id, n_lines, n_dropped, kept`` (the text that is left) of every row."""
-    counts = saved(line_counts(docs))
-    shards = power_of_two(counts.count() / hashes_per_shard)
-    index = saved(line_shards(counts, shards))
-    dropped = saved(
-        dropped_lines(probes(docs, shards), index).groupBy("doc_id", "mark").agg(F.collect_list("lines").alias("lines"))
-    )
+    # A line that counts has MIN_POINTS bytes at least.
+    shards = power_of_two(text_bytes(docs) / MIN_POINTS / hashes_per_shard)
+    index = saved(line_shards(holders(docs, shards)))
+    asked = saved(probes(docs, shards))
+    dropped = saved(dropped_lines(asked, index).groupBy("doc_id", "mark").agg(F.collect_list("lines").alias("lines")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("_mark"))
     drops = dropped.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_m"), "lines")
@@ -230,6 +235,3 @@ def deduplicated_lines(docs: DataFrame, hashes_per_shard: int = HASHES_PER_SHARD
 
     return both.mapInArrow(leave, f"doc_id {kind}, n_lines bigint, n_dropped bigint, kept string")
 
-
-def sha256(text: bytes) -> str:
-    return hashlib.sha256(text).hexdigest()

@@ -32,6 +32,62 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from j
 """
 
+OP5 = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, i, array_to_string(w[i : i + 12], ' ') as g
+        from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from d where len(w) >= 13)),
+rep as (select doc_id, i from win qualify min(doc_id) over (partition by g) < doc_id),
+gone as (select distinct doc_id, i + k as i from rep, range(13) as r(k)),
+word as (select doc_id, unnest(range(1, len(w) + 1)) as i, unnest(w) as x from d),
+left_ as (select word.doc_id, string_agg(x, ' ' order by word.i) as kept, count(*) as n
+          from word anti join gone on word.doc_id = gone.doc_id and word.i = gone.i group by 1)
+select d.doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join left_ using (doc_id)
+"""
+
+OP6 = r"""
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
+line as (select doc_id, unnest(range(1, len(l) + 1)) as i, unnest(l) as x from d),
+k as (select *, translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from line),
+often as (select key, max(doc_id) as last from k where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
+j as (select k.*, often.last is not null and often.last <> doc_id as gone from k left join often using (key))
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+       sha256(coalesce(string_agg(x, chr(10) order by i) filter (where not gone), '')) as kept_sha256
+from j group by doc_id
+"""
+
+OP10 = r"""
+with t(k, license, text) as (values
+  (0, 'Apache-2.0', 'Licensed under the Apache License, Version 2.0.'),
+  (1, 'BSD-3-Clause', 'Released under the BSD 3-Clause License.'),
+  (2, 'CC-BY-4.0', 'Licensed under CC BY 4.0.'),
+  (3, 'CC-BY-NC-4.0', 'Licensed under CC BY-NC 4.0.'),
+  (4, 'CC-BY-SA-4.0', 'Licensed under CC BY-SA 4.0.'),
+  (5, 'CC0-1.0', 'Released into the public domain under CC0 1.0.'),
+  (6, 'GPL-2.0', 'This work is licensed under the GNU General Public License, version 2.'),
+  (7, 'GPL-3.0', 'This work is licensed under the GNU General Public License, version 3.'),
+  (8, 'LGPL-3.0', 'This work is licensed under the GNU Lesser General Public License, version 3.'),
+  (9, 'MIT', 'Released under the MIT License.'),
+  (10, 'MPL-2.0', 'This work is subject to the terms of the Mozilla Public License, version 2.0.'),
+  (11, 'reserved', 'All rights reserved.')),
+tw as (select k, license, regexp_extract_all(lower(text), '[0-9a-z]+') as w from t),
+tp as (select k, a, count(*) as n from (select k, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as a from tw) group by all),
+ts as (select k, license, len(w) - 1 as size from tw),
+d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
+line as (select doc_id, unnest(range(1, len(l) + 1)) as i, unnest(l) as x from d),
+lw as (select doc_id, i, list_transform(regexp_extract_all(x, '[0-9A-Za-z]+'), lambda y: lower(y)) as w from line),
+lp as (select doc_id, i, size, a, count(*) as n
+       from (select doc_id, i, len(w) - 1 as size, unnest(list_transform(range(1, len(w)), lambda j: w[j] || ' ' || w[j + 1])) as a
+             from lw where len(w) between 2 and 100) group by all),
+share as (select doc_id, i, ts.k, ts.license, 200 * sum(least(lp.n, tp.n)) / (lp.size + ts.size) as share
+          from lp join tp using (a) join ts on ts.k = tp.k group by doc_id, i, ts.k, ts.license, lp.size, ts.size),
+best as (select * from share where share >= 80 qualify row_number() over (partition by doc_id, i order by share desc, k) = 1)
+select d.doc_id, count(best.i) as n_found,
+       coalesce(string_agg(best.i || ':' || license || ':' || floor(share)::int, ',' order by best.i), '') as found
+from d left join best using (doc_id) group by d.doc_id
+"""
+
 OP3 = r"""
 with recursive d as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -87,4 +143,5 @@ from placed
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1, "op3_ngram_join": OP3, "op7_exact_dedup": OP7, "op9_quality_rules": OP9}
+    return {"op1_mixing": OP1, "op3_ngram_join": OP3, "op5_substring_dedup": OP5, "op6_line_dedup": OP6,
+            "op7_exact_dedup": OP7, "op9_quality_rules": OP9, "op10_license_scan": OP10}

@@ -9,14 +9,12 @@ that is not among the n gets some number or none; the caller tells by a fingerpr
 
 from __future__ import annotations
 
-import struct
 from dataclasses import dataclass
 
 import numpy as np
 
 from tideline.llm.common import mixed
 
-HEAD = struct.Struct("<I")
 SPREAD = 2
 
 
@@ -53,13 +51,13 @@ class PerfectHash:
         return out
 
     def to_bytes(self) -> bytes:
-        sizes = HEAD.pack(len(self.levels)) + b"".join(HEAD.pack(len(x)) for x in self.levels)
+        sizes = np.array([len(self.levels), *map(len, self.levels)], "<u4").tobytes()
         return sizes + b"".join(np.packbits(x).tobytes() for x in self.levels)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> PerfectHash:
-        n = HEAD.unpack_from(data)[0]
-        sizes = [HEAD.unpack_from(data, 4 + 4 * i)[0] for i in range(n)]
+        n = int(np.frombuffer(data, "<u4", 1)[0])
+        sizes = np.frombuffer(data, "<u4", n, 4).tolist()
         at, levels = 4 + 4 * n, []
         for size in sizes:
             used = (size + 7) // 8

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-HEAD = struct.Struct("<BBQQ")
+HEAD = "<BBQ"
 
 
 @dataclass
@@ -91,12 +91,12 @@ class CountingQuotientFilter:
         wide = (self.remainder_bits + 7) // 8
         packed = self.slots.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide]
         bits = [np.packbits(x).tobytes() for x in (self.occupied, self.run_ends, self.digits)]
-        return HEAD.pack(self.quotient_bits, wide, len(self.slots), 0) + b"".join(bits) + packed.tobytes()
+        return struct.pack(HEAD, self.quotient_bits, wide, len(self.slots)) + b"".join(bits) + packed.tobytes()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> CountingQuotientFilter:
-        bits, wide, n, _ = HEAD.unpack_from(data)
-        at, out = HEAD.size, []
+        bits, wide, n = struct.unpack_from(HEAD, data)
+        at, out = struct.calcsize(HEAD), []
         for size in (1 << bits, n, n):
             used = (size + 7) // 8
             out.append(np.unpackbits(np.frombuffer(data, np.uint8, used, at), count=size).astype(bool))

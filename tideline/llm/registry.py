@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, exact_dedup, mixing, ngram_join, quality_rules
+from tideline.llm import (
+    bpe,
+    exact_dedup,
+    license_scan,
+    line_dedup,
+    mixing,
+    ngram_join,
+    quality_ranking,
+    quality_rules,
+    secret_scan,
+    substring_dedup,
+)
 
 #: The four domains that sources are dealt to by number, and the weights of the mix.
 DOMAINS = ("web", "reference", "forum", "news")
@@ -47,6 +58,17 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda x: x["kind"].isin(*secret_scan.BASE))
+    joined = lambda spans: F.array_join(
+        F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ","
+    )
+    count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("bigint")
+    counts = [count(kind).alias(f"n_{kind}") for kind in secret_scan.BASE]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked_components(table(spark, sf_dir, "documents"))
 
@@ -68,15 +90,48 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.deduplicated_lines(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("fp")
 
 
+def op8_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_ranking.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    spelled = F.transform(
+        "found", lambda x: F.concat_ws(":", x["line"].cast("string"), x["license"], x["percent"].cast("string"))
+    )
+    return found.select("doc_id", F.size("found").cast("bigint").alias("n_found"), F.array_join(spelled, ",").alias("found"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mixing, op3_ngram_join, op4_bpe, op7_exact_dedup, op9_quality_rules)
+    for f in (
+        op1_mixing,
+        op2_secret_scan,
+        op3_ngram_join,
+        op4_bpe,
+        op5_substring_dedup,
+        op6_line_dedup,
+        op7_exact_dedup,
+        op8_quality_ranking,
+        op9_quality_rules,
+        op10_license_scan,
+    )
 }
