@@ -56,7 +56,7 @@ def power_of_two(least: float) -> int:
     return 1 << max(0, int(np.ceil(np.log2(max(1.0, least)))))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut to at most ``limit`` bytes of text each (a longer text comes alone)."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
@@ -66,6 +66,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()
 
 
 def byte_texts(column: pa.Array) -> list[bytes]:
@@ -76,7 +77,7 @@ def byte_texts(column: pa.Array) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a fixed number of words."""
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 

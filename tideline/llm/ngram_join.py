@@ -95,7 +95,7 @@ def frequent_shingles(docs: DataFrame, most: int = FREQUENT) -> np.ndarray:
             sets = shingle_sets(byte_texts(batch.column("text")), cache)
             held += sets
             n += sum(map(len, sets))
-            if n >= 4_000_000:
+            if n >= 2_000_000:
                 yield cut(held)
                 held, n = [], 0
         if n:

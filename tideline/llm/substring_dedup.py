@@ -38,8 +38,8 @@ from tideline.llm.common import WordHashes, byte_texts, power_of_two, saved, sig
 
 WINDOW = 13
 DEPTHS = (1, 2, 4)
-SUFFIXES_PER_GROUP = 4_000_000
-CHUNK = 2_000_000
+SUFFIXES_PER_GROUP = 2_000_000
+CHUNK = 1_000_000
 
 
 class Suffixes:
