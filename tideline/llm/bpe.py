@@ -215,9 +215,3 @@ def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
     )
     return F.unhex(F.array_join(F.transform(ids, known), ""))
 
-
-def id_bytes(ids: Column, size: int) -> Column:
-    """Ids as little-endian unsigned 32-bit integers."""
-    names = [i.to_bytes(4, "little").hex().upper() for i in range(size)]
-    forms = F.from_json(F.lit(json.dumps(names, separators=(",", ":"))), "array<string>")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(forms, i)), ""))

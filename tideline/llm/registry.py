@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,13 +79,21 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     """Ids of every text and of the bytes they decode to."""
     ranks = bpe.load_ranks(public_tokenizers.path(TOKENIZER))
     ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    sha = lambda x: F.sha2(x, 256)
-    return ids.select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        sha(bpe.id_bytes(F.col("ids"), max(ranks.values()) + 1)).alias("ids_sha256"),
-        sha(bpe.decoded(F.col("ids"), ranks)).alias("decoded_sha256"),
-    )
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, back = batch.column("ids"), batch.column("back").to_pylist()
+            offsets, values = lists.offsets.to_pylist(), lists.values.to_numpy().astype("<u4", copy=False)
+            parts = [values[i:j].tobytes() for i, j in zip(offsets, offsets[1:])]
+            sha = lambda x: pa.array([hashlib.sha256(b).hexdigest() for b in x])
+            sizes = pa.array([len(p) // 4 for p in parts], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), sizes, sha(parts), sha(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            )
+
+    both = ids.select("doc_id", "ids", bpe.decoded(F.col("ids"), ranks).alias("back"))
+    return both.mapInArrow(digest, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
