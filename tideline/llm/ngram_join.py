@@ -5,7 +5,7 @@ words make one shingle, no words none. Two documents link when their sets have
 a Jaccard similarity of at least 0.8. All of it is exact:
 
 1. *Order.* Shingles are counted over all documents. A fixed number of the most
-   frequent ones (``FREQUENT``, 0.5 MB, the only thing that is broadcast) come
+   frequent ones (``FREQUENT``, 8 MB, the only thing that is broadcast) come
    last, by frequency; the rest come first, by hash. Any order is right; this one keeps
    passages that many documents share out of the prefixes.
 2. *Groups.* Documents with equal sets become one node. Nodes with the same
@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.common import WordHashes, byte_texts, power_of_two, saved, signed, slices, text_bytes, unsigned, windows
@@ -42,7 +42,7 @@ WORDS = 5
 #: Similarity as a percentage, so that the comparison is in whole numbers.
 PERCENT = 80
 #: Shingles that are ordered by frequency; a bound on what is broadcast.
-FREQUENT = 65_536
+FREQUENT = 1 << 20
 BYTES_PER_SHARD = 16 << 20
 #: Shingles are counted by so many bits of their hash; a clash only affects the order.
 COUNT_BITS = 40
@@ -101,18 +101,23 @@ def frequent_shingles(docs: DataFrame, most: int = FREQUENT) -> np.ndarray:
         if n:
             yield cut(held)
 
-    def top(key: tuple, table: pa.Table) -> pa.Table:
+    def often(key: tuple, table: pa.Table) -> pa.Table:
         values = np.sort(np.concatenate([_unpacked(b) for b in table.column("hashes").to_pylist()]), kind="stable")
         first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
         counts = np.diff(np.r_[first, len(values)])
-        more = np.flatnonzero(counts > 2)
-        more = more[np.argsort(-counts[more], kind="stable")[:most]]
+        more = counts > 2
         return pa.table({"h": signed(values[first[more]]), "n": pa.array(counts[more].astype(np.int64))})
 
     blobs = docs.select("text").mapInArrow(count, "shard int, hashes binary")
-    tops = blobs.groupBy("shard").applyInArrow(top, "h bigint, n bigint")
-    rows = tops.orderBy(F.desc("n"), "h").limit(most).collect()
-    return np.array([r["h"] for r in reversed(rows)], np.uint64)
+    counts = saved(blobs.groupBy("shard").applyInArrow(often, "h bigint, n bigint"))
+    # The least count that at most `most` shingles reach, from the counts' histogram.
+    size = F.sum("size").over(Window.orderBy(F.desc("n")))
+    steps = counts.groupBy("n").agg(F.count("*").alias("size")).withColumn("reach", size)
+    least = steps.filter(F.col("reach") <= most).agg(F.min("n")).first()[0]
+    if least is None:
+        return np.empty(0, np.uint64)
+    rows = counts.filter(F.col("n") >= least).toArrow().sort_by([("n", "ascending"), ("h", "ascending")])
+    return unsigned(rows.column("h"))
 
 
 def prefix_length(n: int) -> int:
@@ -197,8 +202,6 @@ def shared_prefixes(digest: DataFrame) -> DataFrame:
     The frequent ones, which can hold any share of the rows, are aggregated
     before the shuffle and joined back.
     """
-    from pyspark.sql import Window
-
     posts = digest.filter(F.size("prefix") > 0).select("gid", "n", F.posexplode("prefix").alias("at", "tok"))
     posts = posts.select("tok", "gid", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("bigint")).alias("np"))
     center, most = F.min(F.struct("gid", "np")), F.max("gid")
