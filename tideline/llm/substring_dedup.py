@@ -3,7 +3,7 @@
 1. *Prefixes.* All suffixes (one per word that starts a window) are counted by
    the hash of their first 1, 2, 4 and 13 words. A suffix belongs to the group
    of its shortest prefix whose count fits in memory, so rare first words make
-   shallow groups and frequent ones are split by longer prefixes.
+   shallow groups and frequent ones are split by longer prefixes; small prefixes share a group.
 2. *Subtrees.* Each group is one task: its suffixes, packed per writing task,
    are put in the order of their paths and cut at window depth. A
    node at that depth with two leaves or more is a repeat, and it carries the smallest
@@ -71,17 +71,21 @@ class Suffixes:
     def __len__(self) -> int:
         return len(self.path)
 
-    def groups(self, full: list[np.ndarray], buckets: int) -> np.ndarray:
+    def groups(self, plan: list[np.ndarray]) -> np.ndarray:
         """The group of the shortest prefix that is not too frequent; -1 if even the whole window is."""
         out = np.full(len(self), -1, np.int64)
-        for depth, (own, over) in enumerate(zip(self.buckets, full)):
-            fits = (out < 0) & ~over[own]
-            out[fits] = depth * buckets + own[fits]
+        for own, group in zip(self.buckets, plan):
+            left = out < 0
+            out[left] = group[own[left]]
         return out
 
 
-def overfull(docs: DataFrame, buckets: int, most: int, window: int = WINDOW) -> list[np.ndarray]:
-    """Per depth, the prefix buckets with more than ``most`` suffixes; counted over all documents."""
+def prefix_plan(docs: DataFrame, buckets: int, most: int, window: int = WINDOW) -> list[np.ndarray]:
+    """Per depth, the group of each prefix bucket; -1 where a bucket has more than ``most`` suffixes.
+
+    Counted over all documents. Neighbouring small prefixes share a group up to
+    about ``most`` suffixes, so that what a document sends to a group stays together.
+    """
     depths = len([k for k in DEPTHS if k < window]) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,12 +100,19 @@ def overfull(docs: DataFrame, buckets: int, most: int, window: int = WINDOW) ->
         )
 
     counts = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(count, "depth int, bucket int, n bigint")
-    over = counts.groupBy("depth", "bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > most)
-    out = [np.zeros(buckets, bool) for _ in range(depths)]
-    # At most one row per `most` suffixes and depth.
-    for row in over.select("depth", "bucket").collect():
-        out[row["depth"]][row["bucket"]] = True
-    return out
+    # A few buckets per group and depth, so the plan is as long as the list of groups.
+    rows = counts.groupBy("depth", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros((depths, buckets), np.int64)
+    n[rows.column("depth").to_numpy(), rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+    plan, first, share = [], 0, 1.0
+    for own in n:
+        over = own > most
+        # Of a deeper bucket only the share that no shorter prefix took is expected.
+        group = first + (np.cumsum(np.where(over, 0, own)) * share // most).astype(np.int64)
+        plan.append(np.where(over, -1, group))
+        first = int(group.max()) + 1
+        share *= own[over].sum() / max(1, own.sum())
+    return plan
 
 
 def _squeezed(values: np.ndarray) -> bytes:
@@ -117,7 +128,7 @@ def _restored(data: bytes, kind: type) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes).view(kind).reshape(-1), dtype=kind)
 
 
-def suffix_groups(docs: DataFrame, full: list[np.ndarray], buckets: int, window: int = WINDOW) -> DataFrame:
+def suffix_groups(docs: DataFrame, plan: list[np.ndarray], buckets: int, window: int = WINDOW) -> DataFrame:
     """``grp, path, doc, mark, place``: per writing task and group, its suffixes in packed form."""
 
     def cut(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
@@ -140,7 +151,7 @@ def suffix_groups(docs: DataFrame, full: list[np.ndarray], buckets: int, window:
         cache, held, n = WordHashes(), [], 0
         for batch in slices(batches):
             s = Suffixes(batch, cache, buckets, window)
-            group = s.groups(full, buckets)
+            group = s.groups(plan)
             keep = group >= 0
             held.append(tuple(x[keep] for x in (group, s.path, s.doc, s.mark, s.place)))
             n += len(held[-1][0])
@@ -185,14 +196,14 @@ def subtree_marks(groups: DataFrame) -> DataFrame:
     return groups.groupBy("grp").applyInArrow(search, "doc_id bigint, mark bigint, places binary")
 
 
-def frequent_marks(docs: DataFrame, full: list[np.ndarray], buckets: int, window: int = WINDOW) -> DataFrame:
+def frequent_marks(docs: DataFrame, plan: list[np.ndarray], buckets: int, window: int = WINDOW) -> DataFrame:
     """The same for windows too frequent for any group: aggregated per window, then joined back."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in slices(batches):
             s = Suffixes(batch, cache, buckets, window)
-            left = s.groups(full, buckets) < 0
+            left = s.groups(plan) < 0
             yield pa.RecordBatch.from_arrays(
                 [signed(s.path[left]), pa.array(s.doc[left]), pa.array(s.mark[left].astype(np.int64)), pa.array(s.place[left].astype(np.int64))],
                 ["path", "doc_id", "mark", "place"],
@@ -223,10 +234,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, most: int = SUFFIXES_
     kind = docs.schema["doc_id"].dataType.simpleString()
     # Words take six bytes or so; more buckets than groups keep most prefixes short.
     buckets = power_of_two(max(16, 4 * text_bytes(docs) / 6 / most))
-    full = overfull(docs, buckets, most, window)
-    marks = subtree_marks(suffix_groups(docs, full, buckets, window))
-    if full[-1].any():
-        marks = marks.unionByName(frequent_marks(docs, full, buckets, window))
+    plan = prefix_plan(docs, buckets, most, window)
+    marks = subtree_marks(suffix_groups(docs, plan, buckets, window))
+    if (plan[-1] < 0).any():
+        marks = marks.unionByName(frequent_marks(docs, plan, buckets, window))
     marks = saved(marks.groupBy("doc_id", "mark").agg(F.collect_list("places").alias("places")))
     texts = docs.select("doc_id", "text", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("_mark"))
     marks = marks.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_m"), "places")
