@@ -121,3 +121,15 @@ def test_estimates_by_quarter_equal_a_rescan(returns_df):
         part = cov[cov["period"] == period]
         assert part["delta"].iloc[0] == pytest.approx(delta, rel=1e-7, abs=1e-9)
         np.testing.assert_allclose(part.pivot(index="i", columns="j", values="cov").to_numpy(), shrunk * 252, rtol=1e-7)
+
+
+def test_sample_cov_of_small_moves_at_a_high_level(spark):
+    from datetime import date
+
+    from tideline.operators.estimators import sample_cov
+
+    days = [date(2020, 1, d) for d in (1, 2, 3, 6, 7, 8, 9, 10, 13, 14)]
+    rows = [("a", d, 1e9 + k % 3) for k, d in enumerate(days)]
+    returns = spark.createDataFrame(rows, "asset string, date date, r double")
+    expected = np.cov([k % 3 for k in range(10)]) * 252
+    assert abs(sample_cov(returns).first().cov - expected) < 1e-6

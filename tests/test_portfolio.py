@@ -254,3 +254,32 @@ def test_rebalancing(spark, panel_df, returns_df):
 def test_near_duplicates(spark):
     corr = spark.createDataFrame([("x", "y", 0.9999), ("y", "x", 0.9999), ("x", "x", 1.0), ("x", "z", 0.5)], "i string, j string, corr double")
     assert [(r.i, r.j) for r in panel.near_duplicates(corr).collect()] == [("x", "y")]
+
+
+def test_unknown_holding_is_not_lost(spark, make):
+    from tideline.operators.portfolio import performance, portfolio_value
+
+    panel = make([("a", "2020-01-02", 10.0), ("b", "2020-01-02", 4.0)])
+    weights = spark.createDataFrame(
+        [("known", "a", 0.5), ("known", "b", 0.5), ("unknown", "a", 0.5), ("unknown", "zz", 0.5)],
+        "portfolio string, asset string, weight double",
+    )
+    assert [(r.portfolio, r.value) for r in portfolio_value(panel, weights).collect()] == [("known", 7.0)]
+    mu = spark.createDataFrame([("a", 0.1), ("b", 0.2)], "asset string, mu double")
+    cov = spark.createDataFrame(
+        [("a", "a", 0.04), ("a", "b", 0.0), ("b", "a", 0.0), ("b", "b", 0.04)], "i string, j string, cov double"
+    )
+    got = {r.portfolio: (r.expected_return, r.volatility) for r in performance(weights, mu, cov).collect()}
+    assert got["unknown"] == (None, None)
+    assert abs(got["known"][0] - 0.15) < 1e-12 and abs(got["known"][1] - 0.02**0.5) < 1e-12
+
+
+def test_missing_covariance_is_reported(spark):
+    from tideline.operators.optimize import solve_weights
+
+    mu = spark.createDataFrame([("u", "a", 0.1), ("u", "b", 0.2)], "k string, asset string, mu double")
+    rows = [("u", "a", "a", 0.04), ("u", "b", "b", 0.04), ("u", "a", "b", None), ("u", "b", "a", 0.0)]
+    cov = spark.createDataFrame(rows, "k string, i string, j string, cov double")
+    for table in (cov, cov.where("i = j")):
+        out = solve_weights(mu, table, ["k"]).collect()
+        assert {r.status for r in out} == {"bad_covariance"} and len(out) == 4

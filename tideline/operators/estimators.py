@@ -40,8 +40,14 @@ def _until(returns: DataFrame, as_of: str | None) -> DataFrame:
 def sample_cov(
     returns: DataFrame, keys: Sequence[str] = (), frequency: int = FREQUENCY, n_blocks: int | None = None
 ) -> DataFrame:
-    """Annualised sample covariance over the days both assets have a return."""
-    sums = pair_moments(with_day(returns), _COV_POWERS, keys=keys, n_blocks=n_blocks)
+    """Annualised sample covariance over the days both assets have a return.
+
+    Each series is centred by its own mean first, so that the sums of products
+    keep their digits whatever the level of the values.
+    """
+    level = F.avg("r").over(Window.partitionBy(*keys, "asset"))
+    centred = with_day(returns).withColumn("r", F.col("r") - level)
+    sums = pair_moments(centred, _COV_POWERS, keys=keys, n_blocks=n_blocks)
     n, x, y, xy = (F.col(moment_name(*p)) for p in _COV_POWERS)
     cov = F.when(n >= 2, (xy - x * y / n) / (n - 1) * frequency)
     return both_triangles(sums, _COV_POWERS, keys).select(*keys, "i", "j", cov.alias("cov"))
@@ -146,8 +152,7 @@ def shrink_constant_correlation(
     group = group.select(
         *keys, "r_bar", F.least(F.greatest(F.coalesce(delta, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("delta")
     )
-    # One row per group of matrices: the groups are estimation dates, bounded by the calendar.
-    joined = centred.join(F.broadcast(group), list(keys)) if keys else _beside(centred, group)
+    joined = centred.join(group, list(keys)) if keys else _beside(centred, group)
     target = "case when i = j then s else coalesce(r_bar * scale, 0D) end"
     return joined.selectExpr(
         *keys, "i", "j", f"(delta * {target} + (1 - delta) * s) * {frequency} as cov", "delta"

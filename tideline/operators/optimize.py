@@ -40,10 +40,12 @@ def _group_solver(
             v = v + np.eye(size) * (1e-10 * max(np.trace(v) / size, 1e-300))
             support = np.zeros(size, dtype=bool)
             tolerance = 1e-10 * max(np.abs(b).max(), 1e-300)
+            done = False
             for _ in range(20 * size + 20):
                 slope = np.where(support, -np.inf, b - v @ y)
                 entering = int(np.argmax(slope))
                 if slope[entering] <= tolerance:
+                    done = True
                     break
                 support[entering] = True
                 while True:
@@ -58,7 +60,7 @@ def _group_solver(
                     y = y + ratio.min() * (step - y)
                     support[falling[ratio <= ratio.min()]] = False
                     y[~support] = 0.0
-            return y
+            return y, done
 
         frames = []
         mu_rows = mu_rows.dropna(subset=["mu"]).sort_values("asset")
@@ -69,7 +71,8 @@ def _group_solver(
         if size:
             mu = mu_rows.set_index("asset")["mu"].reindex(held).to_numpy()
             cov_rows = cov_rows[cov_rows["i"].isin(held) & cov_rows["j"].isin(held)]
-            v = np.zeros((size, size))
+            # A pair without an entry is unknown, not uncorrelated.
+            v = np.full((size, size), np.nan)
             v[np.searchsorted(held, cov_rows["i"]), np.searchsorted(held, cov_rows["j"])] = cov_rows["cov"]
             spread = max(mu.max() - mu.min(), 1e-300)
             for objective in objectives:
@@ -82,7 +85,11 @@ def _group_solver(
                 else:
                     targets = [(objective, mu - rf if objective == "max_sharpe" else np.ones(size))]
                 for name, b in targets:
-                    y = nonnegative_quadratic(v, b)
+                    if np.isnan(v).any():
+                        y, status = np.full(size, np.nan), "bad_covariance"
+                    else:
+                        y, done = nonnegative_quadratic(v, b)
+                        status = "not_converged" if not done else "optimal" if y.sum() > 0 else "no_excess_return"
                     solved = y.sum() > 0
                     frames.append(
                         pd.DataFrame(
@@ -92,7 +99,7 @@ def _group_solver(
                                 "weight": y / y.sum() if solved else np.nan,
                                 # Scale of the unnormalised solution, used to price further assets.
                                 "scale": y.sum() if solved else np.nan,
-                                "status": "optimal" if solved else "no_excess_return",
+                                "status": status,
                             }
                         )
                     )
@@ -127,7 +134,7 @@ def solve_weights(
     ``mu`` is ``keys, asset, mu`` and ``cov`` ``keys, i, j, cov`` with both
     triangles. The objective ``frontier`` yields ``points`` portfolios. Without
     any asset above ``rf`` the max-Sharpe weights are NULL and say so in
-    ``status``. A universe above ``limit`` assets is refused, not truncated.
+    ``status``, and so they are where a covariance is missing (``bad_covariance``). A universe above ``limit`` assets is refused, not truncated.
     """
     return _solve(mu, cov, keys, objectives, rf, points, limit).drop("scale")
 

@@ -126,13 +126,12 @@ def complete_cases(panel: DataFrame, keys: Sequence[str] = ("date",), value: str
     """Rows of those dates on which no asset is missing.
 
     The panel has a row per asset and date, so a date is complete when it has
-    as many values as rows. Counting pre-aggregates on the map side. The list of
-    complete dates cannot outgrow the calendar, so it is broadcast and the panel
-    itself stays where it is. ``keys`` must therefore be made of dates or periods.
+    as many values as rows. Counting pre-aggregates on the map side; Spark
+    broadcasts the list of complete dates while its measured size allows that.
     """
     full = panel.groupBy(*keys).agg(F.count(value).alias("have"), F.count(F.lit(1)).alias("want"))
     dates = full.where(F.col("have") == F.col("want")).select(*keys)
-    return panel.join(F.broadcast(dates), list(keys), "left_semi")
+    return panel.join(dates, list(keys), "left_semi")
 
 
 def series_quality(observations: DataFrame, order: str = "seq", chunk: int = 1_000_000) -> DataFrame:

@@ -33,17 +33,18 @@ def clean_weights(weights: DataFrame, cutoff: float = 1e-4, digits: int = 5) ->
 def portfolio_value(panel: DataFrame, weights: DataFrame) -> DataFrame:
     """Sum of weight x price per portfolio, on days when no asset's price is missing.
 
-    Weights act as unit holdings and are matched to assets by name. One job
-    serves all portfolios; the sum pre-aggregates before its shuffle.
+    Weights act as unit holdings and are matched to assets by name. A day counts
+    only if every holding is priced, so a holding that the panel does not know
+    leaves its portfolio without values. One job serves all portfolios; the sum
+    pre-aggregates before its shuffle.
     """
-    held = panel.select("asset", "date", "price").join(weights.select("portfolio", "asset", "weight"), "asset")
+    holdings = weights.select("portfolio", "asset", "weight")
+    sizes = holdings.groupBy("portfolio").agg(F.count(F.lit(1)).alias("want"))
+    held = panel.select("asset", "date", "price").join(holdings, "asset")
     return (
         held.groupBy("portfolio", "date")
-        .agg(
-            F.sum(F.col("price") * F.col("weight")).alias("value"),
-            F.count("price").alias("have"),
-            F.count(F.lit(1)).alias("want"),
-        )
+        .agg(F.sum(F.col("price") * F.col("weight")).alias("value"), F.count("price").alias("have"))
+        .join(sizes, "portfolio")
         .where(F.col("have") == F.col("want"))
         .select("portfolio", "date", "value")
     )
@@ -52,11 +53,15 @@ def portfolio_value(panel: DataFrame, weights: DataFrame) -> DataFrame:
 def performance(
     weights: DataFrame, mu: DataFrame, cov: DataFrame, keys: Sequence[str] = (), rf: float = RISK_FREE
 ) -> DataFrame:
-    """Expected return, volatility and Sharpe ratio per portfolio."""
+    """Expected return, volatility and Sharpe ratio per portfolio.
+
+    A holding without an estimate makes the figure that needs it NULL, not smaller.
+    """
     by = [*keys, "portfolio"]
     held = weights.where(F.col("weight") != 0)
-    gains = held.join(mu, [*keys, "asset"]).groupBy(*by).agg(
-        F.sum(F.col("weight") * F.col("mu")).alias("expected_return")
+    n = F.count(F.lit(1))
+    gains = held.join(mu, [*keys, "asset"], "left").groupBy(*by).agg(
+        F.when(F.count("mu") == n, F.sum(F.col("weight") * F.col("mu"))).alias("expected_return"), n.alias("n_held")
     )
     left = held.select(*by, F.col("asset").alias("i"), F.col("weight").alias("w_i"))
     right = held.select(*by, F.col("asset").alias("j"), F.col("weight").alias("w_j"))
@@ -64,9 +69,10 @@ def performance(
         left.join(cov, [*keys, "i"])
         .join(right, [*by, "j"])
         .groupBy(*by)
-        .agg(F.sum(F.col("w_i") * F.col("w_j") * F.col("cov")).alias("variance"))
+        .agg(F.sum(F.col("w_i") * F.col("w_j") * F.col("cov")).alias("variance"), F.count("cov").alias("n_pairs"))
     )
-    scored = gains.join(variance, by).withColumn("volatility", F.sqrt("variance"))
+    complete = F.col("n_pairs") == F.col("n_held") * F.col("n_held")
+    scored = gains.join(variance, by, "left").withColumn("volatility", F.when(complete, F.sqrt("variance")))
     return scored.select(*by, "expected_return", "volatility", _sharpe(rf).alias("sharpe"))
 
 
