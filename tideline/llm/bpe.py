@@ -1,11 +1,13 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions (operator 4).
 
 Encoding: a first pass cuts each text by the tokenizer's pattern and gives, per
-few megabytes of text, the distinct pieces and the place of every piece among
-them. Spark then folds the ranked merges over the bytes of each distinct piece:
-the state holds the parts of the piece and the rank of every neighbouring pair,
-each step joins the leftmost pair of the lowest rank. The ranks are one literal:
-an array of small maps, so that a lookup compares a few keys. A last pass puts the ids of the pieces back in text order. Nothing is shuffled.
+few megabytes of text, the distinct pieces as arrays of byte ids, and the place
+of every piece among them. Spark then folds the ranked merges over the array of
+each distinct piece: the state holds the parts of the piece and the rank of
+every neighbouring pair, each step joins the leftmost pair of the lowest rank.
+The rank map is one literal: rows of right neighbours laid over one another in
+an array, so that a look-up is one read. A last pass puts the ids of the pieces
+back in text order. Nothing is shuffled.
 
 Decoding looks every id up in a literal array and joins the pieces' bytes.
 
@@ -22,7 +24,6 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +36,11 @@ from tideline.llm.common import slices
 
 SLICE = 8 << 20
 LONG = 256
-#: Ranks per small map, about.
-KEYS_PER_MAP = 4
-NONE = 2**31 - 1
+#: Bits of an id in a cell of the rank map, and a cell that no row owns.
+BITS = 20
+EMPTY = 1 << 2 * BITS + 1
+#: Bits of a place in a piece of ``LONG`` bytes.
+PLACE_BITS = 12
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -50,13 +53,46 @@ def _name(piece: bytes) -> str:
     return piece.hex().upper()
 
 
-def _rank_literal(ranks: dict[bytes, int]) -> tuple[Column, int]:
-    """The ranks by the piece's hex form, as an array of maps by its checksum."""
-    n = max(1, len(ranks) // KEYS_PER_MAP)
-    maps: list[dict[str, int]] = [{} for _ in range(n)]
+def _literal(values: list, kind: str) -> Column:
+    """A constant array in the plan."""
+    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), kind)
+
+
+def pair_rows(ranks: dict[bytes, int]) -> dict[int, dict[int, int]]:
+    """For each part its right neighbours, and what both join to."""
+    rows: dict[int, dict[int, int]] = {}
     for piece, rank in ranks.items():
-        maps[zlib.crc32(_name(piece).encode()) % n][_name(piece)] = rank
-    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,int>>"), n
+        for i in range(1, len(piece)):
+            left, right = ranks.get(piece[:i]), ranks.get(piece[i:])
+            if left is not None and right is not None:
+                rows.setdefault(left, {})[right] = rank
+    return rows
+
+
+def packed(rows: dict[int, dict[int, int]], size: int) -> tuple[list[int], list[int]]:
+    """The rows laid over one another in one array, and where each row starts.
+
+    A cell holds the row's number above ``BITS`` bits and the value below, so a
+    look-up is one read and an exclusive or: what is left is under ``2**BITS``
+    only if the cell is the row's own. Larger rows choose their place first.
+    """
+    starts = np.zeros(size, np.int64)
+    room = 2 * sum(map(len, rows.values()))
+    cells = np.full(room + size, EMPTY, np.int64)
+    drawn = np.random.default_rng(0)
+    for left, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+        rights = np.fromiter(row, np.int64, len(row))
+        fits = np.zeros(0, np.int64)
+        while not len(fits):
+            at = drawn.integers(0, room, 64)
+            fits = at[(cells[at[:, None] + rights] == EMPTY).all(axis=1)]
+            if not len(fits):
+                # Fuller than a row this long can bear: a little more room at the end.
+                room += 64
+                cells = np.r_[cells, np.full(64, EMPTY, np.int64)]
+        starts[left] = fits[0]
+        cells[fits[0] + rights] = (left << BITS) | np.fromiter(row.values(), np.int64, len(row))
+    return starts.tolist(), cells.tolist()
 
 
 def _let(value: Column, body) -> Column:
@@ -64,51 +100,74 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def encoded_piece(piece: Column, ranks: dict[bytes, int]) -> Column:
-    """The ids of one piece (binary)."""
-    maps, n = _rank_literal(ranks)
+def encoded_pieces(pieces: Column, ranks: dict[bytes, int]) -> Column:
+    """The ids of every piece, given as the ids of its bytes between two ``edge(ranks)``."""
+    starts, cells = packed(pair_rows(ranks), edge(ranks) + 1)
+    # Bound once, so that the plan holds one copy of the map.
+    each = lambda s, c: F.transform(pieces, lambda p: _folded(p, s, c))
+    return _let(_literal(starts, "array<bigint>"), lambda s: _let(_literal(cells, "array<bigint>"), lambda c: each(s, c)))
+
+
+def _folded(parts: Column, starts: Column, cells: Column) -> Column:
+    rest = F.lit(1 << 30)
 
-    def rank(x: Column) -> Column:
-        own = F.get(maps, F.pmod(F.crc32(x.cast("binary")), F.lit(n)).cast("int"))
-        return F.coalesce(F.element_at(own, x), F.lit(NONE))
+    def rank(a: Column, b: Column) -> Column:
+        """The rank of the pair, or a number from ``2**BITS`` on if it has none."""
+        return F.get(cells, F.get(starts, a) + b).bitwiseXOR(F.shiftleft(a, BITS))
 
     def step(state: Column) -> Column:
         p, r = state["p"], state["r"]
 
-        def joined(k: Column) -> Column:
-            """k: 1-based place of the pair that is joined."""
-            new = F.concat(F.get(p, k - 1), F.get(p, k))
+        def joined(least: Column) -> Column:
+            low = F.shiftright(least, PLACE_BITS)
 
-            def rebuilt(v: Column) -> Column:
-                m = v["m"]
-                parts = F.concat(F.slice(p, F.lit(1), k - 1), F.array(m), F.slice(p, k + 2, F.size(p)))
-                left = F.when(k > 1, F.array(rank(F.concat(F.get(p, k - 2), m)))).otherwise(F.array().cast("array<int>"))
-                right = F.when(k < F.size(r), F.array(rank(F.concat(m, F.get(p, k + 1))))).otherwise(
-                    F.array().cast("array<int>")
+            def rebuilt(k: Column) -> Column:
+                """k: 0-based place of the pair that is joined; the edges are never part of one."""
+                new = F.array(rank(F.get(p, k - 1), low), rank(low, F.get(p, k + 2)))
+                return F.struct(
+                    F.concat(F.slice(p, F.lit(1), k), F.array(low), F.slice(p, k + 3, rest)).alias("p"),
+                    F.concat(F.slice(r, F.lit(1), k - 1), new, F.slice(r, k + 3, rest)).alias("r"),
                 )
-                pairs = F.concat(F.slice(r, F.lit(1), F.greatest(k - 2, F.lit(0))), left, right, F.slice(r, k + 2, F.size(r)))
-                return F.struct(parts.alias("p"), pairs.alias("r"))
 
-            return _let(F.struct(new.alias("m")), rebuilt)
+            place = least.bitwiseAND((1 << PLACE_BITS) - 1).cast("int")
+            return F.when(least < 1 << BITS + PLACE_BITS, _let(place, rebuilt)).otherwise(state)
+
+        # Rank and place in one number; array_position would throw an exception for every value found.
+        placed = F.transform(r, lambda x, i: F.shiftleft(x, PLACE_BITS) + i)
+        return _let(F.array_min(placed), joined)
+
+    pairs = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x, i: rank(x, F.get(parts, i + 1)))
+    return F.aggregate(
+        F.slice(parts, F.lit(4), rest),
+        F.struct(parts.alias("p"), pairs.alias("r")),
+        lambda state, _: step(state),
+        lambda state: F.slice(state["p"], F.lit(2), F.size(state["p"]) - 2),
+    )
 
-        return _let(
-            F.array_min(r),
-            lambda low: F.when(low < NONE, _let(F.array_position(r, low).cast("int"), joined)).otherwise(state),
-        )
 
-    size = F.octet_length(piece)
-    parts = F.transform(F.sequence(F.lit(1), size), lambda i: F.hex(F.substring(piece, i, F.lit(1))))
+def edge(ranks: dict[bytes, int]) -> int:
+    """The id that stands before and after a piece; no pair has it."""
+    return max(ranks.values(), default=-1) + 1
 
-    def folded(first: Column) -> Column:
-        pairs = F.transform(
-            F.slice(first, F.lit(1), F.size(first) - 1), lambda x, i: rank(F.concat(x, F.get(first, i + 1)))
-        )
-        start = F.struct(first.alias("p"), pairs.alias("r"))
-        steps = F.slice(first, F.lit(2), F.size(first))
-        return F.aggregate(steps, start, lambda state, _: step(state), lambda state: F.transform(state["p"], rank))
 
-    whole = rank(F.hex(piece))
-    return _let(whole, lambda x: F.when(x < NONE, F.array(x)).otherwise(_let(parts, folded)))
+def byte_parts(pieces: list[bytes], ranks: dict[bytes, int]) -> pa.ListArray:
+    """Per piece the ids of its bytes, or its own id where it has one, between two edges; null if longer than ``LONG``."""
+    whole = {i: rank for i, p in enumerate(pieces) if (rank := ranks.get(p)) is not None}
+    long = np.fromiter((len(p) > LONG for p in pieces), bool, len(pieces))
+    taken = [b"\0" if i in whole else b"" if long[i] else p for i, p in enumerate(pieces)]
+    sizes = np.fromiter(map(len, taken), np.int64, len(taken))
+    ids = np.array([ranks.get(bytes([x]), -1) for x in range(256)], np.int64)
+    ends = np.cumsum(np.where(long, 0, sizes + 2))
+    flat = np.full(ends[-1] if len(ends) else 0, edge(ranks), np.int64)
+    # A piece's bytes go one place after its first edge.
+    at = np.arange(sizes.sum()) + np.repeat(ends - 1 - np.cumsum(sizes), sizes)
+    flat[at] = ids[np.frombuffer(b"".join(taken), np.uint8)]
+    if whole:
+        flat[ends[list(whole)] - 2] = list(whole.values())
+    if (flat < 0).any():
+        raise ValueError("a byte has no id")
+    offsets = pa.array(np.r_[0, ends], pa.int32(), mask=np.r_[long, False])
+    return pa.ListArray.from_arrays(offsets, pa.array(flat))
 
 
 def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -169,9 +228,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
                     one(batch.column("doc_id")),
                     one(pa.array(ends, pa.int32())),
                     one(pa.array(flat)),
-                    one(pa.array([p.encode() for p in places], pa.binary())),
+                    one(byte_parts(pieces := [p.encode() for p in places], ranks)),
+                    one(pa.array([p for p in pieces if len(p) > LONG], pa.binary())),
                 ],
-                ["doc_ids", "sizes", "at", "pieces"],
+                ["doc_ids", "sizes", "at", "parts", "long"],
             )
 
     def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +241,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
                 found = batch.column("ids")[row].values
                 if found.null_count:
                     by_heap = iter([merged(p, ranks) for p in batch.column("long")[row].as_py()])
-                    found = pa.array([next(by_heap) if x is None else x for x in found.to_pylist()], pa.list_(pa.int32()))
+                    found = pa.array([next(by_heap) if x is None else x for x in found.to_pylist()], pa.list_(pa.int64()))
                 lengths = np.diff(found.offsets.to_numpy())
                 values = found.values.to_numpy(zero_copy_only=False).astype(np.int32, copy=False)
                 starts, long = found.offsets.to_numpy()[:-1], lengths[at]
@@ -195,11 +255,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
                 )
 
     rows = docs.select("doc_id", "text").mapInArrow(
-        cut, f"doc_ids array<{kind}>, sizes array<int>, at array<int>, pieces array<binary>"
+        cut, f"doc_ids array<{kind}>, sizes array<int>, at array<int>, parts array<array<bigint>>, long array<binary>"
     )
-    ids = F.transform("pieces", lambda p: F.when(F.octet_length(p) <= LONG, encoded_piece(p, ranks)))
-    long = F.filter("pieces", lambda p: F.octet_length(p) > LONG)
-    return rows.select("doc_ids", "sizes", "at", ids.alias("ids"), long.alias("long")).mapInArrow(
+    ids = encoded_pieces(F.col("parts"), ranks)
+    return rows.select("doc_ids", "sizes", "at", ids.alias("ids"), "long").mapInArrow(
         restore, f"doc_id {kind}, ids array<int>"
     )
 
@@ -209,7 +268,7 @@ def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
     names = [""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
         names[rank] = _name(piece)
-    pieces = F.from_json(F.lit(json.dumps(names, separators=(",", ":"))), "array<string>")
+    pieces = _literal(names, "array<string>")
     known = lambda i: F.coalesce(
         F.nullif(F.get(pieces, i), F.lit("")), F.raise_error(F.lit("id without a piece")).cast("string")
     )
