@@ -234,6 +234,30 @@ def test_bpe(docs, rows, ranks):
     assert Counter((r.doc_id, bytes(r.b)) for r in back.collect()) == Counter((r[0], (r[1] or "").encode()) for r in rows)
 
 
+def test_rank_map():
+    pieces = [b"a", b"b", b"c", b"ab", b"bc", b"abc", b"aa", b"cab"]
+    ranks = {piece: rank for rank, piece in enumerate(pieces)}
+    size = bpe.edge(ranks) + 1
+    starts, cells = bpe.packed(bpe.pair_rows(ranks), size)
+    for a in range(size):
+        for b in range(size):
+            joined = (pieces + [b"?"])[a] + (pieces + [b"?"])[b]
+            found = cells[starts[a] + b] ^ (a << bpe.BITS)
+            assert found == ranks[joined] if joined in ranks else found >= 1 << bpe.BITS
+    assert len(bpe.packed({}, 1)[0]) == 1
+
+
+def test_byte_parts(ranks):
+    edge = bpe.edge(ranks)
+    unknown = "zqzqx".encode()
+    own = next(iter(ranks))
+    assert unknown not in ranks
+    parts = bpe.byte_parts([unknown, b"x" * (bpe.LONG + 1), own, unknown], ranks).to_pylist()
+    spelled = [edge, *(ranks[bytes([x])] for x in unknown), edge]
+    assert parts == [spelled, None, [edge, ranks[own], edge], spelled]
+    assert bpe.byte_parts([], ranks).to_pylist() == []
+
+
 def test_heap_merges(ranks):
     official = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
     rng = random.Random(8)
