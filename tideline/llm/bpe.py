@@ -132,7 +132,7 @@ def _folded(parts: Column, starts: Column, cells: Column) -> Column:
             place = least.bitwiseAND((1 << PLACE_BITS) - 1).cast("int")
             return F.when(least < 1 << BITS + PLACE_BITS, _let(place, rebuilt)).otherwise(state)
 
-        # Rank and place in one number; array_position would throw an exception for every value found.
+        # Rank and place in one number, so that one minimum gives both.
         placed = F.transform(r, lambda x, i: F.shiftleft(x, PLACE_BITS) + i)
         return _let(F.array_min(placed), joined)
 
