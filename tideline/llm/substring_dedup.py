@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import WordHashes, byte_texts, power_of_two, saved, signed, slices, text_bytes, windows
+from tideline.llm.common import WordHashes, byte_texts, mixed, power_of_two, saved, signed, slices, text_bytes, windows
 
 WINDOW = 13
 DEPTHS = (1, 2, 4)
@@ -166,8 +166,13 @@ def suffix_groups(docs: DataFrame, plan: list[np.ndarray], buckets: int, window:
     )
 
 
-def subtree_marks(groups: DataFrame) -> DataFrame:
-    """``doc_id, mark, places``: the leaves whose window also starts in a smaller document."""
+def subtree_marks(groups: DataFrame, shards: int) -> DataFrame:
+    """``doc_id, mark, places``: per document its leaves whose window also starts in a smaller document.
+
+    A subtree answers with one packed row per shard of documents, so that its
+    rows do not multiply with the documents it meets; a shard's rows are then
+    dealt to the documents.
+    """
 
     def search(key: tuple, table: pa.Table) -> pa.Table:
         blobs = {c: table.column(c).to_pylist() for c in ("path", "doc", "mark", "place")}
@@ -184,16 +189,30 @@ def subtree_marks(groups: DataFrame) -> DataFrame:
         doc, order = doc[later], order[later]
         mark = np.concatenate([_restored(b, np.uint32) for b in blobs["mark"]])[order]
         place = np.concatenate([_restored(b, np.uint32) for b in blobs["place"]])[order]
+        shard = (mixed(doc.view(np.uint64)) & np.uint64(shards - 1)).astype(np.int32)
+        by = np.lexsort((place, mark, doc, shard))
+        doc, mark, place = doc[by], mark[by], place[by]
+        own, first = np.unique(shard[by], return_index=True)
+        cuts = [slice(i, j) for i, j in zip(first, np.r_[first[1:], len(doc)])]
+        packed = [pa.array([_squeezed(x[c]) for c in cuts], pa.binary()) for x in (doc, mark, place)]
+        return pa.table([pa.array(own), *packed], ["shard", "doc", "mark", "place"])
+
+    def deal(key: tuple, table: pa.Table) -> pa.Table:
+        kinds = {"doc": np.int64, "mark": np.uint32, "place": np.uint32}
+        doc, mark, place = (
+            np.concatenate([_restored(b, kind) for b in table.column(c).to_pylist()]) for c, kind in kinds.items()
+        )
         by = np.lexsort((place, mark, doc))
         doc, mark, place = doc[by], mark[by], place[by]
-        first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])][: len(doc)])
-        places = [place[i:j].tobytes() for i, j in zip(first, np.r_[first[1:], len(doc)])] if len(first) else []
+        first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])])
+        places = [place[i:j].tobytes() for i, j in zip(first, np.r_[first[1:], len(doc)])]
         return pa.table(
             [pa.array(doc[first]), pa.array(mark[first].astype(np.int64)), pa.array(places, pa.binary())],
             ["doc_id", "mark", "places"],
         )
 
-    return groups.groupBy("grp").applyInArrow(search, "doc_id bigint, mark bigint, places binary")
+    answers = groups.groupBy("grp").applyInArrow(search, "shard int, doc binary, mark binary, place binary")
+    return answers.groupBy("shard").applyInArrow(deal, "doc_id bigint, mark bigint, places binary")
 
 
 def frequent_marks(docs: DataFrame, plan: list[np.ndarray], buckets: int, window: int = WINDOW) -> DataFrame:
@@ -235,7 +254,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, most: int = SUFFIXES_
     # Words take six bytes or so; more buckets than groups keep most prefixes short.
     buckets = power_of_two(max(16, 4 * text_bytes(docs) / 6 / most))
     plan = prefix_plan(docs, buckets, most, window)
-    marks = subtree_marks(suffix_groups(docs, plan, buckets, window))
+    # A shard answers for about as many suffixes as a group holds.
+    marks = subtree_marks(suffix_groups(docs, plan, buckets, window), max(1, buckets // 4))
     if (plan[-1] < 0).any():
         marks = marks.unionByName(frequent_marks(docs, plan, buckets, window))
     marks = saved(marks.groupBy("doc_id", "mark").agg(F.collect_list("places").alias("places")))
