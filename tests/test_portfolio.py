@@ -133,6 +133,16 @@ def test_large_universes_give_the_same_weights(spark, objective):
         optimize.solve_weights(mu, cov, ("g",), limit=10).collect()
 
 
+def test_large_universes_without_a_solution_say_so(spark):
+    mu = spark.createDataFrame([("v", a, 0.01) for a in "abcd"], "g string, asset string, mu double")
+    cov = spark.createDataFrame(
+        [("v", i, j, 1.0 if i == j else 0.0) for i in "abcd" for j in "abcd"], "g string, i string, j string, cov double"
+    )
+    out = optimize.solve_large(mu, cov, ("g",), "max_sharpe", start=2).toPandas()
+    assert sorted(out["asset"]) == list("abcd")
+    assert out["weight"].isna().all() and set(out["status"]) == {"no_excess_return"}
+
+
 def test_candidates_never_beat_the_optimum(spark):
     mu, cov, problems = random_problem(spark, 6, 3)
     scored = portfolio.candidates(mu, cov, ("g",))

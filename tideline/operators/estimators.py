@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tideline.functions.calendar import business_ordinal, period_end, period_number
 from tideline.functions.stats import span_decay
 from tideline.operators.pairs import both_triangles, moment_name, pair_moments
-from tideline.operators.panel import complete_cases, with_day
+from tideline.operators.panel import between_years, complete_cases, with_day
 
 FREQUENCY = 252
 
@@ -64,7 +64,7 @@ def period_cov(
     year = F.year("date")
     period = F.coalesce(*(F.when(year.between(lo, hi), F.lit(name)) for name, (lo, hi) in periods.items()))
     weekly = (
-        returns.where(year.between(min(lo for lo, _ in periods.values()), max(hi for _, hi in periods.values())))
+        between_years(returns, min(lo for lo, _ in periods.values()), max(hi for _, hi in periods.values()))
         .withColumn("period", period)
         .where(F.col("period").isNotNull())
         .groupBy("period", "asset", period_number(F.col("date"), "weekly").alias("n"))

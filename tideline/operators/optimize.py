@@ -207,7 +207,13 @@ def solve_large(
         if entering.isEmpty():
             break
         working = support.select(*keys, "asset").unionByName(entering).checkpoint()
-    rest = assets.join(working, [*keys, "asset"], "left_anti").select(
-        *keys, F.lit(objective).alias("portfolio"), "asset", F.lit(0.0).alias("weight"), F.lit("optimal").alias("status")
+    # Assets outside the working set share the fate of their universe.
+    fate = solved.groupBy(*keys).agg(F.first("status").alias("status"))
+    rest = assets.join(working, [*keys, "asset"], "left_anti").join(fate, keys, "left").select(
+        *keys,
+        F.lit(objective).alias("portfolio"),
+        "asset",
+        F.when(F.col("status") == "optimal", F.lit(0.0)).alias("weight"),
+        "status",
     )
     return solved.drop("scale").unionByName(rest)
