@@ -304,6 +304,33 @@ def test_mixing(docs, rows):
         assert mixing.mixed(docs, registry.mix_path(docs), mix).columns == docs.columns
 
 
+def test_mixing_spends_the_quota(spark):
+    """A document longer than what is left gives its first tokens."""
+    rng = random.Random(3)
+    rows = [(i, "\n ".join(f"w{rng.randrange(50)}" for _ in range(rng.choice([3, 40, 900]))) + " ", "en", f"src{i % 7}", 1) for i in range(60)]
+    rows += [(100, "lead  in\tand more of it " * 500, "de", "src8", 1), (101, "a b c d e f g", "fr", "src9", 1)]
+    rows += [(None, f"{'no id ' * 30}{k}", "es", "src2", 1) for k in range(9)]
+    rows += [(200, "twice the same row " * 9, "es", "src1", 1)] * 2
+    docs = saved(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"))
+    for mix in (registry.MIX, mixing.Mix(budget_percent=50, max_epochs=1, seed=3), mixing.Mix(budget_percent=30, max_epochs=2)):
+        size, given, drawn = defaultdict(int), defaultdict(int), Counter()
+        for r in mixing.assigned(docs, registry.mix_path(docs), mix).collect():
+            leaf = r["_d0"], r["_d1"], r["_d2"]
+            size[leaf] += r.n_tokens
+            given[leaf] += r.n_tokens * r["_whole"] + r["_part"]
+            assert 0 <= r["_part"] <= r.n_tokens
+        for leaf, quota in filled_tree(size, sum(size.values()) * mix.budget_percent // 100, mix).items():
+            assert quota - given[leaf] in ((0, 1) if leaf[1:] == ("es", "src1") else (0,))
+        texts = defaultdict(set)
+        for r in rows:
+            texts[r[0]].add(r[1])
+        for r in mixing.mixed(docs, registry.mix_path(docs), mix).collect():
+            drawn[r.lang, r.source] += len(WORD.findall(r.text))
+            if r.text not in texts[r.doc_id]:
+                assert any(t.startswith(r.text) for t in texts[r.doc_id]) and r.n_chars == len(r.text)
+        assert drawn == Counter({leaf[1:]: n for leaf, n in given.items()})
+
+
 def filled_tree(size, budget, mix):
     """Water filling by repeated rounds: what full children leave goes to their siblings."""
 

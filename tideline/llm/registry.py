@@ -56,7 +56,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col(lang).alias("lang"),
         F.col(source).alias("source"),
         "n_tokens",
-        F.col("_epochs").cast("bigint").alias("epochs"),
+        F.col("_whole").cast("bigint").alias("epochs"),
     )
 
 
