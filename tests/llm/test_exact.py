@@ -180,6 +180,20 @@ def test_family_of_near_copies(spark):
     assert ngram_join.representatives(df).count() == len(set(expected))
 
 
+def test_representatives_of_shared_ids(spark):
+    """A near copy does not take along other texts under its id."""
+    prose = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [
+        (1, prose("a")), (3, prose("a") + " end"), (3, prose("b")), (5, prose("b") + " end"), (3, prose("b") + " more"),
+        (4, ""), (4, None), (6, prose("c")), (None, prose("a")),
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = Counter(tuple(r) for r in ngram_join.representatives(df).collect())
+    twins = [r for r in kept if r[0] == 3]
+    assert len(twins) == 1 and twins[0] in (rows[2], rows[4])
+    assert kept == Counter([rows[0], twins[0], *rows[5:]])
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(100, rng.randrange(101, 160)) for _ in range(50)] + [(200, 200)]

@@ -124,8 +124,12 @@ def prefix_length(n: int) -> int:
     return n - (PERCENT * n + 99) // 100 + 1
 
 
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def digests(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``doc_id, n, node, check, gid, prefix``; the prefix is given once per task and group.
+    """``doc_id, text_hash, n, node, check, gid, prefix``; the prefix is given once per task and group.
 
     ``node`` and ``check`` hash the whole set, ``gid`` the prefix and the size.
     Prefix shingles are in order; the frequent ones have negative numbers.
@@ -172,17 +176,18 @@ def digests(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("text_hash"),
                     pa.array(sizes, pa.int64()),
                     pa.array(node, pa.int64()),
                     pa.array(check, pa.int64()),
                     pa.array(gid, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), signed(values)),
                 ],
-                ["doc_id", "n", "node", "check", "gid", "prefix"],
+                ["doc_id", "text_hash", "n", "node", "check", "gid", "prefix"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        digest, f"doc_id {kind}, n bigint, node bigint, check bigint, gid bigint, prefix array<bigint>"
+    return docs.select("doc_id", "text", _text_hash(F.col("text")).alias("text_hash")).mapInArrow(
+        digest, f"doc_id {kind}, text_hash bigint, n bigint, node bigint, check bigint, gid bigint, prefix array<bigint>"
     )
 
 
@@ -284,6 +289,11 @@ def _pairs(df: DataFrame) -> DataFrame:
 
 def linked_components(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row; the component is named by its smallest ``doc_id``."""
+    return _linked(docs, frequent).select("doc_id", "n_shingles", "component_id")
+
+
+def _linked(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """``doc_id, text_hash, n_shingles, comp, component_id`` for every row; components of one name differ in ``comp``."""
     digest = saved(digests(docs, frequent_shingles(docs, frequent)))
     nodes = saved(
         digest.filter("node is not null")
@@ -357,16 +367,25 @@ def linked_components(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
         member = nodes.join(labels, "node", "left").select("node", "doc", F.coalesce("label", "node").alias("comp"))
 
     names = member.groupBy("comp").agg(F.min("doc").alias("component_id"))
-    named = member.join(names, "comp").select("node", "component_id")
-    return digest.select("doc_id", "n", "node").join(named, "node", "left").select(
+    named = member.join(names, "comp").select("node", "comp", "component_id")
+    return digest.select("doc_id", "text_hash", "n", "node").join(named, "node", "left").select(
         "doc_id",
+        "text_hash",
         F.col("n").alias("n_shingles"),
+        "comp",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """One document of each component, the smallest ``doc_id``, with all columns; a null ``doc_id`` stays."""
-    found = linked_components(docs)
-    drop = saved(found.filter("doc_id != component_id").select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(drop, docs["doc_id"] == drop["_id"], "left_anti")
+    """One document of each component, the smallest ``doc_id``, with all columns; a null ``doc_id`` stays.
+
+    Rows are judged by ``doc_id`` and text, so different texts under one id do not take each other along; of
+    those in one component the smallest text hash stays. Rows repeated with id and text stay together.
+    """
+    found = saved(_linked(docs))
+    first = F.min("text_hash").over(Window.partitionBy("doc_id", "comp"))
+    twins = found.filter("doc_id = component_id and comp is not null").withColumn("first", first).filter("text_hash != first")
+    drop = found.filter("doc_id != component_id").select("doc_id", "text_hash").unionByName(twins.select("doc_id", "text_hash"))
+    drop = saved(drop.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
+    return docs.join(drop, (docs["doc_id"] == drop["_id"]) & (_text_hash(docs["text"]) == drop["_hash"]), "left_anti")
