@@ -142,6 +142,43 @@ from placed
 """
 
 
+OP12 = r"""
+with turns as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+         row_number() over (partition by conv_id order by turn nulls first,
+           md5(strlen(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, ''))) as i
+  from conversations where conv_id is not null),
+crc as (
+  -- unsigned CRC-32 of the decimal conv_id, bit by bit
+  select conv_id, (list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda ch: ascii(ch)::bigint)),
+           lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+             lambda x, z: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end))) as c
+  from (select distinct conv_id from turns)),
+head as (select conv_id, xor(c, 4294967295) % 4 as h from crc),
+rebuilt as (
+  select head.conv_id, t.i, t.role, t.text from head join turns t on t.conv_id = head.conv_id - head.conv_id % 20 and t.i <= h
+  union all
+  select head.conv_id, 1000000 + t.i, t.role, t.text from head join turns t on t.conv_id = head.conv_id and t.i > h),
+seq as (
+  select conv_id, row_number() over (partition by conv_id order by i) as d, {'r': role, 't': text} as x from rebuilt),
+path as (select conv_id, list(x order by d) as p from seq group by conv_id
+         union all select conv_id, [] from head where conv_id not in (select conv_id from seq)),
+member as (select conv_id, d, p[1:d] as k, d = len(p) as ends from (select conv_id, p, unnest(range(0, len(p) + 1)) as d from path)),
+node as (
+  select k, d, min(conv_id) as conv_id, count(*) as n_convs,
+         sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where ends), '')) as ends_sha256,
+         case when d = 0 then 0 else len(regexp_extract_all(k[d].t, '[^\x20\x09-\x0D]+')) end as words
+  from member group by k, d),
+child as (select k[1:d - 1] as k, count(*) as n from node where d > 0 group by 1),
+full_node as (select node.*, coalesce(child.n, 0) as n_children from node left join child on node.k = child.k),
+up as (select n.k, n.d, n.n_children, (n_convs - 1) * words as saving, n.k[1:a] as above
+       from (select *, unnest(range(0, d + 1)) as a from full_node) n),
+tree as (select above, sum((n_children = 0)::int)::bigint as n_leaves, sum(saving)::bigint as saved_tokens from up group by above)
+select f.conv_id, f.d as depth, p.conv_id as parent_conv_id, f.n_convs, f.n_children, tree.n_leaves, tree.saved_tokens, f.ends_sha256
+from full_node f join tree on tree.above = f.k left join node p on f.d > 0 and p.k = f.k[1:f.d - 1] and p.d = f.d - 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_mixing": OP1, "op3_ngram_join": OP3, "op5_substring_dedup": OP5, "op6_line_dedup": OP6,
-            "op7_exact_dedup": OP7, "op9_quality_rules": OP9, "op10_license_scan": OP10}
+            "op7_exact_dedup": OP7, "op9_quality_rules": OP9, "op10_license_scan": OP10, "op12_conversation_trie": OP12}

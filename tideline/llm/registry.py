@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm import (
     bpe,
+    conversation_trie,
     exact_dedup,
     license_scan,
     line_dedup,
@@ -130,6 +131,31 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("found").cast("bigint").alias("n_found"), F.array_join(spelled, ",").alias("found"))
 
 
+def shared_heads(lists: DataFrame) -> DataFrame:
+    """The conversations of the query: each one's first turns are replaced by those of its family's head.
+
+    A conversation ``c`` takes the first ``crc32(c) % 4`` turns of conversation
+    ``c - c % 20`` and goes on with its own turns after as many.
+    """
+    heads = lists.where("conv_id % 20 = 0").select(
+        F.col("conv_id").alias("_head"), F.slice("ids", 1, 3).alias("_ids"), F.slice("words", 1, 3).alias("_words")
+    )
+    h = F.expr("cast(crc32(cast(cast(conv_id as string) as binary)) % 4 as int)")
+    joined = lists.withColumns({"_head": F.expr("conv_id - conv_id % 20"), "_h": h}).join(heads, "_head", "left")
+
+    def rebuilt(name: str) -> Column:
+        head = F.when(F.col(f"_{name}").isNull(), F.slice(name, 1, 0)).otherwise(F.slice(f"_{name}", F.lit(1), F.col("_h")))
+        own = F.slice(name, F.col("_h") + 1, F.greatest(F.size(name) - F.col("_h"), F.lit(0)))
+        return F.concat(head, own).alias(name)
+
+    return joined.select("conv_id", rebuilt("ids"), rebuilt("words"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = conversation_trie.turn_lists(table(spark, sf_dir, "conversations"))
+    return conversation_trie.prefix_trie(shared_heads(lists))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -143,5 +169,6 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_ranking,
         op9_quality_rules,
         op10_license_scan,
+        op12_conversation_trie,
     )
 }
