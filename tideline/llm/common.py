@@ -35,15 +35,20 @@ def shared_folder(spark: SparkSession) -> str:
     return _scratch[app]
 
 
-def saved(df: DataFrame) -> DataFrame:
+def new_folder(spark: SparkSession) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write a result as a table in the shared folder and read it back.
 
     Cuts the lineage for good (a lost executor costs nothing that was saved),
     and lets Spark plan later joins by the measured size of the files.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_folder(spark)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -22,7 +22,9 @@ from tideline.llm import (
     quality_rules,
     secret_scan,
     substring_dedup,
+    token_files,
 )
+from tideline.llm.common import new_folder
 
 #: The four domains that sources are dealt to by number, and the weights of the mix.
 DOMAINS = ("web", "reference", "forum", "news")
@@ -156,6 +158,13 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.prefix_trie(shared_heads(lists))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of all documents, each one ended by id 2, as they read back."""
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    back = token_files.stored_files(table(spark, sf_dir, "documents"), tokenizer, 2, new_folder(spark))
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -170,5 +179,6 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_quality_rules,
         op10_license_scan,
         op12_conversation_trie,
+        op13_token_files,
     )
 }
