@@ -142,6 +142,38 @@ from placed
 """
 
 
+OP11 = r"""
+with d as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels where doc_id is not null group by doc_id),
+fails as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+         len(w) < 100 as a, 100 * len(list_distinct(w)) < 80 * len(w) as b,
+         100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) as c,
+         regexp_matches(t, '[#$%&*|]') as d, coalesce(doc_id > min(doc_id) over (partition by t), false) as e
+  from d left join l using (doc_id)),
+f as (select part, good, toxic, concat(case when a then 'A' else '' end, case when b then 'B' else '' end, case when c then 'C' else '' end,
+                           case when d then 'D' else '' end, case when e then 'E' else '' end) as failed, count(*) as n
+      from fails group by all),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (select p.x || q.x || r.x || s.x || t.x as filter_order from x p, x q, x r, x s, x t
+           where p.x not in (q.x, r.x, s.x, t.x) and q.x not in (r.x, s.x, t.x) and r.x not in (s.x, t.x) and s.x <> t.x),
+steps as (select filter_order, step::int as step, filter_order[step] as x, filter_order[1:step - 1] as before
+          from orders, range(1, 6) as r(step)),
+each as (select *, contains(failed, x) as hit,
+                translate(failed, before, '') <> failed and before <> '' as gone from f, steps)
+select part, filter_order, step,
+       coalesce(sum(n) filter (where not hit and not gone), 0)::bigint as kept,
+       coalesce(sum(n) filter (where hit and not gone), 0)::bigint as removed,
+       coalesce(sum(n) filter (where hit and gone), 0)::bigint as redundant,
+       coalesce(sum(n) filter (where failed = x), 0)::bigint as unique_fails,
+       coalesce(sum(n * good) filter (where hit and not gone), 0)::bigint as good_lost,
+       coalesce(sum(n * toxic) filter (where hit and not gone), 0)::bigint as toxic_lost,
+       (sum(coalesce(sum(n) filter (where hit and not gone), 0)) over (partition by part, x))::bigint as shapley
+from each group by part, filter_order, step, x
+"""
+
 OP12 = r"""
 with turns as (
   select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
@@ -181,4 +213,5 @@ from full_node f join tree on tree.above = f.k left join node p on f.d > 0 and p
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_mixing": OP1, "op3_ngram_join": OP3, "op5_substring_dedup": OP5, "op6_line_dedup": OP6,
-            "op7_exact_dedup": OP7, "op9_quality_rules": OP9, "op10_license_scan": OP10, "op12_conversation_trie": OP12}
+            "op7_exact_dedup": OP7, "op9_quality_rules": OP9, "op10_license_scan": OP10, "op11_filter_audit": OP11,
+            "op12_conversation_trie": OP12}

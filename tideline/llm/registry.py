@@ -14,6 +14,7 @@ from tideline.llm import (
     bpe,
     conversation_trie,
     exact_dedup,
+    filter_audit,
     license_scan,
     line_dedup,
     mixing,
@@ -133,6 +134,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("found").cast("bigint").alias("n_found"), F.array_join(spelled, ",").alias("found"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    masks = filter_audit.failed_masks(docs, docs["lang"])
+    return filter_audit.audit(filter_audit.mask_counts(masks, table(spark, sf_dir, "labels")))
+
+
 def shared_heads(lists: DataFrame) -> DataFrame:
     """The conversations of the query: each one's first turns are replaced by those of its family's head.
 
@@ -178,6 +185,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_ranking,
         op9_quality_rules,
         op10_license_scan,
+        op11_filter_audit,
         op12_conversation_trie,
         op13_token_files,
     )
