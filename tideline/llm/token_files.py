@@ -51,17 +51,45 @@ _MAGIC = b"TLTF"
 BLOCKS = "part int, block bigint, first bigint, n_ids bigint, data binary"
 
 
-class Ids:
-    """Ids of many short strings, one after the other, found by number."""
+class Vocabulary(dict):
+    """Numbers strings in the order in which they are first looked up, and keeps the ids of each.
 
-    def __init__(self) -> None:
+    Beyond ``limit`` characters it forgets those that were seen once only; if
+    the others are too many as well, all.
+    """
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit = limit
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.chars = 0
+        #: Strings without ids yet.
+        self.new: list[str] = []
         self.ids = np.empty(0, np.uint32)
-        self.first, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.first, self.size, self.seen = (np.empty(0, np.int64) for _ in range(3))
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
     def add(self, ids: np.ndarray, size: np.ndarray) -> None:
+        """The ids of all new strings, one after the other."""
+        self.chars += sum(map(len, self.new))
         self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.ids = np.concatenate([self.ids, ids])
+        self.seen = np.concatenate([self.seen, np.zeros(len(size), np.int64)])
+        self.new = []
+
+    def count(self, numbers: np.ndarray) -> None:
+        self.seen += np.bincount(numbers, minlength=len(self.seen))
 
     def of(self, numbers: np.ndarray) -> np.ndarray:
         size = self.size[numbers]
@@ -69,44 +97,37 @@ class Ids:
         total = int(stop[-1]) if len(stop) else 0
         return self.ids[np.repeat(self.first[numbers] - stop + size, size) + np.arange(total)]
 
-
-class Numbered(dict):
-    """Numbers strings in the order in which they are first looked up; ``new`` are those since it was emptied."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        number = self[word] = len(self)
-        self.new.append(word)
-        return number
+    def trim(self) -> None:
+        if self.chars <= self.limit:
+            return
+        kept = np.flatnonzero(self.seen > 1)
+        words = list(self)
+        words, ids, size = [words[k] for k in kept.tolist()], self.of(kept), self.size[kept]
+        self.forget()
+        if sum(map(len, words)) <= self.limit // 2:
+            self.update(zip(words, range(len(words))))
+            self.new = words
+            self.add(ids, size)
 
 
 class WordEncoder:
     """Ids of texts by way of their distinct words.
 
     A text is split at its spaces. Where one stands between two characters that are
-    no white space, a pre-tokenizer always starts a piece with it; words at
-    other spaces are glued to their neighbours. New words are cut at ASCII
-    punctuation once more, and what is new of that goes to the library. At most
-    ``limit`` characters of words are remembered.
+    no white space, a pre-tokenizer always starts a piece with it; texts with
+    other spaces go to the library cut at the former ones only. New words are cut at
+    ASCII punctuation once more, and what is new of that goes to the library. Words and
+    parts are remembered up to ``limit`` characters each.
     """
 
-    def __init__(self, path: str, limit: int = 12 << 20):
+    def __init__(self, path: str, limit: int = 5 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.limit = limit
-        self.forget()
-
-    def forget(self) -> None:
-        self.chars = 0
         #: Words without the space before them; a text's first word has NUL in its place.
-        self.words, self.word_ids, self.loose = Numbered(), Ids(), np.empty(0, bool)
-        self.parts, self.part_ids = Numbered(), Ids()
+        self.words, self.parts = Vocabulary(limit), Vocabulary(limit)
 
     def _library(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all strings in a row, and how many each has."""
@@ -115,49 +136,44 @@ class WordEncoder:
         return np.fromiter(chain.from_iterable(made), np.uint32, int(size.sum())), size
 
     def _learn(self) -> None:
-        """Ids of the words that were looked up for the first time."""
-        new, self.words.new = self.words.new, []
-        self.chars += sum(map(len, new))
-        parts, counts, loose = [], [], []
-        for word in new:
+        """Ids of the words that were looked up for the first time; a word that has to be glued gets none."""
+        self.parts.trim()
+        parts, counts = [], []
+        for word in self.words.new:
             if word.isalnum():
                 parts.append(" " + word)
                 counts.append(1)
-                loose.append(False)
                 continue
             spelled = word[1:] if word[:1] == "\0" else " " + word
-            bad = len(spelled) < 2 or spelled[-1].isspace() or (spelled[0] == " " and spelled[1].isspace())
-            cut = [] if bad else parts_of(spelled)
+            loose = len(spelled) < 2 or spelled[-1].isspace() or (spelled[0] == " " and spelled[1].isspace())
+            cut = [] if loose else parts_of(spelled)
             parts += cut
             counts.append(len(cut))
-            loose.append(bad)
-        numbers = np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts))
+        numbers = self.parts.numbers(parts)
         if self.parts.new:
-            self.part_ids.add(*self._library(self.parts.new))
-            self.parts.new = []
-        last = np.cumsum([0, *counts])
-        length = np.r_[0, np.cumsum(self.part_ids.size[numbers])][last]
-        self.word_ids.add(self.part_ids.of(numbers), np.diff(length))
-        self.loose = np.concatenate([self.loose, np.array(loose, bool)])
+            self.parts.add(*self._library(self.parts.new))
+        self.parts.count(numbers)
+        length = np.r_[0, np.cumsum(self.parts.size[numbers])][np.cumsum([0, *counts])]
+        self.words.add(self.parts.of(numbers), np.diff(length))
 
     def encode(self, texts: list[str], end: int | None) -> list[np.ndarray]:
         """The ids of each text, with ``end`` appended."""
-        if self.chars > self.limit:
-            self.forget()
-        numbers, number = [], self.words.__getitem__
+        self.words.trim()
+        numbers = []
         for text in texts:
             words = text.split(" ")
             words[0] = "\0" + words[0]
-            numbers.append(np.fromiter(map(number, words), np.int64, len(words)) if "\0" not in text else None)
+            numbers.append(self.words.numbers(words) if "\0" not in text else None)
         self._learn()
+        self.words.count(np.concatenate([np.empty(0, np.int64), *(at for at in numbers if at is not None)]))
         out = []
         for text, at in zip(texts, numbers):
             if at is None:
                 ids, _ = self._library([text])
-            elif self.loose[at].any():
+            elif not self.words.size[at].all():
                 ids, _ = self._library(glued(text))
             else:
-                ids = self.word_ids.of(at)
+                ids = self.words.of(at)
             out.append(ids if end is None else np.append(ids, np.uint32(end)))
         return out
 
