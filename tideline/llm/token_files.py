@@ -213,36 +213,42 @@ _CUT = set("\n" + "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end: int | None) -> DataFrame:
-    """``doc_id, ids``: the ids of every text as unsigned 32-bit numbers, little-endian."""
+    """``doc_id, ids``: the ids of every text as unsigned 32-bit numbers, little-endian.
+
+    One more row a task has ``counts`` instead: how often each id occurs in it, 64 bits each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Tasks of one Python worker share what they have learnt.
         memory = sys.modules.setdefault("tideline_worker_memory", ModuleType("tideline_worker_memory"))
         encoder = memory.__dict__.setdefault(tokenizer, None) or WordEncoder(tokenizer)
         memory.__dict__[tokenizer] = encoder
+        counts = np.zeros(0, np.int64)
         for batch in slices(batches):
             ids = encoder.encode([t or "" for t in batch.column("text").to_pylist()], end)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([i.tobytes() for i in ids], pa.binary())], ["doc_id", "ids"]
-            )
+            found = np.bincount(np.concatenate(ids) if ids else [], minlength=len(counts))
+            found[: len(counts)] += counts
+            counts = found
+            columns = [batch.column("doc_id"), pa.array([i.tobytes() for i in ids], pa.binary()), pa.nulls(len(ids), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "counts"])
+        columns = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.astype("<i8").tobytes()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "counts"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, ids binary")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, ids binary, counts binary")
 
 
 def id_counts(rows: DataFrame) -> np.ndarray:
     """How often each id occurs; as long as the largest id asks, so bounded by the vocabulary."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in slices(batches, "ids"):
-            ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u4")
-            found = np.bincount(ids, minlength=len(total))
-            found[: len(total)] += total
-            total = found
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
-
-    found = rows.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("counts").to_pylist():
+                counts = np.frombuffer(data, "<i8")
+                used = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["id", "n"])
+
+    each = rows.where("counts is not null").select("counts").mapInArrow(unpack, "id bigint, n bigint")
+    found = each.groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(found["id"].max()) + 1 if len(found) else 0, np.int64)
     counts[found["id"]] = found["n"]
     return counts
@@ -315,7 +321,7 @@ def write_files(rows: DataFrame, folder: str, max_bits: int = MAX_BITS, step: in
         if held:
             yield cut()
 
-    coded = rows.select("doc_id", "ids").mapInArrow(encode, "doc_id bigint, n bigint, marks binary, stream binary")
+    coded = rows.where("counts is null").select("doc_id", "ids").mapInArrow(encode, "doc_id bigint, n bigint, marks binary, stream binary")
     # The last key spreads repeated rows over the ranges; it does not change what is written.
     keyed = coded.withColumns({"_hash": F.xxhash64("stream"), "_row": F.monotonically_increasing_id()})
     ordered = keyed.repartitionByRange("doc_id", "_hash", "_row").sortWithinPartitions("doc_id", "_hash")
