@@ -129,10 +129,44 @@ def test_small_moves_after_a_large_value_keep_their_digits(make):
     assert last.sk == pytest.approx(window.skew(), rel=1e-9) and last.ku == pytest.approx(window.kurt(), rel=1e-9)
 
 
-def test_feature_table_needs_one_shuffle_of_the_panel(panel_df, observations):
-    from tideline.operators.panel import clean_prices
+def test_a_large_value_leaves_no_trace(make):
+    from tideline.operators.panel import with_day
 
-    plan = rolling.extract_features(clean_prices(observations, "2015-01-01", "2019-12-30"))._jdf.queryExecution()
-    text = plan.executedPlan().toString()
-    # One exchange aggregates the observations by (asset, date), one distributes by asset.
-    assert text.count("Exchange hashpartitioning") == 2
+    rng = np.random.default_rng(4)
+    days = pd.bdate_range("2021-01-04", periods=90)
+    values = 0.1 + 1e-3 * rng.normal(size=90)
+    values[17], values[40] = 1e15, np.nan
+    rows = [("x", str(d.date()), None if np.isnan(v) else float(v)) for d, v in zip(days, values) if d.day != 9]
+    outputs = {"m": ("mean",), "s": ("std",), "sk": ("skew",), "ku": ("kurt",), "r": ("spread", 0, 1), "q": ("quantile", 0.3)}
+    got = rolling.shape_statistics(with_day(make(rows)), [rolling.ShapeFrame("price", 16, outputs)], slice_days=20).toPandas()
+    got = got.set_index(pd.to_datetime(got["date"])).sort_index()
+    x = got["price"].astype(float)
+    for day in got.index:
+        frame = x[(x.index > day - pd.Timedelta(days=16)) & (x.index <= day)]
+        now = got.loc[day]
+        expected = {"m": frame.mean(), "s": frame.std(), "r": frame.max() - frame.min(), "q": frame.quantile(0.3)}
+        if frame.max() < 1e10:
+            expected |= {"sk": frame.skew() if frame.count() > 2 else np.nan, "ku": frame.kurt() if frame.count() > 3 else np.nan}
+        for name, value in expected.items():
+            assert float(now[name]) == pytest.approx(value, rel=1e-9, nan_ok=True), (day, name)
+
+
+@pytest.mark.parametrize("run", [1, 3, 64])
+def test_expanding_quantiles_by_runs(spark, run):
+    rng = np.random.default_rng(run)
+    values = [None if rng.random() < 0.2 else float(rng.integers(0, 30)) ** 3 for _ in range(300)]
+    rows = [(a, k, v) for a in ("a", "b") for k, v in enumerate(values if a == "a" else sorted(values, key=lambda v: -(v or 0)))]
+    rows += [("c", k, None) for k in range(5)]
+    df = spark.createDataFrame(rows, "asset string, n int, r double").repartition(4)
+    got = rolling.expanding_quantiles(df, run=run).toPandas().sort_values(["asset", "n"])
+    assert len(got) == len(rows)
+    for _, own in got.groupby("asset"):
+        so_far = own["r"].astype(float).expanding()
+        for name, p in (("Cum_Quantile_10", 0.1), ("Cum_Quantile_50", 0.5), ("Cum_Quantile_90", 0.9)):
+            same(own[name], so_far.quantile(p))
+        same(own["Cum_IQR"], so_far.quantile(0.75) - so_far.quantile(0.25))
+
+
+def test_features_have_no_python_node(panel_df):
+    plan = rolling.extract_features(panel_df)._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("InPandas", "InArrow", "Python"))

@@ -1,19 +1,24 @@
-"""Rolling and expanding risk features.
+"""Rolling and expanding risk features, all in built-in expressions.
 
 A frame of ``k`` days is right-closed: it holds the days ``(t - k, t]``.
 
 Spark re-evaluates a sliding frame from scratch for every row, which costs
-rows x frame. Two shapes avoid that here:
-
-* means come from running sums: the sum over a frame is the running sum at its
-  end minus the running sum at the last expired row, and both start at the
-  beginning of the partition, which Spark updates incrementally inside the JVM;
-* quantiles and extremes have no such difference form, and the second to fourth
-  moments lose their digits in it once a large value has left the frame. Those
-  go through one Arrow-batched grouped call per series.
-
-Everything is partitioned by the same keys, so a full feature table needs one
-shuffle.
+rows x frame. Three shapes avoid that here:
+
+* Moments and extremes. Days are cut into blocks of ``k``, so a frame is the end
+  of one block and the start of the next. Both are running aggregates, one in each
+  direction, and two such summaries merge; nothing is ever subtracted, so a large
+  value leaves no trace once it has left the frame. Which end of the last block
+  a row needs is found by a running ``last`` over events: a row takes effect
+  ``k`` days after the row before it, when that one leaves the frame.
+* Rolling quantiles. The values of a slice are one array; a frame is a stretch of
+  it whose ends come from running counts, sorted once for all its quantiles.
+* Expanding quantiles. Runs of values in order; of all the runs before it a
+  run keeps only the few values around each quantile that its own rows can reach, with
+  the rank at which they begin.
+
+Frames are taken in slices of time, copied with the longest frame before them and
+distributed by (asset, slice): tasks follow rows, not assets.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +34,11 @@ from tideline.functions.stats import unbiased_kurtosis, unbiased_skewness
 from tideline.operators.panel import by_time
 from tideline.operators.returns import cumulative_return, daily_returns, horizons, lagged_returns
 
+#: Days of a slice, beside the longest frame that is copied in front of it.
+SLICE_DAYS = 1826
+#: Values of one run of the expanding quantiles.
+RUN = 64
+
 KEYS = ("asset",)
 
 
@@ -41,129 +51,175 @@ class MeanFrame(NamedTuple):
 
 
 class ShapeFrame(NamedTuple):
-    """Statistics of one column and frame; ``days=None`` means expanding.
+    """Statistics of one column and frame.
 
     ``outputs`` maps an output column to ``("quantile", p)``,
     ``("spread", low, high)`` - the difference of two quantiles, where 0 and 1
-    are the extremes - ``("std",)``, ``("skew",)`` or ``("kurt",)``.
+    are the extremes - ``("mean",)``, ``("std",)``, ``("skew",)`` or ``("kurt",)``.
     """
 
     column: str
-    days: int | None
+    days: int
     outputs: Mapping[str, tuple]
 
 
 def rolling_mean(df: DataFrame, frames: Sequence[MeanFrame], keys: Sequence[str] = KEYS) -> DataFrame:
-    """Add rolling means; values are centred by the mean of their partition before they are summed."""
+    """Add rolling means."""
+    wanted = [ShapeFrame(f.column, f.days, {f.output: ("mean",)}) for f in frames]
+    return shape_statistics(df, wanted, keys)
+
+
+def _summary(x: str, over: Window, kinds: set[str]) -> list[Column]:
+    """Running aggregates of a column that the wanted statistics need."""
+    made = {"n": F.count(x)}
+    if kinds != {"spread"}:
+        made["mean"] = F.avg(x)
+    if kinds & {"std", "skew", "kurt"}:
+        made["var"] = F.var_pop(x)
+    if kinds & {"skew", "kurt"}:
+        made["skew"] = F.skewness(x)
+    if "kurt" in kinds:
+        made["kurt"] = F.kurtosis(x)
+    if kinds != {"mean"}:
+        made |= {"low": F.min(x), "high": F.max(x)}
+    return [c.over(over).alias(name) for name, c in made.items()]
+
+
+def _merged(df: DataFrame, kinds: set[str]) -> DataFrame:
+    """Add the summary ``_n, _mean, _low, _high, _m2, _m3, _m4`` of the values in ``_end`` and ``_start`` together.
+
+    ``_m2`` to ``_m4`` are sums of powers about the mean, 0 for no value and for equal ones.
+    """
+    columns = {"_x": "coalesce(_end.n, 0) * 1d", "_y": "_start.n * 1d"}
+    if kinds != {"mean"}:
+        columns |= {"_low": "least(_end.low, _start.low)", "_high": "greatest(_end.high, _start.high)"}
+    for tag, s in (("a", "_end"), ("b", "_start")):
+        if kinds & {"std", "skew", "kurt"}:
+            columns[f"_{tag}2"] = f"coalesce({s}.var * {s}.n, 0d)"
+        if kinds & {"skew", "kurt"}:
+            columns[f"_{tag}3"] = f"coalesce({s}.skew * {s}.var * sqrt({s}.var) * {s}.n, 0d)"
+        if "kurt" in kinds:
+            columns[f"_{tag}4"] = f"coalesce(({s}.kurt + 3) * {s}.var * {s}.var * {s}.n, 0d)"
+    if kinds != {"spread"}:
+        # An empty part takes the other's mean, so that it adds nothing.
+        columns |= {"_ma": "coalesce(_end.mean, _start.mean)", "_mb": "coalesce(_start.mean, _end.mean)"}
+    df = df.selectExpr("*", "nullif(coalesce(_end.n, 0) + _start.n, 0) * 1d as _n", *(f"{c} as {name}" for name, c in columns.items()))
+    if kinds == {"spread"}:
+        return df
+    df = df.selectExpr("*", "(_x * _ma + _y * _mb) / _n as _mean", "_mb - _ma as _d", "_x * _y / _n as _t")
+    made = []
+    if kinds & {"std", "skew", "kurt"}:
+        made.append("_a2 + _b2 + _d * _d * _t as _m2")
+    if kinds & {"skew", "kurt"}:
+        made.append("_a3 + _b3 + _d * (_d * _d * _t * (_x - _y) + 3 * (_x * _b2 - _y * _a2)) / _n as _m3")
+    if "kurt" in kinds:
+        fourth = "_d * _d * _t * (_x * _x - _x * _y + _y * _y) + 6 * (_x * _x * _b2 + _y * _y * _a2)"
+        made.append(f"_a4 + _b4 + _d * (_d * ({fourth}) / (_n * _n) + 4 * (_x * _b3 - _y * _a3) / _n) as _m4")
+    return df.selectExpr("*", *made) if made else df
+
+
+def _statistic(how: tuple) -> str:
+    """One statistic of a merged summary. Frames of equal values have a std of 0 and no shape."""
+    if how == ("mean",):
+        return "_mean"
+    if how == ("spread", 0, 1):
+        return "_high - _low"
+    if how == ("std",):
+        return "if(_n >= 2, if(_low < _high, sqrt(_m2 / (_n - 1)), 0d), null)"
+    if how == ("skew",):
+        return "if(_n >= 3 and _low < _high and _m2 > 0, _n * sqrt(_n - 1) / (_n - 2) * _m3 / (_m2 * sqrt(_m2)), null)"
+    excess = "(_n * _m4 / (_m2 * _m2) - 3)"
+    unbiased = f"(_n - 1) / ((_n - 2) * (_n - 3)) * ((_n + 1) * {excess} + 6)"
+    return f"if(_n >= 4 and _low < _high and _m2 > 0, {unbiased}, null)"
+
+
+def _by_rank(frame: Mapping[str, tuple]) -> dict[str, tuple]:
+    return {name: how for name, how in frame.items() if how[0] == "quantile" or (how[0] == "spread" and how[1:] != (0, 1))}
+
+
+def _block_statistics(df: DataFrame, frames: Sequence[ShapeFrame], keys: Sequence[str]) -> DataFrame:
+    """Moments and extremes of all frames from block summaries, as one row per frame in between."""
+    kinds = {how[0] for f in frames for how in f.outputs.values()}
+    rows = df.select(*keys, "n", F.struct("*").alias("_all")).withColumn("_before", F.lag("n").over(by_time(*keys)))
+    # The first of a row's frames carries its columns.
+    each = ", ".join(
+        f"named_struct('_k', {k}, '_days', {f.days}, '_v', _all.`{f.column}`, '_own', if({k} = 0, _all, null))"
+        for k, f in enumerate(frames)
+    )
+    rows = rows.selectExpr(*keys, "n", "_before", f"explode(array({each})) as _f")
+    rows = rows.selectExpr(*keys, "n", "_before", "_f.*", "floor(n / _f._days) as _block")
+    blocks = Window.partitionBy(*keys, "_k", "_block").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.struct("_block", *_summary("_v", blocks.orderBy("n"), kinds))
+    end = F.struct("_block", *_summary("_v", blocks.orderBy(F.desc("n")), kinds))
+    # The end of its block from this row on counts from the day on which the row before has left the frame.
+    since = F.coalesce(F.col("_before") + F.col("_days"), F.col("n")).cast(df.schema["n"].dataType)
+    rows = rows.select(*keys, "_k", "n", since.alias("_since"), "_own", start.alias("_start"), end.alias("_end"))
+    nothing = lambda name: F.lit(None).cast(rows.schema[name].dataType).alias(name)
+    both = F.array(
+        F.struct("n", F.lit(1).alias("_row"), "_own", "_start", nothing("_end")),
+        F.struct(F.col("_since").alias("n"), F.lit(0).alias("_row"), nothing("_own"), nothing("_start"), "_end"),
+    )
+    rows = rows.select(*keys, "_k", F.explode(both).alias("_event")).select(*keys, "_k", "_event.*")
+    latest = Window.partitionBy(*keys, "_k").orderBy("n", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_end", F.last("_end", ignorenulls=True).over(latest)).where("_row = 1")
+    # A frame may begin in the row's own block, whose start covers it then.
+    rows = rows.withColumn("_end", F.when(F.col("_end._block") == F.col("_start._block") - 1, F.col("_end")))
+    hows = list(dict.fromkeys(how for f in frames for how in f.outputs.values()))
+    merged = _merged(rows, kinds).selectExpr(*keys, "n", "_k", "_own", *(f"{_statistic(how)} as _o{i}" for i, how in enumerate(hows)))
+    found = [
+        F.expr(f"max(if(_k = {k}, _o{hows.index(how)}, null)) as `{name}`") for k, f in enumerate(frames) for name, how in f.outputs.items()
+    ]
+    wide = merged.groupBy(*keys, "n").agg(F.first("_own", ignorenulls=True).alias("_own"), *found)
+    return wide.selectExpr("_own.*", *(f"`{name}`" for f in frames for name in f.outputs))
+
+
+def _interpolated(ordered: str, n: str, p: float, below: str = "0") -> str:
+    """The quantile of ``n`` values of which an array holds those of rank ``below`` and up."""
+    place = f"({p!r}d * ({n} - 1))"
+    at = f"cast(floor({place}) as int)"
+    low, high = f"get({ordered}, {at} - {below})", f"get({ordered}, {at} - {below} + 1)"
+    return f"if({n} > 0, {low} + (coalesce({high}, {low}) - {low}) * ({place} - {at}), null)"
+
+
+def _ranked(how: tuple, quantile: Callable[[float], str]) -> str:
+    """A quantile or the difference of two."""
+    return quantile(how[1]) if how[0] == "quantile" else f"{quantile(how[2])} - {quantile(how[1])}"
+
+
+def _rank_statistics(df: DataFrame, frames: Sequence[ShapeFrame], keys: Sequence[str]) -> DataFrame:
+    """Quantiles of every frame from stretches of the slice's values."""
     time = by_time(*keys)
-    upto = time.rowsBetween(Window.unboundedPreceding, 0)
     whole = time.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    columns = dict.fromkeys(f.column for f in frames)
-    centre = {f"_c_{x}": F.avg(x).over(whole) for x in columns}
-    shifted = {f"_z_{x}": F.col(x) - F.col(f"_c_{x}") for x in columns}
-    sums = {f"_s_{x}": F.sum(f"_z_{x}").over(upto) for x in columns}
-    counts = {f"_n_{x}": F.count(x).over(upto) for x in columns}
-    results = []
+    upto = time.rowsBetween(Window.unboundedPreceding, 0)
+    found, ordered, made = [], [], []
     for k, f in enumerate(frames):
-        expired = time.rangeBetween(Window.unboundedPreceding, -f.days)
-        sums[f"_e_{k}"] = F.sum(f"_z_{f.column}").over(expired)
-        counts[f"_en_{k}"] = F.count(f.column).over(expired)
-        n = F.col(f"_n_{f.column}") - F.col(f"_en_{k}")
-        total = F.col(f"_s_{f.column}") - F.coalesce(f"_e_{k}", F.lit(0.0))
-        results.append(F.when(n > 0, F.col(f"_c_{f.column}") + total / n).alias(f.output))
-    return df.withColumns(centre).withColumns(shifted).withColumns(sums | counts).select(*df.columns, *results)
-
-
-def _shape_of_series(frames: list[tuple]) -> Callable:
-    """Per-series helper; self-contained so that executors need no import of this package."""
-
-    # How far a value may lie from the rest, in units of a frame's spread, before
-    # the incrementally updated moment loses digits and is taken again directly.
-    reach_limit = {"std": 1000, "skew": 80, "kurt": 30}
-
-    def directly(np, kind, values, first, rows):
-        """Moments of the frames ``first[i] .. i`` of some rows, each centred by its own mean."""
-        out = np.empty(len(rows))
-        width = int((rows - first[rows]).max()) + 1
-        padded = np.concatenate([np.full(width - 1, np.nan), values])
-        windows = np.lib.stride_tricks.sliding_window_view(padded, width)
-        age = np.arange(width - 1, -1, -1)
-        batch = max(1, 250_000 // width)
-        for at in range(0, len(rows), batch):
-            part = rows[at : at + batch]
-            held = (age <= (part - first[part])[:, None]) & ~np.isnan(windows[part])
-            n = held.sum(axis=1)
-            x = np.where(held, windows[part], 0.0)
-            d = np.where(held, x - (x.sum(axis=1) / np.maximum(n, 1))[:, None], 0.0)
-            m2 = (d * d).sum(axis=1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                if kind == "std":
-                    got = np.where(n >= 2, np.sqrt(m2 / (n - 1)), np.nan)
-                elif kind == "skew":
-                    got = np.where(n >= 3, n * np.sqrt(n - 1) / (n - 2) * (d**3).sum(axis=1) / m2**1.5, np.nan)
-                else:
-                    excess = n * (d**4).sum(axis=1) / m2**2 - 3
-                    got = np.where(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * excess + 6), np.nan)
-            out[at : at + batch] = got
-        return out
-
-    def add_columns(pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values("n", ignore_index=True)
-        day = pdf["n"].to_numpy()
-        clock = pd.to_datetime(pdf["n"], unit="D")
-        added = {}
-        for column, days, outputs in frames:
-            values = pdf[column].to_numpy(dtype=float)
-            series = pd.Series(values, index=clock)
-            frame = series.expanding() if days is None else series.rolling(f"{days}D")
-            level = {}
-
-            def quantile(p):
-                if p not in level:
-                    found = frame.min() if p == 0 else frame.max() if p == 1 else frame.quantile(p)
-                    level[p] = found.to_numpy()
-                return level[p]
-
-            centred = values - np.nanmean(values) if np.isfinite(values).any() else values
-            around = pd.Series(centred, index=clock)
-            around = around.expanding() if days is None else around.rolling(f"{days}D")
-            first = np.zeros(len(day), int) if days is None else np.searchsorted(day, day - days, "right")
-            reach = np.fmax.accumulate(np.nan_to_num(np.abs(centred)))
-            for name, (kind, *p) in outputs.items():
-                if kind == "quantile":
-                    added[name] = quantile(p[0])
-                elif kind == "spread":
-                    added[name] = quantile(p[1]) - quantile(p[0])
-                else:
-                    flat = quantile(0) == quantile(1)
-                    if "std" not in level:
-                        level["std"] = around.std().to_numpy()
-                    spread = level["std"]
-                    got = spread if kind == "std" else (around.skew() if kind == "skew" else around.kurt()).to_numpy()
-                    rows = np.flatnonzero(~flat & ~np.isnan(spread) & (reach > reach_limit[kind] * spread))
-                    # A frame of equal values has no spread and no shape.
-                    got = np.where(flat, np.where(np.isnan(spread) | (kind != "std"), np.nan, 0.0), got)
-                    if len(rows):
-                        got[rows] = directly(np, kind, values, first, rows)
-                    added[name] = got
-        return pdf.assign(**added)
-
-    return add_columns
-
-
-def shape_statistics(df: DataFrame, frames: Sequence[ShapeFrame], keys: Sequence[str] = KEYS) -> DataFrame:
-    """Add exact rolling or expanding quantiles, spreads and bias-corrected shape moments.
-
-    One group is one series (or one slice of it, see :func:`in_slices`), which
-    never has more rows than the calendar has days.
+        gone = F.count(f.column).over(time.rangeBetween(Window.unboundedPreceding, -f.days))
+        found += [F.collect_list(f.column).over(whole).alias(f"_v{k}"), gone.alias(f"_g{k}"), F.count(f.column).over(upto).alias(f"_h{k}")]
+        ordered += [
+            f"sort_array(slice(_v{k}, cast(_g{k} + 1 as int), cast(_h{k} - _g{k} as int))) as _s{k}", f"cast(_h{k} - _g{k} as int) as _n{k}",
+        ]
+        quantile = lambda p, k=k: _interpolated(f"_s{k}", f"_n{k}", p)
+        made += [f"{_ranked(how, quantile)} as `{name}`" for name, how in f.outputs.items()]
+    raw = df.select("*", *found)
+    names = [f"`{c}`" for c in df.columns]
+    return raw.selectExpr(*names, *ordered).selectExpr(*names, *made)
+
+
+def shape_statistics(df: DataFrame, frames: Sequence[ShapeFrame], keys: Sequence[str] = KEYS, slice_days: int = SLICE_DAYS) -> DataFrame:
+    """Add exact rolling quantiles, spreads, means and bias-corrected shape moments.
+
+    Rows are one per key and day number ``n``; days may be missing.
     """
-    plain = [(f.column, f.days, dict(f.outputs)) for f in frames]
+    ranked = [f._replace(outputs=_by_rank(f.outputs)) for f in frames]
+    others = [f._replace(outputs={k: v for k, v in f.outputs.items() if k not in r.outputs}) for f, r in zip(frames, ranked)]
     names = [name for f in frames for name in f.outputs]
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(name, T.DoubleType()) for name in names])
-    return df.groupBy(*keys).applyInPandas(_shape_of_series(plain), schema)
+
+    def step(sliced: DataFrame, own: Sequence[str]) -> DataFrame:
+        by_block, by_rank = ([f for f in part if f.outputs] for part in (others, ranked))
+        sliced = _block_statistics(sliced, by_block, own) if by_block else sliced
+        return _rank_statistics(sliced, by_rank, own) if by_rank else sliced
+
+    return in_slices(df, max(f.days for f in frames), slice_days, step, keys).select(*df.columns, *names)
 
 
 def in_slices(
@@ -175,15 +231,15 @@ def in_slices(
 ) -> DataFrame:
     """Run a rolling step on time slices of each series instead of whole series.
 
-    Useful for few but very long series: parallelism then follows the data
-    instead of the number of assets. Every row is copied into the later slices
-    whose frames reach back to it (``halo_days`` is the longest frame), and the
-    copies are dropped afterwards, so the result is unchanged.
+    Parallelism then follows the data instead of the number of assets. Every row is
+    copied into the later slices whose frames reach back to it (``halo_days`` is the
+    longest frame), and the copies are dropped afterwards.
     """
     own = F.floor(F.col("n") / slice_days).cast("int")
     last = F.floor((F.col("n") + halo_days - 1) / slice_days).cast("int")
-    copies = df.withColumn("slice", F.explode(F.sequence(own, last)))
-    return step(copies, (*keys, "slice")).where(F.col("slice") == own).drop("slice")
+    name = f"_slice{len(keys)}"
+    copies = df.withColumn(name, F.explode(F.sequence(own, last))).repartition(*keys, name)
+    return step(copies, (*keys, name)).where(F.col(name) == own).drop(name)
 
 
 def return_mean_frames(lags: Mapping[str, int]) -> list[MeanFrame]:
@@ -201,6 +257,14 @@ SHAPE_FAMILIES = {
 }
 
 
+def _together(frames: Sequence[ShapeFrame]) -> list[ShapeFrame]:
+    """Frames of the same column and length as one."""
+    outputs: dict[tuple[str, int], dict[str, tuple]] = {}
+    for f in frames:
+        outputs.setdefault((f.column, f.days), {}).update(f.outputs)
+    return [ShapeFrame(column, days, wanted) for (column, days), wanted in outputs.items()]
+
+
 def return_shape_frames(
     lags: Mapping[str, int], families: Sequence[str] = tuple(SHAPE_FAMILIES), std_5yr_horizon: str = "3yr"
 ) -> list[ShapeFrame]:
@@ -218,16 +282,12 @@ def return_shape_frames(
     return [ShapeFrame(column, days, wanted) for (column, days), wanted in outputs.items()]
 
 
-EXPANDING_QUANTILES = ShapeFrame(
-    "r",
-    None,
-    {
-        "Cum_Quantile_10": ("quantile", 0.1),
-        "Cum_Quantile_50": ("quantile", 0.5),
-        "Cum_Quantile_90": ("quantile", 0.9),
-        "Cum_IQR": ("spread", 0.25, 0.75),
-    },
-)
+EXPANDING_QUANTILES = {
+    "Cum_Quantile_10": ("quantile", 0.1),
+    "Cum_Quantile_50": ("quantile", 0.5),
+    "Cum_Quantile_90": ("quantile", 0.9),
+    "Cum_IQR": ("spread", 0.25, 0.75),
+}
 
 
 def expanding_moments(returns: DataFrame, value: str = "r", keys: Sequence[str] = KEYS) -> DataFrame:
@@ -244,9 +304,39 @@ def expanding_moments(returns: DataFrame, value: str = "r", keys: Sequence[str]
     )
 
 
-def expanding_quantiles(returns: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Exact 10/50/90 % quantiles and interquartile range of all returns so far."""
-    return shape_statistics(returns, [EXPANDING_QUANTILES], keys)
+def expanding_quantiles(
+    returns: DataFrame,
+    value: str = "r",
+    outputs: Mapping[str, tuple] = EXPANDING_QUANTILES,
+    keys: Sequence[str] = KEYS,
+    run: int = RUN,
+) -> DataFrame:
+    """Add exact quantiles of all values so far (NULL before the first).
+
+    A row in a run of ``run`` values moves a quantile by at most as many ranks, so
+    of the sorted values before the run about ``3 * run`` around each quantile decide.
+    """
+    time = by_time(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    levels = sorted({p for how in outputs.values() for p in how[1:]})
+    counted = returns.withColumn("_n", F.count(value).over(time).cast("int"))
+    counted = counted.withColumn("_run", F.floor((F.greatest(F.col("_n"), F.lit(1)) - 1) / run).cast("int"))
+    values = counted.where(F.col(value).isNotNull()).groupBy(*keys, "_run")
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("n", F.col(value).alias("v")))), lambda x: x["v"])
+    runs = values.agg(in_order.alias("_own"))
+    earlier = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_past", F.sort_array(F.flatten(F.collect_list("_own").over(earlier))))
+    # Values before the first that is kept; one more on either side takes part in the interpolation.
+    below = [f"greatest(cast(floor({p!r}d * (size(_past) - 1)) as int) - {run + 1}, 0)" for p in levels]
+    near = [f"named_struct('below', {b}, 'values', slice(_past, {b} + 1, {3 * run + 4})) as _near{k}" for k, b in enumerate(below)]
+    rows = counted.join(runs.selectExpr(*keys, "_run", "_own", *near), [*keys, "_run"], "left")
+    since = f"slice(_own, 1, greatest(_n - _run * {run}, 0))"
+    rows = rows.selectExpr("*", *(f"sort_array(concat(_near{k}.values, {since})) as _sorted{k}" for k in range(len(levels))))
+
+    def quantile(p: float) -> str:
+        k = levels.index(p)
+        return _interpolated(f"_sorted{k}", "_n", p, f"_near{k}.below")
+
+    return rows.selectExpr(*(f"`{c}`" for c in returns.columns), *(f"{_ranked(how, quantile)} as `{name}`" for name, how in outputs.items()))
 
 
 def feature_columns(lags: Mapping[str, int] | None = None) -> list[str]:
@@ -264,7 +354,7 @@ def extract_features(panel: DataFrame, trading_days: int = 252, std_5yr_horizon:
     """The full feature table: price plus 69 return and risk columns per asset and day."""
     lags = horizons(trading_days)
     base = lagged_returns(cumulative_return(daily_returns(panel)), lags)
-    means = rolling_mean(expanding_moments(base), return_mean_frames(lags))
-    frames = [*return_shape_frames(lags, std_5yr_horizon=std_5yr_horizon), EXPANDING_QUANTILES]
-    shaped = shape_statistics(means.drop("px"), frames)
-    return shaped.select("asset", "date", "price", *feature_columns(lags))
+    means = [ShapeFrame(f.column, f.days, {f.output: ("mean",)}) for f in return_mean_frames(lags)]
+    frames = [*means, *return_shape_frames(lags, std_5yr_horizon=std_5yr_horizon)]
+    shaped = shape_statistics(expanding_moments(base).drop("px"), _together(frames))
+    return expanding_quantiles(shaped).select("asset", "date", "price", *feature_columns(lags))

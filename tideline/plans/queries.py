@@ -195,7 +195,6 @@ def multi_period_return(spark, sf_dir):
 def _shapes(spark, sf_dir, *families: str) -> DataFrame:
     df, lags = _lagged(spark, sf_dir)
     frames = rolling.return_shape_frames(lags, families)
-    # Only what the frames read is handed to Python.
     lean = df.select("asset", "date", "n", *dict.fromkeys(f.column for f in frames))
     return rolling.shape_statistics(lean, frames).select("asset", "date", *(name for f in frames for name in f.outputs))
 
@@ -247,7 +246,7 @@ def expanding_moments(spark, sf_dir):
 @query()
 def expanding_quantiles(spark, sf_dir):
     lean = market_returns(spark, sf_dir).select("asset", "date", "n", "r")
-    return rolling.expanding_quantiles(lean).select("asset", "date", *rolling.EXPANDING_QUANTILES.outputs)
+    return rolling.expanding_quantiles(lean).select("asset", "date", *rolling.EXPANDING_QUANTILES)
 
 
 @query()
