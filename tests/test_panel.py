@@ -120,3 +120,19 @@ def test_resampling_matches_pandas_with_empty_periods(spark, make, freq, rule):
     expected = series.resample(rule).mean()
     assert list(pd.to_datetime(got["date"])) == list(expected.index)
     pd.testing.assert_series_equal(got["mean"], expected.reset_index(drop=True), check_names=False)
+
+
+def test_observations_outside_the_panel_are_an_error_if_asked(make):
+    obs = make([("x", "2021-01-05", 1.0), ("x", "2021-02-01", 2.0), ("y", "2021-01-30", 3.0)])
+    assert panel.clean_prices(obs, "2021-01-04", "2021-01-08").count() == 10
+    with pytest.raises(Exception, match="observation outside the panel: x on 2021-02-01"):
+        panel.clean_prices(obs, "2021-01-04", "2021-01-08", strict=True).collect()
+    # A weekend is on no business calendar.
+    assert panel.clean_prices(obs, "2021-01-04", "2021-02-01", strict=True).count() == 42
+
+
+def test_assets_without_a_column_are_an_error(make):
+    p = panel.clean_prices(make([("x", "2021-01-05", 1.0), ("new", "2021-01-05", 2.0)]), "2021-01-04", "2021-01-08")
+    with pytest.raises(Exception, match="asset without a column: new"):
+        panel.wide(p, ["x"]).collect()
+    assert panel.wide(panel.asset_subset(p, ["x"]), ["x"]).count() == 5

@@ -293,3 +293,36 @@ def test_missing_covariance_is_reported(spark):
     for table in (cov, cov.where("i = j")):
         out = solve_weights(mu, table, ["k"]).collect()
         assert {r.status for r in out} == {"bad_covariance"} and len(out) == 4
+
+
+def test_a_holding_without_returns_makes_the_portfolio_unknown(spark):
+    from datetime import date, timedelta
+
+    from tideline.operators import rebalance
+
+    days = [date(2021, 1, 4) + timedelta(days=k) for k in range(12)]
+    days = [d for d in days if d.weekday() < 5]
+    rows = [("a", d, 0.01) for d in days] + [("b", d, None if k == 6 else 0.02) for k, d in enumerate(days)]
+    returns = spark.createDataFrame(rows, "asset string, date date, r double")
+    start = date(2021, 1, 5)
+    held = [("known", start, "a", 0.5), ("known", start, "b", 0.5), ("lost", start, "a", 0.5), ("lost", start, "zz", 0.5)]
+    weights = spark.createDataFrame(held, "portfolio string, rebalance_date date, asset string, weight double")
+    got = rebalance.rebalanced_return(returns, weights, "2021-01-15").orderBy("date").collect()
+    lost = [r for r in got if r.portfolio == "lost"]
+    known = [r for r in got if r.portfolio == "known"]
+    assert len(lost) == len(known) == 8 and all(r.r is None and r.cum_return is None for r in lost)
+    assert [r.r is None for r in known] == [False] * 4 + [True] + [False] * 3
+    assert known[3].cum_return == pytest.approx((1.015**4 - 1) * 100)
+    assert all(r.cum_return is None for r in known[4:])
+
+
+def test_a_quarter_without_returns_keeps_the_estimate(spark):
+    from datetime import date
+
+    from tideline.operators import estimators
+
+    rows = [("a", date(2021, m, 4), 0.01) for m in (2, 5, 8)] + [("b", date(2021, 2, 4), 0.02), ("b", date(2021, 5, 4), None), ("b", date(2021, 8, 4), 0.04)]
+    df = spark.createDataFrame(rows + [("c", date(2021, 2, 4), None)], "asset string, date date, r double")
+    got = {(r.asset, r.period % 4): r.mu for r in estimators.ewm_mean_by_period(df).collect()}
+    assert sorted(got) == [(x, q) for x in "ab" for q in range(3)]
+    assert got["b", 1] == pytest.approx(got["b", 0]) and got["b", 2] > got["b", 0]

@@ -204,16 +204,17 @@ def ewm_mean_by_period(
     """Expected return as of the end of every period: ``(asset, period, mu)``.
 
     History is read once: each period keeps its decayed sums, and a running
-    window ages the earlier sums by the business days between period ends.
+    window ages the earlier sums by the business days between period ends. A
+    period without a return keeps the estimate of the one before.
     """
     decay = F.lit(span_decay(span))
     base = with_day(returns).withColumn("period", period_number(F.col("date"), freq))
     end = business_ordinal(F.unix_date(period_end(F.col("period"), freq)))
     w = F.pow(decay, end - business_ordinal(F.col("n")))
+    known = F.col("r").isNotNull()
     sums = (
-        base.where(F.col("r").isNotNull())
-        .groupBy("asset", "period")
-        .agg(F.sum(w * F.col("r")).alias("wr"), F.sum(w).alias("w"))
+        base.groupBy("asset", "period")
+        .agg(F.sum(F.when(known, w * F.col("r")).otherwise(0.0)).alias("wr"), F.sum(F.when(known, w).otherwise(0.0)).alias("w"))
         .withColumn("end", end)
     )
     so_far = F.collect_list(F.struct("end", "wr", "w")).over(
@@ -225,8 +226,10 @@ def ewm_mean_by_period(
             "so_far", F.lit(0.0), lambda acc, s: acc + s[field] * F.pow(decay, F.col("end") - s["end"])
         )
 
-    return sums.withColumn("so_far", so_far).select(
-        "asset", "period", (aged("wr") / aged("w") * frequency).alias("mu")
+    return (
+        sums.withColumn("so_far", so_far)
+        .select("asset", "period", (F.try_divide(aged("wr"), aged("w")) * frequency).alias("mu"))
+        .where(F.col("mu").isNotNull())
     )
 
 

@@ -36,12 +36,13 @@ def business_calendar(observations: DataFrame) -> DataFrame:
     )
 
 
-def clean_prices(observations: DataFrame, start: str, end: str) -> DataFrame:
+def clean_prices(observations: DataFrame, start: str, end: str, strict: bool = False) -> DataFrame:
     """Align raw ``(asset, date, price)`` observations to the business calendar.
 
     Observations without a price and off-calendar observations are dropped, and
     missing days become rows with a NULL price. An asset left without any
-    observation keeps its (all NULL) rows. A repeated (asset, date) is an error.
+    observation keeps its (all NULL) rows. A repeated (asset, date) is an error, and
+    with ``strict`` also a price on a business day outside the range.
 
     No asset x calendar join is made: each observation generates the days up to
     the next observation of its asset, so the panel costs one shuffle and
@@ -52,6 +53,8 @@ def clean_prices(observations: DataFrame, start: str, end: str) -> DataFrame:
     day = F.unix_date("date")
     repeated = (F.col("copies") > 1) & F.col("date").isNotNull()
     complaint = F.concat(F.lit("duplicate observation of "), "asset", F.lit(" on "), F.col("date").cast("string"))
+    outside = F.lit(strict) & (F.col("copies") > 0) & ~day.between(lo, hi) & is_business_day(day)
+    late = F.concat(F.lit("observation outside the panel: "), "asset", F.lit(" on "), F.col("date").cast("string"))
     # Days without a usable price get a NULL day: they only mark that the asset exists.
     usable = (F.col("copies") > 0) & day.between(lo, hi) & is_business_day(day)
     once = (
@@ -60,7 +63,10 @@ def clean_prices(observations: DataFrame, start: str, end: str) -> DataFrame:
         .agg(F.max("price").alias("price"), F.count("price").alias("copies"))
         .select(
             "asset",
-            F.when(repeated, F.raise_error(complaint).cast("int")).when(usable, day).alias("obs"),
+            F.when(repeated, F.raise_error(complaint).cast("int"))
+            .when(outside, F.raise_error(late).cast("int"))
+            .when(usable, day)
+            .alias("obs"),
             "price",
         )
     )
@@ -109,11 +115,18 @@ def between_years(panel: DataFrame, first: int, last: int) -> DataFrame:
     )
 
 
+def named(key: str, names: Sequence[str]) -> Column:
+    """The key, which has to be one of the names."""
+    unknown = F.raise_error(F.concat(F.lit(f"{key} without a column: "), F.coalesce(key, F.lit("NULL"))))
+    return F.when(F.col(key).isin(list(names)), F.col(key)).otherwise(unknown.cast("string"))
+
+
 def wide(panel: DataFrame, assets: Sequence[str], value: str = "price", key: str = "asset") -> DataFrame:
-    """Long to wide: one column per named asset.
+    """Long to wide: one column per named asset; an asset that is not named is an error (see :func:`asset_subset`).
 
     The names are given by the caller, so no job runs to discover them.
     """
+    panel = panel.withColumn(key, named(key, assets))
     return panel.groupBy("date").pivot(key, list(assets)).agg(F.first(value))
 
 

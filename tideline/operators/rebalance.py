@@ -63,7 +63,9 @@ def rebalanced_return(returns: DataFrame, weights: DataFrame, end: str) -> DataF
     New weights apply from the business day after their rebalance date up to
     and including the next one, so no return is earned with weights that were
     not known yet. Holdings are unrolled to days and equi-joined with the
-    returns on (asset, day); there is no interval join.
+    returns on (asset, day); there is no interval join. On a day on which a held
+    asset has no return the portfolio's is NULL, and so is the cumulative return from
+    then on.
     """
     last = F.unix_date(F.coalesce("next_date", F.lit(end).cast("date")))
     first = F.unix_date("rebalance_date") + 1
@@ -76,14 +78,16 @@ def rebalanced_return(returns: DataFrame, weights: DataFrame, end: str) -> DataF
         .where(is_business_day(F.col("n")))
     )
     daily = (
-        holdings.join(with_day(returns).select("asset", "n", "r"), ["asset", "n"])
+        holdings.join(with_day(returns).select("asset", "n", "r"), ["asset", "n"], "left")
         .groupBy("portfolio", "n")
-        .agg(F.sum(F.col("weight") * F.coalesce("r", F.lit(0.0))).alias("r"))
+        .agg(F.when(F.count("r") == F.count("*"), F.sum(F.col("weight") * F.col("r"))).alias("r"))
     )
     so_far = by_time("portfolio").rowsBetween(Window.unboundedPreceding, 0)
     return daily.select(
         "portfolio",
         F.date_from_unix_date("n").alias("date"),
         "r",
-        ((F.product(F.col("r") + 1).over(so_far) - 1) * 100).alias("cum_return"),
+        F.when(
+            F.count("r").over(so_far) == F.count("*").over(so_far), (F.product(F.col("r") + 1).over(so_far) - 1) * 100
+        ).alias("cum_return"),
     )

@@ -67,7 +67,7 @@ def query(digits: int | None = 4, name: str | None = None) -> Callable[[Query],
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel.clean_prices(market_observations(spark, sf_dir), PANEL_START, PANEL_END)
+    return panel.clean_prices(market_observations(spark, sf_dir), PANEL_START, PANEL_END, strict=True)
 
 
 def market_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +96,8 @@ def pair_sheet(spark, sf_dir):
     obs = market_observations(spark, sf_dir)
     place = F.row_number().over(Window.partitionBy("asset").orderBy("date"))
     sheet = (
-        obs.withColumn("k", place)
+        obs.withColumn("asset", panel.named("asset", MARKETS))
+        .withColumn("k", place)
         .groupBy("k")
         .pivot("asset", MARKETS)
         .agg(F.first(F.col("date").cast("string")).alias("d"), F.first("price").alias("p"))
@@ -302,7 +303,7 @@ def cov_sample(spark, sf_dir):
 @query(2)
 def cov_suppliers(spark, sf_dir):
     """A wide, sparse panel: one asset per supplier, paired block by block."""
-    sparse = panel.clean_prices(supplier_observations(spark, sf_dir), PANEL_START, PANEL_END)
+    sparse = panel.clean_prices(supplier_observations(spark, sf_dir), PANEL_START, PANEL_END, strict=True)
     return estimators.sample_cov(returns.daily_returns(sparse))
 
 
