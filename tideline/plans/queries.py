@@ -33,8 +33,6 @@ PUBLISHED_WEIGHTS = {
 }
 PORTFOLIOS = ("max_sharpe", "min_vol", "equal_wt")
 COV_PERIODS = {"1995-1999": (1995, 1999), "2000-2001": (2000, 2001)}
-# The ten markets fit one block of the pair products.
-ONE_BLOCK = 1
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -288,7 +286,7 @@ def resample_year(spark, sf_dir):
 
 
 def shrunk_cov(r: DataFrame) -> DataFrame:
-    return estimators.ledoit_wolf_cov(r, n_blocks=ONE_BLOCK)
+    return estimators.ledoit_wolf_cov(r)
 
 
 def expected_returns(r: DataFrame) -> DataFrame:
@@ -297,7 +295,7 @@ def expected_returns(r: DataFrame) -> DataFrame:
 
 @query()
 def cov_sample(spark, sf_dir):
-    return estimators.sample_cov(market_returns(spark, sf_dir), n_blocks=ONE_BLOCK)
+    return estimators.sample_cov(market_returns(spark, sf_dir))
 
 
 @query(2)
@@ -309,12 +307,12 @@ def cov_suppliers(spark, sf_dir):
 
 @query()
 def cov_by_period(spark, sf_dir):
-    return estimators.period_cov(market_returns(spark, sf_dir), COV_PERIODS, n_blocks=ONE_BLOCK)
+    return estimators.period_cov(market_returns(spark, sf_dir), COV_PERIODS)
 
 
 @query()
 def cov_ewm(spark, sf_dir):
-    return estimators.ewm_cov(market_returns(spark, sf_dir), as_of=PANEL_END, n_blocks=ONE_BLOCK)
+    return estimators.ewm_cov(market_returns(spark, sf_dir), as_of=PANEL_END)
 
 
 @query()
@@ -329,12 +327,12 @@ def mu_ewm(spark, sf_dir):
 
 @query()
 def correlation(spark, sf_dir):
-    return estimators.correlation(estimators.sample_cov(market_returns(spark, sf_dir), n_blocks=ONE_BLOCK))
+    return estimators.correlation(estimators.sample_cov(market_returns(spark, sf_dir)))
 
 
 @query()
 def near_duplicates(spark, sf_dir):
-    cov = estimators.sample_cov(market_returns(spark, sf_dir), n_blocks=ONE_BLOCK)
+    cov = estimators.sample_cov(market_returns(spark, sf_dir))
     return panel.near_duplicates(estimators.correlation(cov), at_least=0.05)
 
 
@@ -471,7 +469,7 @@ def mu_as_of(r: DataFrame) -> DataFrame:
 
 
 def cov_as_of(r: DataFrame) -> DataFrame:
-    by_quarter = estimators.ledoit_wolf_by_period(r, n_blocks=ONE_BLOCK)
+    by_quarter = estimators.ledoit_wolf_by_period(r)
     return rebalance.dated(by_quarter, rebalance.rebalance_dates(r))
 
 
