@@ -326,3 +326,16 @@ def test_a_quarter_without_returns_keeps_the_estimate(spark):
     got = {(r.asset, r.period % 4): r.mu for r in estimators.ewm_mean_by_period(df).collect()}
     assert sorted(got) == [(x, q) for x in "ab" for q in range(3)]
     assert got["b", 1] == pytest.approx(got["b", 0]) and got["b", 2] > got["b", 0]
+
+
+def test_frontier_ends_at_the_highest_return_and_names_assets_of_unknown_risk(spark):
+    mu = spark.createDataFrame([("g", a, m) for a, m in (("a", 0.1), ("b", 0.3), ("c", 0.3), ("new", 0.9))], "g string, asset string, mu double")
+    v = {("a", "a"): 0.04, ("b", "b"): 0.09, ("c", "c"): 0.18, ("a", "b"): 0.01, ("a", "c"): 0.0, ("b", "c"): 0.0}
+    both = {**v, **{(j, i): x for (i, j), x in v.items()}}
+    cov = spark.createDataFrame([("g", i, j, x) for (i, j), x in both.items()], "g string, i string, j string, cov double")
+    got = optimize.solve_weights(mu, cov, ("g",), ("frontier", "min_vol"), points=5).toPandas()
+    last = got[got.portfolio == "point_004"].set_index("asset")
+    # Two assets share the highest return; the mix weighs them by inverse variance.
+    assert last.weight.to_dict() == pytest.approx({"a": 0.0, "b": 2 / 3, "c": 1 / 3, "new": 0.0}, abs=1e-8)
+    assert sorted(got.portfolio.unique()) == ["min_vol", *(f"point_{k:03d}" for k in range(5))]
+    assert set(got[got.asset == "new"].status) == {"no_covariance"} and set(got[got.asset != "new"].status) == {"optimal"}

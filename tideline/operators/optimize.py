@@ -77,18 +77,19 @@ def _group_solver(
             spread = max(mu.max() - mu.min(), 1e-300)
             for objective in objectives:
                 if objective == "frontier":
-                    # From the least volatile (t = 0) towards the asset of highest return.
-                    targets = [
-                        (f"point_{k:03d}", 1 + (mu - mu.max()) / spread * t / (1 - t))
-                        for k, t in enumerate(np.linspace(0, 0.99, points))
-                    ]
+                    # From the least volatile (t = 0) towards the highest return, which the last point has.
+                    ends = [*(1 + (mu - mu.max()) / spread * t / (1 - t) for t in np.linspace(0, 0.99, points - 1)), None]
+                    targets = [(f"point_{k:03d}", b) for k, b in enumerate(ends)]
                 else:
                     targets = [(objective, mu - rf if objective == "max_sharpe" else np.ones(size))]
                 for name, b in targets:
                     if np.isnan(v).any():
                         y, status = np.full(size, np.nan), "bad_covariance"
                     else:
-                        y, done = nonnegative_quadratic(v, b)
+                        # Of several assets with the highest return, the least volatile mix.
+                        some = np.flatnonzero(mu == mu.max()) if b is None else np.arange(size)
+                        y = np.zeros(size)
+                        y[some], done = nonnegative_quadratic(v[np.ix_(some, some)], np.ones(len(some)) if b is None else b)
                         status = "not_converged" if not done else "optimal" if y.sum() > 0 else "no_excess_return"
                     solved = y.sum() > 0
                     frames.append(
@@ -103,6 +104,10 @@ def _group_solver(
                             }
                         )
                     )
+        # An asset of unknown risk is not held, and is named.
+        unknown = np.setdiff1d(mu_rows["asset"].to_numpy(dtype=str), held)
+        for name in dict.fromkeys(f["portfolio"].iat[0] for f in frames) if len(unknown) else ():
+            frames.append(pd.DataFrame({"portfolio": name, "asset": unknown, "weight": 0.0, "scale": np.nan, "status": "no_covariance"}))
         out = pd.concat(frames) if frames else pd.DataFrame(columns=["portfolio", "asset", "weight", "scale", "status"])
         for position, column in enumerate(key_columns):
             out.insert(position, column, [key[position]] * len(out))
