@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from tideline.llm import (
     bpe,
@@ -261,6 +262,48 @@ def test_rank_map():
     assert len(bpe.packed({}, 1)[0]) == 1
 
 
+def test_pairs_that_are_reached(ranks):
+    pieces = [b"a", b"b", b"c", b"ab", b"bc", b"abc", b"aa", b"cab"]
+    own = {piece: rank for rank, piece in enumerate(pieces)}
+    assert bpe.reached(own) == {0: {1: 3, 0: 6}, 1: {2: 4}, 3: {2: 5}, 2: {3: 7}}
+    assert bpe.reached({}) == {}
+    every = bpe.pair_rows(ranks)
+    assert all(every[a][b] == rank for a, row in bpe.reached(ranks).items() for b, rank in row.items())
+
+
+def test_pieces_are_merged_once(spark, ranks):
+    official = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(4)
+    words = ["".join(rng.choice("aeinst qzéü漢0\n") for _ in range(rng.randrange(1, 40))) for _ in range(400)]
+    words += ["a" * n for n in (2, 3, 4, 5, 31, bpe.LONG, bpe.LONG + 1)]
+    words = [w for w in words if w.encode() not in ranks]
+    got = bpe.merged_pieces(spark.createDataFrame([(w.encode(),) for w in words * 2], "piece binary"), ranks).collect()
+    assert len(got) == len(set(words))
+    assert {bytes(r.piece).decode(): r.ids for r in got} == {w: official.encode_ordinary(w) for w in words}
+
+
+def test_decoding_in_levels(spark, ranks):
+    names = {rank: piece for piece, rank in ranks.items()}
+    rng, values = random.Random(6), list(ranks.values())
+    lists = [[rng.choice(values) for _ in range(n)] for n in (0, 1, 63, 64, 65, 4096, 4097, 300_000)]
+    df = spark.createDataFrame([(i, ids) for i, ids in enumerate(lists)], "i int, ids array<int>")
+    got = df.select("i", bpe.decoded(df["ids"], ranks).alias("b")).collect()
+    assert {r.i: bytes(r.b) for r in got} == {i: b"".join(names[x] for x in ids) for i, ids in enumerate(lists)}
+    with pytest.raises(Exception, match="id without a piece"):
+        spark.createDataFrame([([99_999_999],)], "ids array<int>").select(bpe.decoded(F.col("ids"), ranks)).collect()
+
+
+def test_bpe_digests(docs, rows, ranks):
+    official = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def digest(text):
+        ids = official.encode_ordinary(text)
+        return len(ids), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in registry.bpe_digests(docs).collect())
+    assert got == Counter((r[0], *digest(r[1] or "")) for r in rows)
+
+
 def test_byte_parts(ranks):
     edge = bpe.edge(ranks)
     unknown = "zqzqx".encode()

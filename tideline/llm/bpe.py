@@ -1,22 +1,30 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions (operator 4).
 
-Encoding: a first pass cuts each text by the tokenizer's pattern and gives, per
-few megabytes of text, the distinct pieces as arrays of byte ids, and the place
-of every piece among them. Spark then folds the ranked merges over the array of
-each distinct piece: the state holds the parts of the piece and the rank of
-every neighbouring pair, each step joins the leftmost pair of the lowest rank.
-The rank map is one literal: rows of right neighbours laid over one another in
-an array, so that a look-up is one read. A last pass puts the ids of the pieces
-back in text order. Nothing is shuffled.
-
-Decoding looks every id up in a literal array and joins the pieces' bytes.
+Encoding, in four steps:
+
+1. *Cut.* Each text is cut by the tokenizer's pattern. A few megabytes of text
+   become one row: the place of every piece in text order, and the distinct
+   pieces that have no id of their own (the others are their id already).
+2. *Distinct.* These pieces are made distinct over the whole table, so that
+   each is merged once, whatever the number of its copies.
+3. *Fold.* Spark folds the ranked merges over the array of byte ids of each
+   distinct piece, one piece a row: the state holds the parts and the rank of
+   every neighbouring pair, each step joins the leftmost pair of the lowest
+   rank. The rank map is one literal: rows of right neighbours laid over one
+   another in an array, so that a look-up is one read.
+4. *Restore.* The ids go back to the slices by (slice, place), and each slice
+   puts them in text order. A hot piece has one row a slice.
+
+Decoding looks every id up in a literal array and concatenates the binary
+pieces, ``CHUNK`` at a time in ``LEVELS`` levels, so that no long result is copied per id.
 
 The fold looks at all neighbours of a part in every step, so its cost grows with
 the square of a piece's length. Pieces over ``LONG`` bytes (no
 word is) are merged by a heap instead, with the same result.
 
 Null text counts as empty and has no ids. Unknown ids cannot be decoded and
-raise. Repeated rows are encoded alike.
+raise. Repeated rows are encoded alike. Other columns than ``doc_id`` and
+``text`` are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,10 +37,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import slices
+from tideline.llm.common import saved, slices
 
 SLICE = 8 << 20
 LONG = 256
@@ -41,6 +51,9 @@ BITS = 20
 EMPTY = 1 << 2 * BITS + 1
 #: Bits of a place in a piece of ``LONG`` bytes.
 PLACE_BITS = 12
+#: Binary pieces that are concatenated at a time, and how often before the rest is.
+CHUNK = 64
+LEVELS = 3
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -49,10 +62,6 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in lines if line.strip())}
 
 
-def _name(piece: bytes) -> str:
-    return piece.hex().upper()
-
-
 def _literal(values: list, kind: str) -> Column:
     """A constant array in the plan."""
     return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), kind)
@@ -69,6 +78,27 @@ def pair_rows(ranks: dict[bytes, int]) -> dict[int, dict[int, int]]:
     return rows
 
 
+def reached(ranks: dict[bytes, int]) -> dict[int, dict[int, int]]:
+    """The pairs of ``pair_rows`` that merging can meet, at most one for each piece.
+
+    Parts that lie side by side were merged without a look across their outer
+    ends, so as in the piece they join to when it stands alone. That piece, merged
+    down to two parts, gives the only such pair.
+    """
+    rows: dict[int, dict[int, int]] = {}
+    for piece, rank in ranks.items():
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while len(parts) > 2:
+            pairs = [ranks.get(a + b, EMPTY) for a, b in zip(parts, parts[1:])]
+            i = pairs.index(least := min(pairs))
+            if least == EMPTY:
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        if len(parts) == 2 and parts[0] in ranks and parts[1] in ranks:
+            rows.setdefault(ranks[parts[0]], {})[ranks[parts[1]]] = rank
+    return rows
+
+
 def packed(rows: dict[int, dict[int, int]], size: int) -> tuple[list[int], list[int]]:
     """The rows laid over one another in one array, and where each row starts.
 
@@ -100,11 +130,11 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def encoded_pieces(pieces: Column, ranks: dict[bytes, int]) -> Column:
-    """The ids of every piece, given as the ids of its bytes between two ``edge(ranks)``."""
-    starts, cells = packed(pair_rows(ranks), edge(ranks) + 1)
+def encoded_piece(parts: Column, ranks: dict[bytes, int]) -> Column:
+    """The ids of a piece, given as the ids of its bytes between two ``edge(ranks)``; null of null."""
+    starts, cells = packed(reached(ranks), edge(ranks) + 1)
     # Bound once, so that the plan holds one copy of the map.
-    each = lambda s, c: F.transform(pieces, lambda p: _folded(p, s, c))
+    each = lambda s, c: _folded(parts, s, c)
     return _let(_literal(starts, "array<bigint>"), lambda s: _let(_literal(cells, "array<bigint>"), lambda c: each(s, c)))
 
 
@@ -205,72 +235,130 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Places(dict):
+    """The id of a piece that has one; of the others, in order of appearance, -1, -2 and so on."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__()
+        self.ranks, self.unknown = ranks, []
+
     def __missing__(self, piece: str) -> int:
-        self[piece] = place = len(self)
+        data = piece.encode()
+        place = self.ranks.get(data)
+        if place is None:
+            self.unknown.append(data)
+            place = -len(self.unknown)
+        self[piece] = place
         return place
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """``doc_id, ids`` of every row of ``docs``."""
+def cut_pieces(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """``slice, doc_ids, sizes, at, pieces``: a few megabytes of text a row.
+
+    ``at`` holds, compressed, the places of all pieces in text order: an id, or
+    ``-1 - i`` for the i-th of ``pieces``, the distinct ones without an id.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
+        find, number = regex.compile(pattern).findall, TaskContext.get().partitionId() << 32
         for batch in slices(batches, limit=SLICE):
-            places, at, ends = _Places(), [], []
+            places, at = _Places(ranks), []
             for text in batch.column("text").to_pylist():
                 at.append(np.fromiter(map(places.__getitem__, find(text or "")), np.int32))
-                ends.append(len(at[-1]))
-            flat = np.concatenate(at)
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            planes = np.concatenate(at).astype("<i4").view(np.uint8).reshape(-1, 4).T
             yield pa.RecordBatch.from_arrays(
                 [
+                    pa.array([number], pa.int64()),
                     one(batch.column("doc_id")),
-                    one(pa.array(ends, pa.int32())),
-                    one(pa.array(flat)),
-                    one(byte_parts(pieces := [p.encode() for p in places], ranks)),
-                    one(pa.array([p for p in pieces if len(p) > LONG], pa.binary())),
+                    one(pa.array([len(x) for x in at], pa.int32())),
+                    pa.array([zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)], pa.binary()),
+                    one(pa.array(places.unknown, pa.binary())),
                 ],
-                ["doc_ids", "sizes", "at", "parts", "long"],
+                ["slice", "doc_ids", "sizes", "at", "pieces"],
             )
+            number += 1
+
+    return docs.select("doc_id", "text").mapInArrow(
+        cut, f"slice bigint, doc_ids array<{kind}>, sizes array<int>, at binary, pieces array<binary>"
+    )
+
 
-    def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def merged_pieces(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """``piece, ids`` of the distinct values of ``piece``."""
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                sizes, at = (batch.column(c)[row].values.to_numpy() for c in ("sizes", "at"))
-                found = batch.column("ids")[row].values
-                if found.null_count:
-                    by_heap = iter([merged(p, ranks) for p in batch.column("long")[row].as_py()])
-                    found = pa.array([next(by_heap) if x is None else x for x in found.to_pylist()], pa.list_(pa.int64()))
-                lengths = np.diff(found.offsets.to_numpy())
-                values = found.values.to_numpy(zero_copy_only=False).astype(np.int32, copy=False)
-                starts, long = found.offsets.to_numpy()[:-1], lengths[at]
-                # The ids of each piece in text order, without a loop over pieces.
-                ends = np.cumsum(long)
-                flat = values[np.repeat(starts[at] - (ends - long), long) + np.arange(ends[-1] if len(ends) else 0)]
-                offsets = np.r_[0, ends][np.r_[0, np.cumsum(sizes)]]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_ids")[row].values, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))],
-                    ["doc_id", "ids"],
-                )
+            own = batch.column("piece").to_pylist()
+            parts = byte_parts(own, ranks).cast(pa.list_(pa.int64()))
+            by_heap = pa.array([merged(p, ranks) if len(p) > LONG else None for p in own], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("piece"), parts, by_heap], ["piece", "parts", "long"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(
-        cut, f"doc_ids array<{kind}>, sizes array<int>, at array<int>, parts array<array<bigint>>, long array<binary>"
-    )
-    ids = encoded_pieces(F.col("parts"), ranks)
-    return rows.select("doc_ids", "sizes", "at", ids.alias("ids"), "long").mapInArrow(
-        restore, f"doc_id {kind}, ids array<int>"
-    )
+    # Few bytes make much work here, so the tasks are the session's number and not merged by size.
+    tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pieces.distinct().repartition(tasks).mapInArrow(spelled, "piece binary, parts array<bigint>, long array<bigint>")
+    ids = F.when(F.col("parts").isNull(), F.col("long")).otherwise(encoded_piece(F.col("parts"), ranks))
+    return rows.select("piece", ids.cast("array<int>").alias("ids"))
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """``doc_id, ids`` of every row of ``docs``."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    cut = saved(cut_pieces(docs, ranks, pattern))
+    own = cut.select("slice", F.posexplode("pieces").alias("place", "piece"))
+    found = own.join(saved(merged_pieces(own.select("piece"), ranks)), "piece").select(F.col("slice").alias("of"), "place", "ids")
+
+    def restore(texts: pa.Table, pieces: pa.Table) -> pa.Table:
+        planes = np.frombuffer(zstandard.decompress(texts.column("at")[0].as_py()), np.uint8).reshape(4, -1)
+        at = np.ascontiguousarray(planes.T).view("<i4").reshape(-1)
+        lists = pieces.column("ids").combine_chunks()
+        if isinstance(lists, pa.ChunkedArray):
+            lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
+        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        row = np.empty(len(lists), np.int64)
+        row[pieces.column("place").to_numpy()] = np.arange(len(lists))
+        # A place is an id of its own or leads to a list; both as a stretch of one array.
+        known = at >= 0
+        source = row[-1 - at[~known]]
+        starts, sizes = np.zeros(len(at), np.int64), np.ones(len(at), np.int64)
+        starts[~known], sizes[~known] = offsets[:-1][source], np.diff(offsets)[source]
+        ends = np.cumsum(sizes)
+        flat = np.empty(ends[-1] if len(ends) else 0, np.int32)
+        flat[(ends - sizes)[known]] = at[known]
+        spread = np.repeat(~known, sizes)
+        flat[spread] = values[(np.repeat(starts - (ends - sizes), sizes) + np.arange(len(flat)))[spread]]
+        bounds = np.r_[0, ends][np.r_[0, np.cumsum(texts.column("sizes")[0].values.to_numpy())]]
+        ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
+        return pa.table({"doc_id": texts.column("doc_ids")[0].values, "ids": ids})
+
+    texts = cut.select("slice", "doc_ids", "sizes", "at")
+    return texts.groupBy("slice").cogroup(found.groupBy("of")).applyInArrow(restore, f"doc_id {kind}, ids array<int>")
+
+
+def _chunks(parts: Column) -> Column:
+    """Every ``CHUNK`` binary parts as one. Parts are read by place; a slice would go over the whole array."""
+    last = F.size(parts) - 1
+
+    def chunk(start: Column) -> Column:
+        places = F.sequence(start, F.least(start + (CHUNK - 1), last))
+        return F.aggregate(places, F.lit(b""), lambda done, i: F.concat(done, F.get(parts, i)))
+
+    whole = F.transform(F.sequence(F.lit(0), last, F.lit(CHUNK)), chunk)
+    return F.when(last >= CHUNK, whole).otherwise(parts)
 
 
 def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
     """The bytes of an array of ids."""
     names = [""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
-        names[rank] = _name(piece)
-    pieces = _literal(names, "array<string>")
-    known = lambda i: F.coalesce(
-        F.nullif(F.get(pieces, i), F.lit("")), F.raise_error(F.lit("id without a piece")).cast("string")
-    )
-    return F.unhex(F.array_join(F.transform(ids, known), ""))
+        names[rank] = base64.b64encode(piece).decode()
+    pieces = _literal(names, "array<binary>")
+    none = F.raise_error(F.lit("id without a piece")).cast("binary")
+
+    def known(i: Column) -> Column:
+        return _let(F.get(pieces, i), lambda p: F.when(F.octet_length(p) > 0, p).otherwise(none))
 
+    parts = F.transform(ids, known)
+    for _ in range(LEVELS):
+        parts = _let(parts, _chunks)
+    return F.aggregate(parts, F.lit(b""), lambda done, part: F.concat(done, part))
