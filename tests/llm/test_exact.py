@@ -10,6 +10,7 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -271,14 +272,27 @@ def test_pairs_that_are_reached(ranks):
     assert all(every[a][b] == rank for a, row in bpe.reached(ranks).items() for b, rank in row.items())
 
 
-def test_pieces_are_merged_once(spark, ranks):
+def test_pieces_in_shards(spark, docs, rows, ranks):
+    cut = saved(bpe.cut_pieces(docs, ranks, public_tokenizers.PATTERN))
+    find = regex.compile(public_tokenizers.PATTERN).findall
+    unknown = {p for r in rows for p in find(r[1] or "") if p.encode() not in ranks}
+    for shards in (1, 8):
+        got = bpe.split_pieces(cut, shards).collect()
+        assert len({(r.slice, r.shard) for r in got}) == len(got) and all(0 <= r.shard < shards for r in got)
+        assert {p.decode() for r in got for p in bpe._items(r.pieces)} == unknown
+        for c in cut.collect():
+            mine = sorted((r for r in got if r.slice == c.slice), key=lambda r: r.shard)
+            assert [p for r in mine for p in bpe._items(r.pieces)] == bpe._items(c.pieces)
+
+
+def test_pieces_are_merged(spark, ranks):
     official = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
     rng = random.Random(4)
     words = ["".join(rng.choice("aeinst qzéü漢0\n") for _ in range(rng.randrange(1, 40))) for _ in range(400)]
     words += ["a" * n for n in (2, 3, 4, 5, 31, bpe.LONG, bpe.LONG + 1)]
     words = [w for w in words if w.encode() not in ranks]
-    got = bpe.merged_pieces(spark.createDataFrame([(w.encode(),) for w in words * 2], "piece binary"), ranks).collect()
-    assert len(got) == len(set(words))
+    got = bpe.merged_pieces(spark.createDataFrame([(i, w.encode()) for i, w in enumerate(words)], "shard int, piece binary"), ranks).collect()
+    assert sorted(r.shard for r in got) == list(range(len(words)))
     assert {bytes(r.piece).decode(): r.ids for r in got} == {w: official.encode_ordinary(w) for w in words}
 
 

@@ -2,18 +2,19 @@
 
 Encoding, in four steps:
 
-1. *Cut.* Each text is cut by the tokenizer's pattern. A few megabytes of text
+1. *Cut.* Each text is cut by the tokenizer's pattern. Up to ``SLICE`` bytes of text
    become one row: the place of every piece in text order, and the distinct
    pieces that have no id of their own (the others are their id already).
 2. *Distinct.* These pieces are made distinct over the whole table, so that
-   each is merged once, whatever the number of its copies.
+   each is merged once, whatever the number of its copies. They travel as
+   compressed blocks, one for each slice and range of hashes.
 3. *Fold.* Spark folds the ranked merges over the array of byte ids of each
    distinct piece, one piece a row: the state holds the parts and the rank of
    every neighbouring pair, each step joins the leftmost pair of the lowest
    rank. The rank map is one literal: rows of right neighbours laid over one
    another in an array, so that a look-up is one read.
-4. *Restore.* The ids go back to the slices by (slice, place), and each slice
-   puts them in text order. A hot piece has one row a slice.
+4. *Restore.* The ids go back to the blocks, the blocks to their slices, and
+   each slice puts them in text order. A hot piece counts once a slice.
 
 Decoding looks every id up in a literal array and concatenates the binary
 pieces, ``CHUNK`` at a time in ``LEVELS`` levels, so that no long result is copied per id.
@@ -36,15 +37,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import saved, slices
+from tideline.llm.common import power_of_two, saved, slices
 
-SLICE = 8 << 20
+SLICE = 32 << 20
+#: Pieces without an id, over all slices, that one task makes distinct.
+PIECES_PER_SHARD = 500_000
 LONG = 256
 #: Bits of an id in a cell of the rank map, and a cell that no row owns.
 BITS = 20
@@ -251,88 +256,164 @@ class _Places(dict):
         return place
 
 
+def _blob(items: list[bytes]) -> bytes:
+    """Byte strings as one compressed value: their number, their sizes, and the bytes."""
+    sizes = np.fromiter(map(len, items), np.dtype("<u4"), len(items))
+    return zstandard.compress(len(items).to_bytes(4, "little") + sizes.tobytes() + b"".join(items), 3)
+
+
+def _opened(blob: bytes) -> tuple[np.ndarray, bytes]:
+    """The sizes and the joined bytes of a blob."""
+    raw = zstandard.decompress(blob)
+    n = int.from_bytes(raw[:4], "little")
+    return np.frombuffer(raw, "<u4", n, 4).astype(np.int64), raw[4 + 4 * n :]
+
+
+def _items(blob: bytes) -> list[bytes]:
+    sizes, joined = _opened(blob)
+    ends = np.cumsum(sizes)
+    return [joined[i:j] for i, j in zip((ends - sizes).tolist(), ends.tolist())]
+
+
+def _hashes(pieces: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, pieces), np.uint64, len(pieces))
+
+
 def cut_pieces(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """``slice, doc_ids, sizes, at, pieces``: a few megabytes of text a row.
+    """``slice, doc_ids, sizes, at, n, pieces``: at most ``SLICE`` bytes of text a row, or one longer text.
 
     ``at`` holds, compressed, the places of all pieces in text order: an id, or
-    ``-1 - i`` for the i-th of ``pieces``, the distinct ones without an id.
+    ``-1 - i`` for the i-th of the ``n`` in ``pieces``, the distinct ones without an id by order of hash.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, number = regex.compile(pattern).findall, TaskContext.get().partitionId() << 32
-        for batch in slices(batches, limit=SLICE):
-            places, at = _Places(ranks), []
-            for text in batch.column("text").to_pylist():
-                at.append(np.fromiter(map(places.__getitem__, find(text or "")), np.int32))
+        places, at, docs, held = _Places(ranks), [], [], 0
+
+        def row() -> pa.RecordBatch:
+            order = np.argsort(_hashes(places.unknown), kind="stable")
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
+            flat = np.concatenate(at).astype("<i4")
+            flat[flat < 0] = -1 - place[-1 - flat[flat < 0]]
+            planes = np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T).tobytes()
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            planes = np.concatenate(at).astype("<i4").view(np.uint8).reshape(-1, 4).T
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [
                     pa.array([number], pa.int64()),
-                    one(batch.column("doc_id")),
+                    one(pa.concat_arrays(docs)),
                     one(pa.array([len(x) for x in at], pa.int32())),
-                    pa.array([zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)], pa.binary()),
-                    one(pa.array(places.unknown, pa.binary())),
+                    pa.array([zstandard.compress(planes, 3)], pa.binary()),
+                    pa.array([len(order)], pa.int64()),
+                    pa.array([_blob([places.unknown[i] for i in order.tolist()])], pa.binary()),
                 ],
-                ["slice", "doc_ids", "sizes", "at", "pieces"],
+                ["slice", "doc_ids", "sizes", "at", "n", "pieces"],
             )
-            number += 1
+
+        for batch in slices(batches):
+            size = pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+            if docs and held + size > SLICE:
+                yield row()
+                places, at, docs, held, number = _Places(ranks), [], [], 0, number + 1
+            for text in batch.column("text").to_pylist():
+                at.append(np.fromiter(map(places.__getitem__, find(text or "")), np.int32))
+            docs.append(batch.column("doc_id"))
+            held += size
+        if docs:
+            yield row()
 
     return docs.select("doc_id", "text").mapInArrow(
-        cut, f"slice bigint, doc_ids array<{kind}>, sizes array<int>, at binary, pieces array<binary>"
+        cut, f"slice bigint, doc_ids array<{kind}>, sizes array<int>, at binary, n bigint, pieces binary"
     )
 
 
+def split_pieces(cut: DataFrame, shards: int) -> DataFrame:
+    """``slice, shard, pieces``: the pieces of each slice by the upper bits of their hash."""
+    shift = np.uint64(64 - (shards.bit_length() - 1))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, blob in zip(batch.column("slice").to_pylist(), batch.column("pieces").to_pylist()):
+                pieces = _items(blob)
+                shard = (_hashes(pieces) >> shift).astype(np.int32) if shards > 1 else np.zeros(len(pieces), np.int32)
+                own, first = np.unique(shard, return_index=True)
+                blobs = [_blob(pieces[i:j]) for i, j in zip(first, [*first[1:], len(pieces)])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number] * len(own), pa.int64()), pa.array(own), pa.array(blobs, pa.binary())],
+                    ["slice", "shard", "pieces"],
+                )
+
+    return cut.select("slice", "pieces").mapInArrow(split, "slice bigint, shard int, pieces binary")
+
+
 def merged_pieces(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """``piece, ids`` of the distinct values of ``piece``."""
+    """``shard, piece, ids`` for every row ``shard, piece``."""
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column("piece").to_pylist()
             parts = byte_parts(own, ranks).cast(pa.list_(pa.int64()))
             by_heap = pa.array([merged(p, ranks) if len(p) > LONG else None for p in own], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("piece"), parts, by_heap], ["piece", "parts", "long"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, parts, by_heap], ["shard", "piece", "parts", "long"])
 
     # Few bytes make much work here, so the tasks are the session's number and not merged by size.
     tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = pieces.distinct().repartition(tasks).mapInArrow(spelled, "piece binary, parts array<bigint>, long array<bigint>")
+    rows = pieces.repartition(tasks).mapInArrow(spelled, "shard int, piece binary, parts array<bigint>, long array<bigint>")
     ids = F.when(F.col("parts").isNull(), F.col("long")).otherwise(encoded_piece(F.col("parts"), ranks))
-    return rows.select("piece", ids.cast("array<int>").alias("ids"))
+    return rows.select("shard", "piece", ids.cast("array<int>").alias("ids"))
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """``doc_id, ids`` of every row of ``docs``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     cut = saved(cut_pieces(docs, ranks, pattern))
-    own = cut.select("slice", F.posexplode("pieces").alias("place", "piece"))
-    found = own.join(saved(merged_pieces(own.select("piece"), ranks)), "piece").select(F.col("slice").alias("of"), "place", "ids")
+    shards = power_of_two((cut.agg(F.sum("n")).first()[0] or 0) / PIECES_PER_SHARD)
+    split = split_pieces(cut, shards)
 
-    def restore(texts: pa.Table, pieces: pa.Table) -> pa.Table:
+    def distinct(key: tuple, rows: pa.Table) -> pa.Table:
+        found = {p for blob in rows.column("pieces").to_pylist() for p in _items(blob)}
+        return pa.table({"shard": pa.array([key[0].as_py()] * len(found), pa.int32()), "piece": pa.array(list(found), pa.binary())})
+
+    pieces = split.groupBy("shard").applyInArrow(distinct, "shard int, piece binary")
+    known = saved(merged_pieces(pieces, ranks)).withColumnRenamed("shard", "of")
+
+    def answer(rows: pa.Table, found: pa.Table) -> pa.Table:
+        lists = _one_array(found.column("ids"))
+        joined, ends = lists.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes(), (4 * lists.offsets.to_numpy()).tolist()
+        ids = dict(zip(found.column("piece").to_pylist(), (joined[i:j] for i, j in zip(ends, ends[1:]))))
+        blobs = [_blob([ids[p] for p in _items(blob)]) for blob in rows.column("pieces").to_pylist()]
+        return pa.table({"of": rows.column("slice"), "shard": rows.column("shard"), "ids": pa.array(blobs, pa.binary())})
+
+    answers = split.groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(answer, "of bigint, shard int, ids binary")
+
+    def restore(texts: pa.Table, found: pa.Table) -> pa.Table:
         planes = np.frombuffer(zstandard.decompress(texts.column("at")[0].as_py()), np.uint8).reshape(4, -1)
         at = np.ascontiguousarray(planes.T).view("<i4").reshape(-1)
-        lists = pieces.column("ids").combine_chunks()
-        if isinstance(lists, pa.ChunkedArray):
-            lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
-        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-        row = np.empty(len(lists), np.int64)
-        row[pieces.column("place").to_numpy()] = np.arange(len(lists))
+        # Shards are ranges of the hash, so one after the other they give the pieces' order.
+        blobs = [_opened(b) for b in found.sort_by("shard").column("ids").to_pylist()]
+        values = np.frombuffer(b"".join(joined for _, joined in blobs), "<i4")
+        counts = np.concatenate([sizes for sizes, _ in blobs] or [np.empty(0, np.int64)]) // 4
         # A place is an id of its own or leads to a list; both as a stretch of one array.
-        known = at >= 0
-        source = row[-1 - at[~known]]
+        unknown = at < 0
+        source = -1 - at[unknown]
         starts, sizes = np.zeros(len(at), np.int64), np.ones(len(at), np.int64)
-        starts[~known], sizes[~known] = offsets[:-1][source], np.diff(offsets)[source]
+        starts[unknown], sizes[unknown] = (np.cumsum(counts) - counts)[source], counts[source]
         ends = np.cumsum(sizes)
         flat = np.empty(ends[-1] if len(ends) else 0, np.int32)
-        flat[(ends - sizes)[known]] = at[known]
-        spread = np.repeat(~known, sizes)
-        flat[spread] = values[(np.repeat(starts - (ends - sizes), sizes) + np.arange(len(flat)))[spread]]
+        flat[(ends - sizes)[~unknown]] = at[~unknown]
+        spread = np.flatnonzero(np.repeat(unknown, sizes))
+        flat[spread] = values[np.repeat((starts - ends + sizes)[unknown], sizes[unknown]) + spread]
         bounds = np.r_[0, ends][np.r_[0, np.cumsum(texts.column("sizes")[0].values.to_numpy())]]
         ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
         return pa.table({"doc_id": texts.column("doc_ids")[0].values, "ids": ids})
 
     texts = cut.select("slice", "doc_ids", "sizes", "at")
-    return texts.groupBy("slice").cogroup(found.groupBy("of")).applyInArrow(restore, f"doc_id {kind}, ids array<int>")
+    return texts.groupBy("slice").cogroup(answers.groupBy("of")).applyInArrow(restore, f"doc_id {kind}, ids array<int>")
+
+
+def _one_array(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
 def _chunks(parts: Column) -> Column:
