@@ -291,9 +291,9 @@ def test_pieces_are_merged(spark, ranks):
     words = ["".join(rng.choice("aeinst qzéü漢0\n") for _ in range(rng.randrange(1, 40))) for _ in range(400)]
     words += ["a" * n for n in (2, 3, 4, 5, 31, bpe.LONG, bpe.LONG + 1)]
     words = [w for w in words if w.encode() not in ranks]
-    got = bpe.merged_pieces(spark.createDataFrame([(i, w.encode()) for i, w in enumerate(words)], "shard int, piece binary"), ranks).collect()
-    assert sorted(r.shard for r in got) == list(range(len(words)))
-    assert {bytes(r.piece).decode(): r.ids for r in got} == {w: official.encode_ordinary(w) for w in words}
+    got = bpe.merged_pieces(spark.createDataFrame([(3, i, w.encode()) for i, w in enumerate(words)], "shard int, i int, piece binary"), ranks).collect()
+    assert sorted(r.i for r in got) == list(range(len(words))) and {r.shard for r in got} == {3}
+    assert {words[r.i]: r.ids for r in got} == {w: official.encode_ordinary(w) for w in words}
 
 
 def test_decoding_in_levels(spark, ranks):

@@ -45,11 +45,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import power_of_two, saved, slices
+from tideline.llm.common import bucketed, power_of_two, saved, slices
 
 SLICE = 32 << 20
-#: Pieces without an id, over all slices, that one task makes distinct.
-PIECES_PER_SHARD = 500_000
+#: Pieces without an id, over all slices, that are made distinct in one group.
+PIECES_PER_SHARD = 100_000
 LONG = 256
 #: Bits of an id in a cell of the rank map, and a cell that no row owns.
 BITS = 20
@@ -275,15 +275,26 @@ def _items(blob: bytes) -> list[bytes]:
     return [joined[i:j] for i, j in zip((ends - sizes).tolist(), ends.tolist())]
 
 
+def _numbers(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 to 2**32 - 1, compressed byte by byte plane."""
+    planes = values.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 3)
+
+
+def _from_numbers(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+
+
 def _hashes(pieces: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, pieces), np.uint64, len(pieces))
 
 
 def cut_pieces(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """``slice, doc_ids, sizes, at, n, pieces``: at most ``SLICE`` bytes of text a row, or one longer text.
+    """``slice, doc_ids, sizes, at, order, n, pieces``: at most ``SLICE`` bytes of text a row, or one longer text.
 
-    ``at`` holds, compressed, the places of all pieces in text order: an id, or
-    ``-1 - i`` for the i-th of the ``n`` in ``pieces``, the distinct ones without an id by order of hash.
+    ``pieces`` are the ``n`` distinct ones without an id by order of hash. ``order`` lists them by
+    falling frequency; ``at`` holds the pieces in text order, ``2 * id``, or ``2 * i + 1`` for the i-th of ``order``.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -292,23 +303,28 @@ def cut_pieces(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFr
         places, at, docs, held = _Places(ranks), [], [], 0
 
         def row() -> pa.RecordBatch:
-            order = np.argsort(_hashes(places.unknown), kind="stable")
-            place = np.empty(len(order), np.int32)
-            place[order] = np.arange(len(order), dtype=np.int32)
-            flat = np.concatenate(at).astype("<i4")
-            flat[flat < 0] = -1 - place[-1 - flat[flat < 0]]
-            planes = np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T).tobytes()
+            by_hash = np.argsort(_hashes(places.unknown), kind="stable")
+            place = np.empty(len(by_hash), np.int64)
+            place[by_hash] = np.arange(len(by_hash))
+            flat = np.concatenate(at).astype(np.int64)
+            unknown = flat < 0
+            by_count = np.argsort(-np.bincount(-1 - flat[unknown], minlength=len(by_hash)), kind="stable")
+            rank = np.empty(len(by_hash), np.int64)
+            rank[by_count] = np.arange(len(by_hash))
+            codes = np.where(unknown, 0, 2 * flat)
+            codes[unknown] = 2 * rank[-1 - flat[unknown]] + 1
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([number], pa.int64()),
                     one(pa.concat_arrays(docs)),
                     one(pa.array([len(x) for x in at], pa.int32())),
-                    pa.array([zstandard.compress(planes, 3)], pa.binary()),
-                    pa.array([len(order)], pa.int64()),
-                    pa.array([_blob([places.unknown[i] for i in order.tolist()])], pa.binary()),
+                    pa.array([_numbers(codes)], pa.binary()),
+                    pa.array([_numbers(place[by_count])], pa.binary()),
+                    pa.array([len(by_hash)], pa.int64()),
+                    pa.array([_blob([places.unknown[i] for i in by_hash.tolist()])], pa.binary()),
                 ],
-                ["slice", "doc_ids", "sizes", "at", "n", "pieces"],
+                ["slice", "doc_ids", "sizes", "at", "order", "n", "pieces"],
             )
 
         for batch in slices(batches):
@@ -324,7 +340,7 @@ def cut_pieces(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFr
             yield row()
 
     return docs.select("doc_id", "text").mapInArrow(
-        cut, f"slice bigint, doc_ids array<{kind}>, sizes array<int>, at binary, n bigint, pieces binary"
+        cut, f"slice bigint, doc_ids array<{kind}>, sizes array<int>, at binary, order binary, n bigint, pieces binary"
     )
 
 
@@ -348,67 +364,74 @@ def split_pieces(cut: DataFrame, shards: int) -> DataFrame:
 
 
 def merged_pieces(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """``shard, piece, ids`` for every row ``shard, piece``."""
+    """``shard, i, ids`` for every row ``shard, i, piece``."""
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column("piece").to_pylist()
             parts = byte_parts(own, ranks).cast(pa.list_(pa.int64()))
             by_heap = pa.array([merged(p, ranks) if len(p) > LONG else None for p in own], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, parts, by_heap], ["shard", "piece", "parts", "long"])
+            columns = [batch.column("shard"), batch.column("i"), parts, by_heap]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "i", "parts", "long"])
 
-    # Few bytes make much work here, so the tasks are the session's number and not merged by size.
-    tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = pieces.repartition(tasks).mapInArrow(spelled, "shard int, piece binary, parts array<bigint>, long array<bigint>")
+    rows = pieces.mapInArrow(spelled, "shard int, i int, parts array<bigint>, long array<bigint>")
     ids = F.when(F.col("parts").isNull(), F.col("long")).otherwise(encoded_piece(F.col("parts"), ranks))
-    return rows.select("shard", "piece", ids.cast("array<int>").alias("ids"))
+    return rows.select("shard", "i", ids.cast("array<int>").alias("ids"))
+
+
+def _distinct(blobs: pa.ChunkedArray) -> list[bytes]:
+    return sorted({p for blob in blobs.to_pylist() for p in _items(blob)})
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """``doc_id, ids`` of every row of ``docs``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    cut = saved(cut_pieces(docs, ranks, pattern))
-    shards = power_of_two((cut.agg(F.sum("n")).first()[0] or 0) / PIECES_PER_SHARD)
-    split = split_pieces(cut, shards)
+    # The ids come to the slices, which are large and stay where they are written.
+    cut = bucketed(cut_pieces(docs, ranks, pattern), "slice", docs.rdd.getNumPartitions())
+    total = cut.agg(F.sum("n")).first()[0] or 0
+    # Few bytes make much work here, so the tasks are the session's number and not merged by size.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split = split_pieces(cut, power_of_two(total / PIECES_PER_SHARD)).repartition(tasks, "shard")
 
     def distinct(key: tuple, rows: pa.Table) -> pa.Table:
-        found = {p for blob in rows.column("pieces").to_pylist() for p in _items(blob)}
-        return pa.table({"shard": pa.array([key[0].as_py()] * len(found), pa.int32()), "piece": pa.array(list(found), pa.binary())})
+        found = _distinct(rows.column("pieces"))
+        shard, place = np.full(len(found), key[0].as_py(), np.int32), np.arange(len(found), dtype=np.int32)
+        return pa.table({"shard": shard, "i": place, "piece": pa.array(found, pa.binary())})
 
-    pieces = split.groupBy("shard").applyInArrow(distinct, "shard int, piece binary")
+    pieces = split.groupBy("shard").applyInArrow(distinct, "shard int, i int, piece binary")
     known = saved(merged_pieces(pieces, ranks)).withColumnRenamed("shard", "of")
 
     def answer(rows: pa.Table, found: pa.Table) -> pa.Table:
-        lists = _one_array(found.column("ids"))
+        lists = _one_array(found.sort_by("i").column("ids"))
         joined, ends = lists.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes(), (4 * lists.offsets.to_numpy()).tolist()
-        ids = dict(zip(found.column("piece").to_pylist(), (joined[i:j] for i, j in zip(ends, ends[1:]))))
+        ids = dict(zip(_distinct(rows.column("pieces")), (joined[i:j] for i, j in zip(ends, ends[1:]))))
         blobs = [_blob([ids[p] for p in _items(blob)]) for blob in rows.column("pieces").to_pylist()]
         return pa.table({"of": rows.column("slice"), "shard": rows.column("shard"), "ids": pa.array(blobs, pa.binary())})
 
     answers = split.groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(answer, "of bigint, shard int, ids binary")
 
     def restore(texts: pa.Table, found: pa.Table) -> pa.Table:
-        planes = np.frombuffer(zstandard.decompress(texts.column("at")[0].as_py()), np.uint8).reshape(4, -1)
-        at = np.ascontiguousarray(planes.T).view("<i4").reshape(-1)
+        codes = _from_numbers(texts.column("at")[0].as_py())
+        order = _from_numbers(texts.column("order")[0].as_py())
         # Shards are ranges of the hash, so one after the other they give the pieces' order.
         blobs = [_opened(b) for b in found.sort_by("shard").column("ids").to_pylist()]
         values = np.frombuffer(b"".join(joined for _, joined in blobs), "<i4")
         counts = np.concatenate([sizes for sizes, _ in blobs] or [np.empty(0, np.int64)]) // 4
-        # A place is an id of its own or leads to a list; both as a stretch of one array.
-        unknown = at < 0
-        source = -1 - at[unknown]
-        starts, sizes = np.zeros(len(at), np.int64), np.ones(len(at), np.int64)
+        # A code is an id of its own or leads to a list; both as a stretch of one array.
+        unknown = (codes & 1).astype(bool)
+        source = order[codes[unknown] >> 1]
+        starts, sizes = np.zeros(len(codes), np.int64), np.ones(len(codes), np.int64)
         starts[unknown], sizes[unknown] = (np.cumsum(counts) - counts)[source], counts[source]
         ends = np.cumsum(sizes)
         flat = np.empty(ends[-1] if len(ends) else 0, np.int32)
-        flat[(ends - sizes)[~unknown]] = at[~unknown]
+        flat[(ends - sizes)[~unknown]] = codes[~unknown] >> 1
         spread = np.flatnonzero(np.repeat(unknown, sizes))
         flat[spread] = values[np.repeat((starts - ends + sizes)[unknown], sizes[unknown]) + spread]
         bounds = np.r_[0, ends][np.r_[0, np.cumsum(texts.column("sizes")[0].values.to_numpy())]]
         ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
         return pa.table({"doc_id": texts.column("doc_ids")[0].values, "ids": ids})
 
-    texts = cut.select("slice", "doc_ids", "sizes", "at")
+    texts = cut.select("slice", "doc_ids", "sizes", "at", "order")
     return texts.groupBy("slice").cogroup(answers.groupBy("of")).applyInArrow(restore, f"doc_id {kind}, ids array<int>")
 
 
