@@ -56,6 +56,8 @@ BITS = 20
 EMPTY = 1 << 2 * BITS + 1
 #: Bits of a place in a piece of ``LONG`` bytes.
 PLACE_BITS = 12
+#: Pieces of text that are put in order at a time (a longer text comes alone).
+BLOCK = 1 << 18
 #: Binary pieces that are concatenated at a time, and how often before the rest is.
 CHUNK = 64
 LEVELS = 3
@@ -283,7 +285,7 @@ def _numbers(values: np.ndarray) -> bytes:
 
 def _from_numbers(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
 def _hashes(pieces: list[bytes]) -> np.ndarray:
@@ -304,15 +306,15 @@ def cut_pieces(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFr
 
         def row() -> pa.RecordBatch:
             by_hash = np.argsort(_hashes(places.unknown), kind="stable")
-            place = np.empty(len(by_hash), np.int64)
-            place[by_hash] = np.arange(len(by_hash))
-            flat = np.concatenate(at).astype(np.int64)
-            unknown = flat < 0
-            by_count = np.argsort(-np.bincount(-1 - flat[unknown], minlength=len(by_hash)), kind="stable")
-            rank = np.empty(len(by_hash), np.int64)
-            rank[by_count] = np.arange(len(by_hash))
-            codes = np.where(unknown, 0, 2 * flat)
-            codes[unknown] = 2 * rank[-1 - flat[unknown]] + 1
+            place, rank = np.empty(len(by_hash), np.int32), np.empty(len(by_hash), np.int32)
+            place[by_hash] = np.arange(len(by_hash), dtype=np.int32)
+            codes = np.concatenate(at)
+            unknown = codes < 0
+            own = -1 - codes[unknown]
+            by_count = np.argsort(-np.bincount(own, minlength=len(by_hash)), kind="stable")
+            rank[by_count] = np.arange(len(by_hash), dtype=np.int32)
+            codes *= 2
+            codes[unknown] = 2 * rank[own] + 1
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             return pa.RecordBatch.from_arrays(
                 [
@@ -417,19 +419,29 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
         blobs = [_opened(b) for b in found.sort_by("shard").column("ids").to_pylist()]
         values = np.frombuffer(b"".join(joined for _, joined in blobs), "<i4")
         counts = np.concatenate([sizes for sizes, _ in blobs] or [np.empty(0, np.int64)]) // 4
-        # A code is an id of its own or leads to a list; both as a stretch of one array.
-        unknown = (codes & 1).astype(bool)
-        source = order[codes[unknown] >> 1]
-        starts, sizes = np.zeros(len(codes), np.int64), np.ones(len(codes), np.int64)
-        starts[unknown], sizes[unknown] = (np.cumsum(counts) - counts)[source], counts[source]
-        ends = np.cumsum(sizes)
-        flat = np.empty(ends[-1] if len(ends) else 0, np.int32)
-        flat[(ends - sizes)[~unknown]] = codes[~unknown] >> 1
-        spread = np.flatnonzero(np.repeat(unknown, sizes))
-        flat[spread] = values[np.repeat((starts - ends + sizes)[unknown], sizes[unknown]) + spread]
-        bounds = np.r_[0, ends][np.r_[0, np.cumsum(texts.column("sizes")[0].values.to_numpy())]]
-        ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
-        return pa.table({"doc_id": texts.column("doc_ids")[0].values, "ids": ids})
+        offsets = np.cumsum(counts) - counts
+
+        def block(codes: np.ndarray, tops: np.ndarray, docs: pa.Array) -> pa.Table:
+            # A code is an id of its own or leads to a list; both as a stretch of one array.
+            unknown = (codes & 1).astype(bool)
+            source = order[codes[unknown] >> 1]
+            starts, sizes = np.zeros(len(codes), np.int64), np.ones(len(codes), np.int64)
+            starts[unknown], sizes[unknown] = offsets[source], counts[source]
+            ends = np.cumsum(sizes)
+            flat = np.empty(ends[-1] if len(ends) else 0, np.int32)
+            flat[(ends - sizes)[~unknown]] = codes[~unknown] >> 1
+            spread = np.flatnonzero(np.repeat(unknown, sizes))
+            flat[spread] = values[np.repeat((starts - ends + sizes)[unknown], sizes[unknown]) + spread]
+            bounds = np.r_[0, ends][np.r_[0, tops]]
+            return pa.table({"doc_id": docs, "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))})
+
+        docs, tops = texts.column("doc_ids")[0].values, np.cumsum(texts.column("sizes")[0].values.to_numpy(), dtype=np.int64)
+        done, start, base = [], 0, 0
+        while start < len(tops):
+            stop = max(start + 1, int(np.searchsorted(tops, base + BLOCK, side="right")))
+            done.append(block(codes[base : tops[stop - 1]], tops[start:stop] - base, docs[start:stop]))
+            start, base = stop, int(tops[stop - 1])
+        return pa.concat_tables(done)
 
     texts = cut.select("slice", "doc_ids", "sizes", "at", "order")
     return texts.groupBy("slice").cogroup(answers.groupBy("of")).applyInArrow(restore, f"doc_id {kind}, ids array<int>")
