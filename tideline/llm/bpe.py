@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import bucketed, power_of_two, saved, slices
 
-SLICE = 12 << 20
+SLICE = 8 << 20
 #: Pieces without an id, over all slices, that are made distinct in one group.
 PIECES_PER_SHARD = 100_000
 LONG = 256

@@ -25,7 +25,7 @@ from tideline.llm import (
     substring_dedup,
     token_files,
 )
-from tideline.llm.common import new_folder
+from tideline.llm.common import new_folder, slices
 
 #: The four domains that sources are dealt to by number, and the weights of the mix.
 DOMAINS = ("web", "reference", "forum", "news")
@@ -86,7 +86,7 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "back"):
             lists, back = batch.column("ids"), batch.column("back").to_pylist()
             offsets, values = lists.offsets.to_pylist(), lists.values.to_numpy().astype("<u4", copy=False)
             parts = [values[i:j].tobytes() for i, j in zip(offsets, offsets[1:])]
