@@ -88,7 +88,7 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "back"):
             lists, back = batch.column("ids"), batch.column("back").to_pylist()
-            offsets, values = lists.offsets.to_pylist(), lists.values.to_numpy().astype("<u4", copy=False)
+            offsets, values = lists.offsets.to_pylist(), lists.values.to_numpy().view("<u4")
             parts = [values[i:j].tobytes() for i, j in zip(offsets, offsets[1:])]
             sha = lambda x: pa.array([hashlib.sha256(b).hexdigest() for b in x])
             sizes = pa.array([len(p) // 4 for p in parts], pa.int64())
