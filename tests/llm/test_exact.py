@@ -182,6 +182,27 @@ def test_family_of_near_copies(spark):
     assert ngram_join.representatives(df).count() == len(set(expected))
 
 
+def test_links_across_components(spark):
+    """Families around a common passage, of sizes at the limits, where the groups of a shingle lie in many components."""
+    rng = random.Random(23)
+    passage, texts = [f"p{i}" for i in range(40)], []
+    for family in range(6):
+        base = [f"f{family}_{i}" for i in range(rng.choice([10, 60, 90]))]
+        for _ in range(25):
+            words = base + passage if rng.random() < 0.7 else passage + base
+            for _ in range(rng.choice([0, 1, 2, 3, 4])):
+                words[rng.randrange(len(words))] = f"e{rng.randrange(40)}"
+            texts.append(" ".join(words + [f"t{rng.randrange(9)}" for _ in range(rng.randrange(25))]))
+    texts += [" ".join(f"s{i}" for i in range(n)) for n in (5, 6, 8, 9, 14, 24, 28, 29, 34, 40, 41, 49, 104, 129, 130)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    expected = smallest_reachable([r[0] for r in rows], [shingles(t) for t in texts])
+    assert len(set(expected)) > 20
+    for frequent in (65_536, 3):
+        got = {r.doc_id: r.component_id for r in ngram_join.linked_components(df, frequent).collect()}
+        assert [got[i] for i in range(len(rows))] == expected
+
+
 def test_representatives_of_shared_ids(spark):
     """A near copy does not take along other texts under its id."""
     prose = lambda k: " ".join(f"{k}{i}" for i in range(60))

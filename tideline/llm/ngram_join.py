@@ -16,9 +16,13 @@ a Jaccard similarity of at least 0.8. All of it is exact:
    smallest group of every shingle (and each member with the first of its group), which is
    linear in the number of copies. Members that are linked by then need no
    further look. Second, for shingles whose groups still fall into several
-   components, every pair of members across components is verified. So no
-   link between two components is lost, and a family of near copies is never
-   expanded into all its pairs.
+   components, groups of different components are paired where this shingle can
+   be the first one they share: the smaller set then holds it within its first
+   ninth, the larger one is at most a quarter larger, and both have enough left
+   after it. Every pair that links is met at its first shared shingle, so no
+   link between two components is lost; sets that share only common passages, which
+   come last, never meet there, and a family of near copies is never expanded
+   into all its pairs.
 
 Null text counts as empty; empty documents link with nothing. Repeated rows are
 members of one node. Texts of any length are used whole.
@@ -200,6 +204,40 @@ def _possible(n: Column, at: Column, m: Column, to: Column) -> Column:
     return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & ((100 + PERCENT) * overlap >= PERCENT * (n + m))
 
 
+def _first_possible(n: Column, at: Column, m: Column, to: Column) -> Column:
+    """As ``_possible``, where the shingle is the first one in the order that the sets share.
+
+    Nothing before it is shared then, so the overlap is at most what either set has left.
+    """
+    return (100 + PERCENT) * F.least(n - at, m - to) >= PERCENT * (n + m)
+
+
+def _band(n: Column) -> Column:
+    """Sizes by powers of the largest ratio that two linked sets can have; never falls as n grows."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int")
+
+
+def across_components(posts: DataFrame) -> DataFrame:
+    """``gid, comp, g, c``: groups of different components that can link at their first shared shingle.
+
+    ``posts`` holds ``tok, gid, n, at, comp`` and the shingle's largest component, ``main``.
+    The smaller set of a pair looks for larger ones by shingle and band of sizes, and takes
+    part only where it has enough left to link with a set of its own size. Two groups of ``main`` are not paired.
+    """
+    small = posts.filter((100 + PERCENT) * (F.col("n") - F.col("at")) >= 2 * PERCENT * F.col("n"))
+    reach = F.floor(F.col("n") * 100 / PERCENT)
+    small = small.withColumn("band", F.explode(F.sequence(_band(F.col("n")), _band(reach))))
+    large = posts.select(
+        "tok", F.col("gid").alias("g"), F.col("comp").alias("c"), F.col("n").alias("m"), F.col("at").alias("to"),
+        (F.col("comp") == F.col("main")).alias("in_main"), _band(F.col("n")).alias("band"),
+    )
+    possible = _first_possible(F.col("n"), F.col("at"), F.col("m"), F.col("to"))
+    met = (F.col("comp") != F.col("c")) & (F.col("n") <= F.col("m")) & possible
+    few = small.filter("comp != main").join(large, ["tok", "band"]).filter(met)
+    rest = small.filter("comp = main").join(large.filter("not in_main"), ["tok", "band"]).filter(met)
+    return few.unionByName(rest).select("gid", "comp", "g", "c").distinct()
+
+
 def shared_prefixes(digest: DataFrame) -> DataFrame:
     """``tok, gid, n, at, cgid, cn, cat``: groups at each prefix shingle of two groups or more, and the smallest there.
 
@@ -341,16 +379,7 @@ def _linked(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
         F.max_by("comp", F.struct("size", "comp")).alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
     )
     open_posts = saved(posts.join(most.filter("lo != hi").select("tok", "main"), "tok"))
-    few = open_posts.filter("comp != main").select(
-        "tok", F.col("gid").alias("g"), F.col("comp").alias("c"), F.col("n").alias("m"), F.col("at").alias("to")
-    )
-    across = (
-        open_posts.join(few, "tok")
-        .filter((F.col("comp") != F.col("c")) & ((F.col("comp") == F.col("main")) | (F.col("comp") < F.col("c"))))
-        .filter(_possible(F.col("n"), F.col("at"), F.col("m"), F.col("to")))
-        .select("gid", "comp", "g", "c")
-        .distinct()
-    )
+    across = across_components(open_posts)
     across = plausible(across, groups, "gid", "g")
     within = (
         sides.join(mixed_groups.select("gid"), "gid", "left_semi").join(
