@@ -13,7 +13,7 @@ a Jaccard similarity of at least 0.8. All of it is exact:
 3. *Filter.* Groups that share a prefix shingle are candidates if their sizes,
    the positions, and then the number of prefix shingles they share allow it.
 4. *Expand and verify* in two rounds. First each group is compared with the
-   smallest group of every shingle (and each member with the first of its group), which is
+   center of every shingle (and each member with the first of its group), which is
    linear in the number of copies. Members that are linked by then need no
    further look. Second, for shingles whose groups still fall into several
    components, groups of different components are paired where this shingle can
@@ -239,22 +239,28 @@ def across_components(posts: DataFrame) -> DataFrame:
 
 
 def shared_prefixes(digest: DataFrame) -> DataFrame:
-    """``tok, gid, n, at, cgid, cn, cat``: groups at each prefix shingle of two groups or more, and the smallest there.
+    """``tok, gid, n, at, cgid, cn, cat``: groups at each prefix shingle of two groups or more, and the center there.
 
+    The center is the group that holds the shingle at the first place: of a family of near
+    copies the one with the fewest shingles of its own, to which most others link.
     Shingles outside the frequent list are rare, so a window over each is small.
     The frequent ones, which can hold any share of the rows, are aggregated
     before the shuffle and joined back.
     """
     posts = digest.filter(F.size("prefix") > 0).select("gid", "n", F.posexplode("prefix").alias("at", "tok"))
     posts = posts.select("tok", "gid", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("bigint")).alias("np"))
-    center, most = F.min(F.struct("gid", "np")), F.max("gid")
+    low = F.lit((1 << 32) - 1)
+    found = {
+        "c": F.min(F.struct(F.col("np").bitwiseAND(low).alias("at"), "gid", "np")),
+        "lo": F.min("gid"),
+        "hi": F.max("gid"),
+    }
     each = Window.partitionBy("tok")
-    rare = posts.filter("tok >= 0").select("*", center.over(each).alias("c"), most.over(each).alias("m"))
+    rare = posts.filter("tok >= 0").select("*", *(x.over(each).alias(name) for name, x in found.items()))
     often = posts.filter("tok < 0")
-    least = often.groupBy("tok").agg(center.alias("c"), most.alias("m")).filter("c.gid != m")
-    low = F.lit((1 << 32) - 1)
+    least = often.groupBy("tok").agg(*(x.alias(name) for name, x in found.items())).filter("lo != hi")
     return (
-        rare.filter("c.gid != m")
+        rare.filter("lo != hi")
         .unionByName(often.join(least, "tok"))
         .select(
             "tok",
@@ -351,7 +357,7 @@ def _linked(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
         .agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     )
 
-    # Round 1: groups against the smallest group of each shingle, members against the head of their group.
+    # Round 1: groups against the center of each shingle, members against the head of their group.
     stars = shared.filter("gid != cgid").filter(_possible(F.col("n"), F.col("at"), F.col("cn"), F.col("cat")))
     stars = plausible(stars.select("gid", "cgid").distinct(), groups, "gid", "cgid")
     stars = stars.join(heads, "gid").join(heads.select(F.col("gid").alias("cgid"), F.col("head").alias("chead")), "cgid")
