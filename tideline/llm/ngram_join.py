@@ -25,7 +25,8 @@ a Jaccard similarity of at least 0.8. All of it is exact:
    into all its pairs.
 
 Null text counts as empty; empty documents link with nothing. Repeated rows are
-members of one node. Texts of any length are used whole.
+members of one node. Texts of any length are used whole. Other columns of the
+input are not read and may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
