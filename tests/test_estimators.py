@@ -52,6 +52,37 @@ def test_pair_sums_equal_a_self_join(returns_df, n_blocks):
             assert getattr(row, moment_name(p, q)) == pytest.approx((x**p * y**q).sum(), rel=1e-9, abs=1e-12)
 
 
+def test_sums_of_a_pair_are_not_shuffled(returns_df):
+    """A block pair is summed over all its days by one task, also if the blocks are joined without a broadcast."""
+    spark, key = returns_df.sparkSession, "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        sums = pair_moments(returns_df, [(1, 1)], n_blocks=3)
+        plan = sums._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert "MapInArrow" in plan[0] and not any("Aggregate [i#" in line for line in plan)
+        assert sums.count() == 15
+    finally:
+        spark.conf.set(key, before)
+
+
+@pytest.mark.parametrize("n_blocks", [2, 5])
+def test_pair_sums_by_keys(spark, n_blocks):
+    """Null keys are a group; blocks of different keys do not meet."""
+    rng = np.random.default_rng(1)
+    rows = [(k, f"a{a}", n, float(rng.normal())) for k in (None, 1, 2) for a in range(9) for n in range(700) if rng.random() < 0.4]
+    sums = pair_moments(spark.createDataFrame(rows, "k int, asset string, n int, r double"), [(0, 0), (1, 1)], keys=("k",), n_blocks=n_blocks)
+    got = {(r.k, *sorted((r.i, r.j))): (r.x0y0, r.x1y1) for r in sums.collect()}
+    assert len(got) == 3 * 45
+    days = {}
+    for k, a, n, r in rows:
+        days.setdefault((k, a), {})[n] = r
+    for (k, i, j), (n, xy) in got.items():
+        x, y = days[k, i], days[k, j]
+        assert n == len(x.keys() & y.keys())
+        assert xy == pytest.approx(sum(x[d] * y[d] for d in x.keys() & y.keys()), rel=1e-9, abs=1e-9)
+
+
 @pytest.mark.parametrize("n_blocks", [1, 4])
 def test_sample_covariance(returns_df, n_blocks):
     close(matrix(estimators.sample_cov(returns_df, n_blocks=n_blocks)), to_wide(returns_df, "r").cov() * 252)

@@ -1,22 +1,25 @@
 """Pairwise moment sums of many series: the work behind every covariance.
 
 Joining a panel with itself on the date would emit one row per pair and day.
-Instead each series is packed into short time chunks, series are hashed into
-blocks, and one task per (chunk, block pair) multiplies two small matrices.
-What leaves a task is one row per pair and chunk; the chunks are then summed.
-A task holds at most two blocks of one chunk, whatever the size of the panel.
+Instead series are hashed into blocks, each packed into one row with a small
+matrix, and every two blocks meet once, in a join without a key: what is moved
+is the packed panel, once. A block pair is multiplied by one task over all its
+days, ``CHUNK_DAYS`` at a time, so its sums are final: no row of a pair is
+shuffled, and nothing grows with the square of the panel but the result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK_ASSETS = 256
 CHUNK_DAYS = 366
+#: Blocks of the right side that a task meets, about.
+RIGHT_BLOCKS = 4
 
 
 def moment_name(p: int, q: int) -> str:
@@ -24,41 +27,82 @@ def moment_name(p: int, q: int) -> str:
     return f"x{p}y{q}"
 
 
-def _block_products(powers: Sequence[tuple[int, int]], weighted: bool, group_columns: Sequence[str]) -> Callable:
+def _packing(group_columns: Sequence[str]) -> Callable:
+    """One row per block: its assets, its days and the values as a matrix; self-contained like ``_block_products``."""
+    group_columns = list(group_columns)
+
+    def pack(key, rows):
+        import numpy as np
+        import pyarrow as pa
+
+        def flat(name, kind):
+            lists = rows.column(name).combine_chunks()
+            return lists.flatten().to_numpy(zero_copy_only=False).astype(kind)
+
+        assets = rows.column("asset").to_pylist()
+        names = sorted(set(assets), key=lambda x: (x is None, x))
+        place = {name: row for row, name in enumerate(names)}
+        sizes = np.array([len(x) for x in rows.column("days").combine_chunks()])
+        days, at = np.unique(flat("days", np.int64), return_inverse=True)
+        row = np.repeat([place[x] for x in assets], sizes)
+        values, known = np.zeros((len(names), len(days))), np.zeros((len(names), len(days)), bool)
+        values[row, at], known[row, at] = flat("xs", float), True
+        weight = np.ones(len(days))
+        if "ws" in rows.column_names:
+            weight[at] = flat("ws", float)
+        blobs = [x.tobytes() for x in (days, weight, values, np.packbits(known))]
+        out = {name: pa.array([k.as_py()], k.type) for name, k in zip([*group_columns, "blk"], key)}
+        out["names"] = pa.array([names], pa.list_(pa.string()))
+        return pa.table(out | {name: pa.array([b], pa.binary()) for name, b in zip(("days", "weight", "xs", "known"), blobs)})
+
+    return pack
+
+
+def _block_products(powers: Sequence[tuple[int, int]], group_columns: Sequence[str], chunk: int = CHUNK_DAYS) -> Callable:
     """Matrix products of two blocks; self-contained so that executors need no import of this package."""
     powers, group_columns = list(powers), list(group_columns)
 
-    def multiply(key, pdf):
+    def multiply(batches):
         import numpy as np
-        import pandas as pd
-
-        days = np.unique(np.concatenate(pdf["days"].to_numpy()))
-        values = np.zeros((len(pdf), len(days)))
-        known = np.zeros_like(values)
-        weight = np.ones(len(days))
-        for row, record in enumerate(pdf.itertuples(index=False)):
-            at = np.searchsorted(days, record.days)
-            values[row, at] = record.xs
-            known[row, at] = 1.0
-            if weighted:
-                weight[at] = record.ws
-        names = pdf["asset"].to_numpy()
-        left_block, right_block = key[-2], key[-1]
-        left = np.flatnonzero(pdf["blk"].to_numpy() == left_block)
-        right = np.flatnonzero(pdf["blk"].to_numpy() == right_block)
-        out = {"i": np.repeat(names[left], len(right)), "j": np.tile(names[right], len(left))}
-        for p, q in powers:
-            a = (values[left] ** p) * known[left] * weight
-            b = (values[right] ** q) * known[right]
-            out[f"x{p}y{q}"] = (a @ b.T).ravel()
-        frame = pd.DataFrame(out)
-        # One triangle inside a block; pairs that share no day carry nothing.
-        shared = (known[left] @ known[right].T).ravel() > 0
-        keep = shared & (frame["i"] <= frame["j"]) if left_block == right_block else shared
-        frame = frame[keep]
-        for position, name in enumerate(group_columns):
-            frame.insert(position, name, [key[position]] * len(frame))
-        return frame[group_columns + list(out)]
+        import pyarrow as pa
+
+        def block(row, side):
+            days = np.frombuffer(row[f"days{side}"], np.int64)
+            shape = len(row[f"names{side}"]), len(days)
+            known = np.unpackbits(np.frombuffer(row[f"known{side}"], np.uint8), count=shape[0] * shape[1])
+            weight = np.frombuffer(row[f"weight{side}"])
+            return days, weight, np.frombuffer(row[f"xs{side}"]).reshape(shape), known.reshape(shape)
+
+        def products(row):
+            days, weight, left, left_known = block(row, "")
+            other_days, _, right, right_known = block(row, "_r")
+            _, at, other_at = np.intersect1d(days, other_days, assume_unique=True, return_indices=True)
+            shape = len(left), len(right)
+            shared, sums = np.zeros(shape), {x: np.zeros(shape) for x in powers}
+            for start in range(0, len(at), chunk):
+                i, j = at[start : start + chunk], other_at[start : start + chunk]
+                x, y = left[:, i], right[:, j]
+                has_x, has_y = left_known[:, i].astype(float), right_known[:, j].astype(float)
+                shared += has_x @ has_y.T
+                a = {p: (x**p) * has_x * weight[i] for p in {p for p, _ in powers}}
+                b = {q: (y**q) * has_y for q in {q for _, q in powers}}
+                for p, q in powers:
+                    sums[p, q] += a[p] @ b[q].T
+            return shared, sums
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {name: column[k].as_py() for name, column in zip(batch.schema.names, batch.columns)}
+                shared, sums = products(row)
+                # One triangle inside a block; pairs that share no day carry nothing.
+                keep = shared > 0
+                if row["blk"] == row["blk_r"]:
+                    keep = np.triu(keep)
+                i, j = np.nonzero(keep)
+                out = [pa.array([row[c]] * len(i), batch.schema.field(c).type) for c in group_columns]
+                out += [pa.array(row[names], pa.string()).take(pa.array(at)) for names, at in (("names", i), ("names_r", j))]
+                out += [pa.array(sums[x][keep]) for x in powers]
+                yield pa.RecordBatch.from_arrays(out, [*group_columns, "i", "j", *(f"x{p}y{q}" for p, q in powers)])
 
     return multiply
 
@@ -76,15 +120,12 @@ def pair_moments(
     ``series`` has ``asset, n, <value>`` and the grouping ``keys``; the optional
     weight must depend on the day only. Returns ``keys, i, j, x<p>y<q> ...`` with
     each unordered pair once. ``n_blocks`` defaults to one block per 256 assets,
-    which costs a count of the assets; give it where that count is known.
+    which costs a job that counts the assets; give it where that count is known.
     """
     powers = list(dict.fromkeys(powers))
     known = series.where(F.col(value).isNotNull())
     if n_blocks is None:
-        n_assets = series.agg(F.count_distinct("asset").alias("c")).select("c").scalar()
-        blocks: Column = F.greatest(F.lit(1), F.ceil(n_assets / BLOCK_ASSETS).cast("int"))
-    else:
-        blocks = F.lit(n_blocks)
+        n_blocks = max(1, -(-series.agg(F.count_distinct("asset")).first()[0] // BLOCK_ASSETS))
     lists = [F.collect_list("n").alias("days"), F.collect_list(F.col(value).cast("double")).alias("xs")]
     if weight:
         known = known.where(F.col(weight).isNotNull())
@@ -93,23 +134,29 @@ def pair_moments(
         known.withColumn("chunk", F.floor(F.col("n") / CHUNK_DAYS).cast("int"))
         .groupBy(*keys, "asset", "chunk")
         .agg(*lists)
-        .withColumn("n_blocks", blocks)
-        .withColumn("blk", F.pmod(F.xxhash64("asset"), F.col("n_blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        .withColumn("bi", F.least("blk", "other"))
-        .withColumn("bj", F.greatest("blk", "other"))
-        .drop("other", "n_blocks")
+        .withColumn("blk", F.pmod(F.xxhash64("asset"), F.lit(n_blocks)).cast("int"))
+        .drop("chunk")
     )
+    fields = [packets.schema[k] for k in keys]
+    blobs = [T.StructField(name, T.BinaryType()) for name in ("days", "weight", "xs", "known")]
+    block = [T.StructField("blk", T.IntegerType()), T.StructField("names", T.ArrayType(T.StringType())), *blobs]
+    blocks = packets.groupBy(*keys, "blk").applyInArrow(_packing(keys), T.StructType(fields + block))
     names = [moment_name(p, q) for p, q in powers]
     schema = T.StructType(
-        [packets.schema[k] for k in keys]
+        fields
         + [T.StructField("i", T.StringType()), T.StructField("j", T.StringType())]
         + [T.StructField(name, T.DoubleType()) for name in names]
     )
-    products = packets.groupBy(*keys, "chunk", "bi", "bj").applyInPandas(
-        _block_products(powers, weight is not None, list(keys)), schema
-    )
-    return products.groupBy(*keys, "i", "j").agg(*(F.sum(name).alias(name) for name in names))
+    # The join reads a side again for each part of the other, so both are shuffled once after the packing.
+    left = blocks.repartition(n_blocks)
+    right = blocks.repartition(-(-n_blocks // RIGHT_BLOCKS)).select(*(F.col(c).alias(f"{c}_r") for c in blocks.columns))
+    # Round a circle every block meets the half that follows it, so that all have as many partners.
+    ahead = F.pmod(F.col("blk_r") - F.col("blk"), F.lit(n_blocks))
+    met = (2 * ahead < n_blocks) | ((2 * ahead == n_blocks) & (F.col("blk") < F.col("blk_r")))
+    for k in keys:
+        # Inside a condition the keys do not deal out the rows, which would put all blocks of a key in one task.
+        met = F.when(met, F.col(k).eqNullSafe(F.col(f"{k}_r"))).otherwise(False)
+    return left.join(right, met).mapInArrow(_block_products(powers, keys), schema)
 
 
 def both_triangles(moments: DataFrame, powers: Sequence[tuple[int, int]], keys: Sequence[str] = ()) -> DataFrame:
