@@ -339,6 +339,35 @@ def test_bpe_digests(docs, rows, ranks):
     assert got == Counter((r[0], *digest(r[1] or "")) for r in rows)
 
 
+def test_pieces_travel_once(docs, ranks):
+    """After the pieces are made distinct, only numbers and ids move: neither pieces nor texts go through Python again."""
+    ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    plan = ids._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "\nMapInArrow" not in plan and " MapInArrow" not in plan
+    for r in ids.collect():
+        assert np.frombuffer(r.data, "<u4").tolist() == r.ids
+    digests = registry.bpe_digests(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert " MapInArrow" not in digests and not digests.startswith("MapInArrow")
+
+
+def test_decoding_of_no_piece(spark, ranks):
+    """An id above the last one, also the one that fills up inside, raises; null stays null; no id is no byte."""
+    column = lambda ids: bpe.decoded(ids, ranks).alias("b")
+    frame = lambda rows: spark.createDataFrame(rows, "ids array<int>")
+    assert [r.b for r in frame([(None,), ([],)]).select(column(F.col("ids"))).collect()] == [None, b""]
+    for ids in ([bpe.edge(ranks)], [-1], [5, None]):
+        with pytest.raises(Exception, match="id without a piece"):
+            frame([(ids,)]).select(column(F.col("ids"))).collect()
+
+
+def test_pieces_without_a_merge(spark, ranks):
+    """One part, no part and no piece; further columns come along."""
+    rows = [(0, 0, b"a", 7), (0, 1, b"", 8), (0, 2, None, 9), (0, 3, b"\x00\xff\x00", 1)]
+    got = bpe.merged_pieces(spark.createDataFrame(rows, "shard int, i int, piece binary, more bigint"), ranks).collect()
+    official = [[ranks[b"a"]], [], [], bpe.merged(b"\x00\xff\x00", ranks)]
+    assert {(r.i, r.more): r.ids for r in got} == {(r[1], r[3]): x for r, x in zip(rows, official)}
+
+
 def test_byte_parts(ranks):
     edge = bpe.edge(ranks)
     unknown = "zqzqx".encode()

@@ -7,16 +7,17 @@ Encoding, in four steps:
    pieces that have no id of their own (the others are their id already).
 2. *Distinct.* These pieces are made distinct over the whole table, so that
    each is merged once, whatever the number of its copies. They travel as
-   compressed blocks, one for each slice and range of hashes.
+   compressed blocks, one for each slice and range of hashes, once: of a block
+   the numbers of its pieces stay beside the distinct ones.
 3. *Fold.* Spark folds the ranked merges over the array of byte ids of each
-   distinct piece, one piece a row: the state holds the parts and the rank of
-   every neighbouring pair, each step joins the leftmost pair of the lowest
-   rank. The rank map is one literal: rows of right neighbours laid over one
+   distinct piece, one piece a row: the state holds the parts and, between them,
+   the rank of every neighbouring pair, each step joins the leftmost pair of the
+   lowest rank. The rank map is one constant: rows of right neighbours laid over one
    another in an array, so that a look-up is one read.
 4. *Restore.* The ids go back to the blocks, the blocks to their slices, and
    each slice puts them in text order. A hot piece counts once a slice.
 
-Decoding looks every id up in a literal array and concatenates the binary
+Decoding looks every id up in a constant array and concatenates the binary
 pieces, ``CHUNK`` at a time in ``LEVELS`` levels, so that no long result is copied per id.
 
 The fold looks at all neighbours of a part in every step, so its cost grows with
@@ -33,7 +34,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,13 +55,13 @@ LONG = 256
 #: Bits of an id in a cell of the rank map, and a cell that no row owns.
 BITS = 20
 EMPTY = 1 << 2 * BITS + 1
-#: Bits of a place in a piece of ``LONG`` bytes.
-PLACE_BITS = 12
+#: Added to the parts in the fold's state, above every rank and what stands for none.
+PART = 1 << 2 * BITS + 2
 #: Pieces of text that are put in order at a time (a longer text comes alone).
 BLOCK = 1 << 18
 #: Binary pieces that are concatenated at a time, and how often before the rest is.
-CHUNK = 64
-LEVELS = 3
+CHUNK = 16
+LEVELS = 5
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -153,32 +154,26 @@ def _folded(parts: Column, starts: Column, cells: Column) -> Column:
         return F.get(cells, F.get(starts, a) + b).bitwiseXOR(F.shiftleft(a, BITS))
 
     def step(state: Column) -> Column:
-        p, r = state["p"], state["r"]
-
         def joined(least: Column) -> Column:
-            low = F.shiftright(least, PLACE_BITS)
-
             def rebuilt(k: Column) -> Column:
-                """k: 0-based place of the pair that is joined; the edges are never part of one."""
-                new = F.array(rank(F.get(p, k - 1), low), rank(low, F.get(p, k + 2)))
-                return F.struct(
-                    F.concat(F.slice(p, F.lit(1), k), F.array(low), F.slice(p, k + 3, rest)).alias("p"),
-                    F.concat(F.slice(r, F.lit(1), k - 1), new, F.slice(r, k + 3, rest)).alias("r"),
-                )
+                """k: 1-based place of the rank of the pair that is joined; the edges are never part of one."""
+                before, after = F.get(state, k - 4) - PART, F.get(state, k + 2) - PART
+                new = F.array(rank(before, least), least + PART, rank(least, after))
+                return F.concat(F.slice(state, F.lit(1), k - 3), new, F.slice(state, k + 3, rest))
 
-            place = least.bitwiseAND((1 << PLACE_BITS) - 1).cast("int")
-            return F.when(least < 1 << BITS + PLACE_BITS, _let(place, rebuilt)).otherwise(state)
+            return F.when(least < 1 << BITS, _let(F.array_position(state, least).cast("int"), rebuilt)).otherwise(state)
 
-        # Rank and place in one number, so that one minimum gives both.
-        placed = F.transform(r, lambda x, i: F.shiftleft(x, PLACE_BITS) + i)
-        return _let(F.array_min(placed), joined)
+        return _let(F.array_min(state), joined)
 
-    pairs = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x, i: rank(x, F.get(parts, i + 1)))
+    # Part, rank, part, rank and so on; nothing follows the last edge.
+    ranked = lambda x, i: F.array(x + PART, F.coalesce(rank(x, F.get(parts, i + 1)), F.lit(PART)))
     return F.aggregate(
         F.slice(parts, F.lit(4), rest),
-        F.struct(parts.alias("p"), pairs.alias("r")),
+        F.flatten(F.transform(parts, ranked)),
         lambda state, _: step(state),
-        lambda state: F.slice(state["p"], F.lit(2), F.size(state["p"]) - 2),
+        lambda state: F.transform(
+            F.filter(F.slice(state, F.lit(3), F.size(state) - 4), lambda _, i: i % 2 == 0), lambda x: x - PART
+        ),
     )
 
 
@@ -260,8 +255,11 @@ class _Places(dict):
 
 def _blob(items: list[bytes]) -> bytes:
     """Byte strings as one compressed value: their number, their sizes, and the bytes."""
-    sizes = np.fromiter(map(len, items), np.dtype("<u4"), len(items))
-    return zstandard.compress(len(items).to_bytes(4, "little") + sizes.tobytes() + b"".join(items), 3)
+    return _joined_blob(np.fromiter(map(len, items), np.int64, len(items)), b"".join(items))
+
+
+def _joined_blob(sizes: np.ndarray, joined: bytes) -> bytes:
+    return zstandard.compress(len(sizes).to_bytes(4, "little") + sizes.astype("<u4").tobytes() + joined, 3)
 
 
 def _opened(blob: bytes) -> tuple[np.ndarray, bytes]:
@@ -366,27 +364,26 @@ def split_pieces(cut: DataFrame, shards: int) -> DataFrame:
 
 
 def merged_pieces(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """``shard, i, ids`` for every row ``shard, i, piece``."""
+    """``shard, i, ids`` for every row ``shard, i, piece``; further columns follow. A null piece has no ids."""
+    more = [f for f in pieces.schema if f.name not in ("shard", "i", "piece")]
+    names = [f.name for f in more]
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column("piece").to_pylist()
+            own = [p or b"" for p in batch.column("piece").to_pylist()]
             parts = byte_parts(own, ranks).cast(pa.list_(pa.int64()))
             by_heap = pa.array([merged(p, ranks) if len(p) > LONG else None for p in own], pa.list_(pa.int64()))
-            columns = [batch.column("shard"), batch.column("i"), parts, by_heap]
-            yield pa.RecordBatch.from_arrays(columns, ["shard", "i", "parts", "long"])
+            columns = [batch.column("shard"), batch.column("i"), parts, by_heap, *(batch.column(c) for c in names)]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "i", "parts", "long", *names])
 
-    rows = pieces.mapInArrow(spelled, "shard int, i int, parts array<bigint>, long array<bigint>")
+    kinds = ["shard int, i int, parts array<bigint>, long array<bigint>", *(f"{f.name} {f.dataType.simpleString()}" for f in more)]
+    rows = pieces.mapInArrow(spelled, ", ".join(kinds))
     ids = F.when(F.col("parts").isNull(), F.col("long")).otherwise(encoded_piece(F.col("parts"), ranks))
-    return rows.select("shard", "i", ids.cast("array<int>").alias("ids"))
-
-
-def _distinct(blobs: pa.ChunkedArray) -> list[bytes]:
-    return sorted({p for blob in blobs.to_pylist() for p in _items(blob)})
+    return rows.select("shard", "i", ids.cast("array<int>").alias("ids"), *names)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """``doc_id, ids`` of every row of ``docs``."""
+    """``doc_id, ids, data`` of every row of ``docs``: the ids, and the same as little-endian unsigned 32-bit numbers."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     # The ids come to the slices, which are large and stay where they are written.
     cut = bucketed(cut_pieces(docs, ranks, pattern), "slice", docs.rdd.getNumPartitions())
@@ -396,21 +393,43 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     split = split_pieces(cut, power_of_two(total / PIECES_PER_SHARD)).repartition(tasks, "shard")
 
     def distinct(key: tuple, rows: pa.Table) -> pa.Table:
-        found = _distinct(rows.column("pieces"))
-        shard, place = np.full(len(found), key[0].as_py(), np.int32), np.arange(len(found), dtype=np.int32)
-        return pa.table({"shard": shard, "i": place, "piece": pa.array(found, pa.binary())})
-
-    pieces = split.groupBy("shard").applyInArrow(distinct, "shard int, i int, piece binary")
-    known = saved(merged_pieces(pieces, ranks)).withColumnRenamed("shard", "of")
-
-    def answer(rows: pa.Table, found: pa.Table) -> pa.Table:
-        lists = _one_array(found.sort_by("i").column("ids"))
-        joined, ends = lists.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes(), (4 * lists.offsets.to_numpy()).tolist()
-        ids = dict(zip(_distinct(rows.column("pieces")), (joined[i:j] for i, j in zip(ends, ends[1:]))))
-        blobs = [_blob([ids[p] for p in _items(blob)]) for blob in rows.column("pieces").to_pylist()]
-        return pa.table({"of": rows.column("slice"), "shard": rows.column("shard"), "ids": pa.array(blobs, pa.binary())})
+        """A row for each distinct piece, and one for each block with the numbers of its pieces, as steps."""
+        blocks = [_items(b) for b in rows.column("pieces").to_pylist()]
+        found = list({p for block in blocks for p in block})
+        # Blocks are in order of hash, so most steps are small.
+        found = [found[k] for k in np.argsort(_hashes(found)).tolist()]
+        number = dict(zip(found, range(len(found))))
+        steps = [np.diff(np.fromiter(map(number.__getitem__, b), np.int64, len(b)), prepend=0).astype(np.uint32) for b in blocks]
+        own, members = len(found), len(blocks)
+        return pa.table(
+            {
+                "shard": np.full(own + members, key[0].as_py(), np.int32),
+                "i": pa.array([*range(own), *[None] * members], pa.int32()),
+                "piece": pa.array([*found, *[None] * members], pa.binary()),
+                "of": pa.array([*[None] * own, *rows.column("slice").to_pylist()], pa.int64()),
+                "steps": pa.array([*[None] * own, *map(_numbers, steps)], pa.binary()),
+            }
+        )
+
+    pieces = split.groupBy("shard").applyInArrow(distinct, "shard int, i int, piece binary, of bigint, steps binary")
+    # As many buckets as tasks, dealt by the same hash: each task writes one, and the answers need no shuffle.
+    known = bucketed(merged_pieces(pieces, ranks), "shard", tasks, "zstd")
+
+    def answer(key: tuple, rows: pa.Table) -> pa.Table:
+        blocks = rows.filter(pc.is_valid(rows.column("of")))
+        lists = _one_array(rows.filter(pc.is_null(rows.column("of"))).sort_by("i").column("ids"))
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        values, counts = lists.values.to_numpy(zero_copy_only=False).astype("<i4"), np.diff(offsets)
+        blobs = []
+        for steps in blocks.column("steps").to_pylist():
+            own = np.cumsum(_from_numbers(steps), dtype=np.uint32)
+            sizes = counts[own]
+            ends = np.cumsum(sizes)
+            ids = values[np.repeat(offsets[own] - ends + sizes, sizes) + np.arange(sizes.sum())]
+            blobs.append(_joined_blob(4 * sizes, ids.tobytes()))
+        return pa.table({"of": blocks.column("of"), "shard": blocks.column("shard"), "ids": pa.array(blobs, pa.binary())})
 
-    answers = split.groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(answer, "of bigint, shard int, ids binary")
+    answers = known.groupBy("shard").applyInArrow(answer, "of bigint, shard int, ids binary")
 
     def restore(texts: pa.Table, found: pa.Table) -> pa.Table:
         codes = _from_numbers(texts.column("at")[0].as_py())
@@ -433,7 +452,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
             spread = np.flatnonzero(np.repeat(unknown, sizes))
             flat[spread] = values[np.repeat((starts - ends + sizes)[unknown], sizes[unknown]) + spread]
             bounds = np.r_[0, ends][np.r_[0, tops]]
-            return pa.table({"doc_id": docs, "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))})
+            ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
+            # The same memory, read as bytes.
+            ends = pa.array(4 * bounds, pa.int64()).cast(pa.int32()).buffers()[1]
+            data = pa.Array.from_buffers(pa.binary(), len(docs), [None, ends, pa.py_buffer(flat.astype("<i4", copy=False))])
+            return pa.table({"doc_id": docs, "ids": ids, "data": data})
 
         docs, tops = texts.column("doc_ids")[0].values, np.cumsum(texts.column("sizes")[0].values.to_numpy(), dtype=np.int64)
         done, start, base = [], 0, 0
@@ -444,37 +467,38 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
         return pa.concat_tables(done)
 
     texts = cut.select("slice", "doc_ids", "sizes", "at", "order")
-    return texts.groupBy("slice").cogroup(answers.groupBy("of")).applyInArrow(restore, f"doc_id {kind}, ids array<int>")
+    return texts.groupBy("slice").cogroup(answers.groupBy("of")).applyInArrow(restore, f"doc_id {kind}, ids array<int>, data binary")
 
 
 def _one_array(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
-def _chunks(parts: Column) -> Column:
-    """Every ``CHUNK`` binary parts as one. Parts are read by place; a slice would go over the whole array."""
-    last = F.size(parts) - 1
-
-    def chunk(start: Column) -> Column:
-        places = F.sequence(start, F.least(start + (CHUNK - 1), last))
-        return F.aggregate(places, F.lit(b""), lambda done, i: F.concat(done, F.get(parts, i)))
-
-    whole = F.transform(F.sequence(F.lit(0), last, F.lit(CHUNK)), chunk)
-    return F.when(last >= CHUNK, whole).otherwise(parts)
+def _chunks(parts: Column, size: Column, none: Column, piece: Callable[[Column], Column] = lambda x: x) -> Column:
+    """Every ``CHUNK`` of the ``size`` parts as one, by way of ``piece``; ``none`` fills up the last one."""
+    return _let(
+        F.concat(parts, F.array_repeat(none, CHUNK)),
+        lambda p: F.transform(
+            F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(CHUNK)),
+            lambda start: F.concat(*(piece(F.get(p, start + k)) for k in range(CHUNK))),
+        ),
+    )
 
 
 def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
     """The bytes of an array of ids."""
-    names = [""] * (max(ranks.values(), default=-1) + 1)
+    # An id without a piece gives null, and with it the whole.
+    names: list[str | None] = [None] * edge(ranks)
     for piece, rank in ranks.items():
         names[rank] = base64.b64encode(piece).decode()
-    pieces = _literal(names, "array<binary>")
-    none = F.raise_error(F.lit("id without a piece")).cast("binary")
+    pieces, nothing = F.concat(_literal(names, "array<binary>"), F.array(F.lit(b""))), F.lit(edge(ranks))
 
-    def known(i: Column) -> Column:
-        return _let(F.get(pieces, i), lambda p: F.when(F.octet_length(p) > 0, p).otherwise(none))
+    def joined(pieces: Column) -> Column:
+        some = _chunks(ids, F.size(ids), nothing, lambda i: F.get(pieces, i))
+        for _ in range(LEVELS - 1):
+            some = _let(some, lambda p: _chunks(p, F.size(p), F.lit(b"")))
+        return F.aggregate(some, F.lit(b""), lambda done, part: F.concat(done, part))
 
-    parts = F.transform(ids, known)
-    for _ in range(LEVELS):
-        parts = _let(parts, _chunks)
-    return F.aggregate(parts, F.lit(b""), lambda done, part: F.concat(done, part))
+    none = F.raise_error(F.lit("id without a piece")).cast("binary")
+    # The empty piece only fills up; as an id of a text its number has no piece.
+    return F.when(F.array_contains(ids, nothing), none).when(ids.isNotNull(), F.coalesce(_let(pieces, joined), none))

@@ -52,11 +52,11 @@ def saved(df: DataFrame, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+def bucketed(df: DataFrame, key: str, buckets: int, codec: str = "snappy") -> DataFrame:
     """As ``saved``, but with the rows of a key in one bucket, so that a later grouping by it moves none of them."""
     spark, name = df.sparkSession, f"saved_{uuid.uuid4().hex}"
     # 100,000 is the most buckets Spark allows.
-    writer = df.write.option("compression", "snappy").option("path", new_folder(spark))
+    writer = df.write.option("compression", codec).option("path", new_folder(spark))
     writer.bucketBy(min(max(1, buckets), 100_000), key).saveAsTable(name, format="parquet")
     return spark.table(name)
 

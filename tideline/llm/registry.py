@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +23,7 @@ from tideline.llm import (
     substring_dedup,
     token_files,
 )
-from tideline.llm.common import new_folder, slices
+from tideline.llm.common import new_folder
 
 #: The four domains that sources are dealt to by number, and the weights of the mix.
 DOMAINS = ("web", "reference", "forum", "news")
@@ -83,21 +81,12 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     """Ids of every text and of the bytes they decode to."""
     ranks = bpe.load_ranks(public_tokenizers.path(TOKENIZER))
     ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "back"):
-            lists, back = batch.column("ids"), batch.column("back").to_pylist()
-            offsets, values = lists.offsets.to_pylist(), lists.values.to_numpy().view("<u4")
-            parts = [values[i:j].tobytes() for i, j in zip(offsets, offsets[1:])]
-            sha = lambda x: pa.array([hashlib.sha256(b).hexdigest() for b in x])
-            sizes = pa.array([len(p) // 4 for p in parts], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), sizes, sha(parts), sha(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            )
-
-    both = ids.select("doc_id", "ids", bpe.decoded(F.col("ids"), ranks).alias("back"))
-    return both.mapInArrow(digest, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return ids.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2("data", 256).alias("ids_sha256"),
+        F.sha2(bpe.decoded(F.col("ids"), ranks), 256).alias("decoded_sha256"),
+    )
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
