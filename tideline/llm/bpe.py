@@ -141,6 +141,9 @@ def _let(value: Column, body) -> Column:
 def encoded_piece(parts: Column, ranks: dict[bytes, int]) -> Column:
     """The ids of a piece, given as the ids of its bytes between two ``edge(ranks)``; null of null."""
     starts, cells = packed(reached(ranks), edge(ranks) + 1)
+    # A literal's text is in every description of the plan: a cell without a row is null, and none follows the last one with.
+    short = [None if c == EMPTY else c for c in cells]
+    cells = short[: 1 + max((i for i, c in enumerate(short) if c is not None), default=0)]
     # Bound once, so that the plan holds one copy of the map.
     each = lambda s, c: _folded(parts, s, c)
     return _let(_literal(starts, "array<bigint>"), lambda s: _let(_literal(cells, "array<bigint>"), lambda c: each(s, c)))
@@ -150,8 +153,8 @@ def _folded(parts: Column, starts: Column, cells: Column) -> Column:
     rest = F.lit(1 << 30)
 
     def rank(a: Column, b: Column) -> Column:
-        """The rank of the pair, or a number from ``2**BITS`` on if it has none."""
-        return F.get(cells, F.get(starts, a) + b).bitwiseXOR(F.shiftleft(a, BITS))
+        """The rank of the pair, or a number from ``2**BITS`` to ``PART`` if it has none."""
+        return F.coalesce(F.get(cells, F.get(starts, a) + b).bitwiseXOR(F.shiftleft(a, BITS)), F.lit(PART))
 
     def step(state: Column) -> Column:
         def joined(least: Column) -> Column:
@@ -166,7 +169,7 @@ def _folded(parts: Column, starts: Column, cells: Column) -> Column:
         return _let(F.array_min(state), joined)
 
     # Part, rank, part, rank and so on; nothing follows the last edge.
-    ranked = lambda x, i: F.array(x + PART, F.coalesce(rank(x, F.get(parts, i + 1)), F.lit(PART)))
+    ranked = lambda x, i: F.array(x + PART, rank(x, F.get(parts, i + 1)))
     return F.aggregate(
         F.slice(parts, F.lit(4), rest),
         F.flatten(F.transform(parts, ranked)),

@@ -51,6 +51,8 @@ FREQUENT = 1 << 20
 BYTES_PER_SHARD = 16 << 20
 #: Shingles are counted by so many bits of their hash; a clash only affects the order.
 COUNT_BITS = 40
+#: Shingles, and bytes of text, that a task holds while it counts.
+COUNT_CHUNK, COUNT_BYTES = 500_000, 1 << 20
 
 
 def shingle_sets(texts: list[bytes], cache: WordHashes, k: int = WORDS) -> list[np.ndarray]:
@@ -96,11 +98,11 @@ def frequent_shingles(docs: DataFrame, most: int = FREQUENT) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, held, n = WordHashes(), [], 0
-        for batch in slices(batches):
+        for batch in slices(batches, limit=COUNT_BYTES):
             sets = shingle_sets(byte_texts(batch.column("text")), cache)
             held += sets
             n += sum(map(len, sets))
-            if n >= 2_000_000:
+            if n >= COUNT_CHUNK:
                 yield cut(held)
                 held, n = [], 0
         if n:
