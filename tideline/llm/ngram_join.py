@@ -51,6 +51,8 @@ FREQUENT = 1 << 20
 BYTES_PER_SHARD = 16 << 20
 #: Shingles are counted by so many bits of their hash; a clash only affects the order.
 COUNT_BITS = 40
+#: Words whose hashes a task remembers.
+CACHED_WORDS = 50_000
 #: Shingles, and bytes of text, that a task holds while it counts.
 COUNT_CHUNK, COUNT_BYTES = 500_000, 1 << 20
 
@@ -97,7 +99,7 @@ def frequent_shingles(docs: DataFrame, most: int = FREQUENT) -> np.ndarray:
         return pa.RecordBatch.from_arrays([pa.array(own), pa.array(blobs, pa.binary())], ["shard", "hashes"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, held, n = WordHashes(), [], 0
+        cache, held, n = WordHashes(CACHED_WORDS), [], 0
         for batch in slices(batches, limit=COUNT_BYTES):
             sets = shingle_sets(byte_texts(batch.column("text")), cache)
             held += sets
@@ -156,7 +158,7 @@ def digests(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         return out
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, known = WordHashes(), set()
+        cache, known = WordHashes(CACHED_WORDS), set()
         for batch in slices(batches):
             sets = shingle_sets(byte_texts(batch.column("text")), cache)
             flat = keys(np.concatenate(sets)) if sets else np.empty(0, np.uint64)
@@ -285,7 +287,7 @@ def links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     ids = saved(nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc").alias("_id")).select("_id").distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache = WordHashes(CACHED_WORDS)
         for batch in slices(batches):
             found = [s for s in shingle_sets(byte_texts(batch.column("text")), cache) if len(s)]
             node = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in found]
