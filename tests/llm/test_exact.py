@@ -356,6 +356,16 @@ def test_text_of_the_rank_map(spark, ranks):
     assert len(rows._jdf.queryExecution().executedPlan().toString()) < 1_500_000
 
 
+def test_plans_without_constants(spark, docs, ranks):
+    """Neither the rank map nor the pieces of all ids are in a plan's text; each is read once, not copied to rows."""
+    rows = bpe.merged_pieces(spark.createDataFrame([(0, 0, b"abc")], "shard int, i int, piece binary"), ranks)
+    for df, constants in ((rows, ("_starts", "_cells")), (registry.bpe_digests(docs), ("_names",))):
+        execution = df._jdf.queryExecution()
+        assert len(execution.executedPlan().toString()) < 30_000
+        body = execution.optimizedPlan().toString()
+        assert body.count("scalar-subquery") == len(constants) and not any(f" AS {c}#" in body for c in constants)
+
+
 def test_decoding_of_no_piece(spark, ranks):
     """An id above the last one, also the one that fills up inside, raises; null stays null; no id is no byte."""
     column = lambda ids: bpe.decoded(ids, ranks).alias("b")

@@ -13,7 +13,8 @@ Encoding, in four steps:
    distinct piece, one piece a row: the state holds the parts and, between them,
    the rank of every neighbouring pair, each step joins the leftmost pair of the
    lowest rank. The rank map is one constant: rows of right neighbours laid over one
-   another in an array, so that a look-up is one read.
+   another in an array, so that a look-up is one read. It is stored once and read by a
+   subquery, because a literal's text would stand in every description of the plan.
 4. *Restore.* The ids go back to the blocks, the blocks to their slices, and
    each slice puts them in text order. A hot piece counts once a slice.
 
@@ -75,6 +76,18 @@ def _literal(values: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), kind)
 
 
+def _constants(df: DataFrame, **values: pa.Array) -> DataFrame:
+    """``df`` with constant arrays as columns, by subqueries.
+
+    The driver writes a plan's text anew after each stage and keeps it, so no constant
+    should be in it. Spark puts the subquery in the place of a column that is named
+    once afterwards; named twice, it would be copied to every row.
+    """
+    one = {name: pa.ListArray.from_arrays(pa.array([0, len(array)], pa.int32()), array) for name, array in values.items()}
+    stored = saved(df.sparkSession.createDataFrame(pa.table(one)))
+    return df.withColumns({name: stored.select(name).scalar() for name in values})
+
+
 def pair_rows(ranks: dict[bytes, int]) -> dict[int, dict[int, int]]:
     """For each part its right neighbours, and what both join to."""
     rows: dict[int, dict[int, int]] = {}
@@ -138,15 +151,18 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def encoded_piece(parts: Column, ranks: dict[bytes, int]) -> Column:
-    """The ids of a piece, given as the ids of its bytes between two ``edge(ranks)``; null of null."""
+def rank_map(ranks: dict[bytes, int]) -> tuple[pa.Array, pa.Array]:
+    """Starts and cells of :func:`packed`; a cell without a row is null, and none follows the last one with."""
     starts, cells = packed(reached(ranks), edge(ranks) + 1)
-    # A literal's text is in every description of the plan: a cell without a row is null, and none follows the last one with.
     short = [None if c == EMPTY else c for c in cells]
-    cells = short[: 1 + max((i for i, c in enumerate(short) if c is not None), default=0)]
-    # Bound once, so that the plan holds one copy of the map.
+    return pa.array(starts, pa.int64()), pa.array(short[: 1 + max((i for i, c in enumerate(short) if c is not None), default=0)], pa.int64())
+
+
+def encoded_piece(parts: Column, starts: Column, cells: Column) -> Column:
+    """The ids of a piece, given as the ids of its bytes between two ``edge(ranks)``; null of null."""
+    # Bound once, so that the plan names each array once.
     each = lambda s, c: _folded(parts, s, c)
-    return _let(_literal(starts, "array<bigint>"), lambda s: _let(_literal(cells, "array<bigint>"), lambda c: each(s, c)))
+    return _let(starts, lambda s: _let(cells, lambda c: each(s, c)))
 
 
 def _folded(parts: Column, starts: Column, cells: Column) -> Column:
@@ -380,8 +396,9 @@ def merged_pieces(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["shard", "i", "parts", "long", *names])
 
     kinds = ["shard int, i int, parts array<bigint>, long array<bigint>", *(f"{f.name} {f.dataType.simpleString()}" for f in more)]
-    rows = pieces.mapInArrow(spelled, ", ".join(kinds))
-    ids = F.when(F.col("parts").isNull(), F.col("long")).otherwise(encoded_piece(F.col("parts"), ranks))
+    starts, cells = rank_map(ranks)
+    rows = _constants(pieces.mapInArrow(spelled, ", ".join(kinds)), _starts=starts, _cells=cells)
+    ids = F.when(F.col("parts").isNull(), F.col("long")).otherwise(encoded_piece(F.col("parts"), F.col("_starts"), F.col("_cells")))
     return rows.select("shard", "i", ids.cast("array<int>").alias("ids"), *names)
 
 
@@ -488,13 +505,29 @@ def _chunks(parts: Column, size: Column, none: Column, piece: Callable[[Column],
     )
 
 
+def pieces_by_id(ranks: dict[bytes, int]) -> list[bytes | None]:
+    """The piece of every id up to the last one, and an empty one."""
+    pieces: list[bytes | None] = [*[None] * edge(ranks), b""]
+    for piece, rank in ranks.items():
+        pieces[rank] = piece
+    return pieces
+
+
 def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
     """The bytes of an array of ids."""
+    pieces = [None if p is None else base64.b64encode(p).decode() for p in pieces_by_id(ranks)]
+    return _decoded(ids, _literal(pieces, "array<binary>"), edge(ranks))
+
+
+def with_decoded(df: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """``df`` and, as ``decoded``, the bytes of its ``ids``; the same as :func:`decoded` without its literal."""
+    rows = _constants(df, _names=pa.array(pieces_by_id(ranks), pa.binary()))
+    return rows.select(*df.columns, _decoded(F.col("ids"), F.col("_names"), edge(ranks)).alias("decoded"))
+
+
+def _decoded(ids: Column, pieces: Column, last: int) -> Column:
     # An id without a piece gives null, and with it the whole.
-    names: list[str | None] = [None] * edge(ranks)
-    for piece, rank in ranks.items():
-        names[rank] = base64.b64encode(piece).decode()
-    pieces, nothing = F.concat(_literal(names, "array<binary>"), F.array(F.lit(b""))), F.lit(edge(ranks))
+    nothing = F.lit(last)
 
     def joined(pieces: Column) -> Column:
         some = _chunks(ids, F.size(ids), nothing, lambda i: F.get(pieces, i))

@@ -80,12 +80,12 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """Ids of every text and of the bytes they decode to."""
     ranks = bpe.load_ranks(public_tokenizers.path(TOKENIZER))
-    ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    ids = bpe.with_decoded(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
     return ids.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2("data", 256).alias("ids_sha256"),
-        F.sha2(bpe.decoded(F.col("ids"), ranks), 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
