@@ -4,7 +4,7 @@ import pytest
 
 from conftest import to_wide
 from tideline.operators import estimators
-from tideline.operators.pairs import both_triangles, moment_name, pair_moments
+from tideline.operators.pairs import block_count, both_triangles, moment_name, pair_moments
 
 
 def matrix(df, value="cov"):
@@ -164,3 +164,41 @@ def test_sample_cov_of_small_moves_at_a_high_level(spark):
     returns = spark.createDataFrame(rows, "asset string, date date, r double")
     expected = np.cov([k % 3 for k in range(10)]) * 252
     assert abs(sample_cov(returns).first().cov - expected) < 1e-6
+
+
+@pytest.mark.parametrize("n_blocks", [1, 3, 40])
+def test_sample_covariance_of_gappy_series(spark, n_blocks):
+    """Series that share all, some, one or no day, in several blocks and groups; each series is centred by itself."""
+    rng = np.random.default_rng(3)
+    rows = [(k, f"a{a:02d}", n, 1e6 + float(rng.normal())) for k in (None, 1) for a in range(12) for n in range(40 * (a % 3), 500) if a < 6 or rng.random() < 0.3]
+    rows += [(1, "late", 499, 5.0), (1, "late", 500, 7.0), (1, "apart", 900, 1.0), (1, "apart", 901, 2.0)]
+    got = estimators.sample_cov(spark.createDataFrame(rows, "k int, asset string, n int, r double"), ("k",), n_blocks=n_blocks).collect()
+    found = {(r.k, r.i, r.j): r.cov for r in got}
+    assert len(found) == len(got)
+    series = {}
+    for k, a, n, r in rows:
+        series.setdefault((k, a), {})[n] = r
+    expected = {}
+    for (k, i), x in series.items():
+        for (other, j), y in series.items():
+            days = sorted(x.keys() & y.keys())
+            if k == other and days:
+                expected[k, i, j] = np.cov([x[d] for d in days], [y[d] for d in days])[0, 1] * 252 if len(days) > 1 else None
+    assert found.keys() == expected.keys()
+    for pair, cov in expected.items():
+        assert found[pair] == (None if cov is None else pytest.approx(cov, rel=1e-6, abs=1e-6)), pair
+        assert found[pair] == found[pair[0], pair[2], pair[1]]
+
+
+def test_pairs_leave_python_as_matrices(spark):
+    """Rows of Python hold many pairs each; before, every pair was a row with two names and four sums."""
+    rows = [(f"a{a}", n, float((a * n) % 7)) for a in range(60) for n in range(30)]
+    cov = estimators.sample_cov(spark.createDataFrame(rows, "asset string, n int, r double"), n_blocks=3)
+    plan = cov._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("MapInArrow" in line and "values#" in line for line in plan)
+    assert not any("Window" in line for line in plan)
+    assert cov.count() == 3600 and cov.select("i", "j").distinct().count() == 3600
+
+
+def test_block_count():
+    assert [block_count(n) for n in (0, 5, 1_000, 6_000, 60_000)] == [1, 1, 7, 16, 59]

@@ -11,6 +11,15 @@ def simple_return(now: Column, before: Column) -> Column:
     return F.try_divide(now, before) - 1
 
 
+def half_up(x: Column, digits: int = 0) -> Column:
+    """``round(x, digits)`` to the same double, without decimal arithmetic unless the value is large or near a tie."""
+    scaled = x * 10.0**digits
+    near = F.rint(scaled)
+    clear = (F.abs(scaled) < 1e9) & (F.abs(scaled - near) < 0.4999)
+    # Adding zero makes -0.0 the 0.0 that round() gives.
+    return F.when(clear, near / F.lit(10.0**digits) + F.lit(0.0)).otherwise(F.round(x, digits))
+
+
 def unbiased_skewness(x: Column, over=None) -> Column:
     """Bias-corrected skewness (needs three values).
 

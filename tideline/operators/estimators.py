@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.calendar import business_ordinal, period_end, period_number
 from tideline.functions.stats import span_decay
-from tideline.operators.pairs import both_triangles, moment_name, pair_moments
+from tideline.operators.pairs import both_triangles, moment_name, pair_estimates, pair_moments
 from tideline.operators.panel import between_years, complete_cases, with_day
 
 FREQUENCY = 252
@@ -37,6 +37,16 @@ def _until(returns: DataFrame, as_of: str | None) -> DataFrame:
     return returns if as_of is None else returns.where(F.col("date") <= F.lit(as_of).cast("date"))
 
 
+def _sample_estimate(frequency: int) -> Callable:
+    """Sample covariance from the sums of a block pair; there is none from a single day."""
+
+    def estimate(sums):
+        n, x, y, xy = (sums[p] for p in ((0, 0), (1, 0), (0, 1), (1, 1)))
+        return (xy - x * y / n) / (n - 1) * frequency, n < 2
+
+    return estimate
+
+
 def sample_cov(
     returns: DataFrame, keys: Sequence[str] = (), frequency: int = FREQUENCY, n_blocks: int | None = None
 ) -> DataFrame:
@@ -45,12 +55,9 @@ def sample_cov(
     Each series is centred by its own mean first, so that the sums of products
     keep their digits whatever the level of the values.
     """
-    level = F.avg("r").over(Window.partitionBy(*keys, "asset"))
-    centred = with_day(returns).withColumn("r", F.col("r") - level)
-    sums = pair_moments(centred, _COV_POWERS, keys=keys, n_blocks=n_blocks)
-    n, x, y, xy = (F.col(moment_name(*p)) for p in _COV_POWERS)
-    cov = F.when(n >= 2, (xy - x * y / n) / (n - 1) * frequency)
-    return both_triangles(sums, _COV_POWERS, keys).select(*keys, "i", "j", cov.alias("cov"))
+    estimate = _sample_estimate(frequency)
+    cov = pair_estimates(with_day(returns), _COV_POWERS, estimate, keys=keys, n_blocks=n_blocks, centred=True)
+    return cov.withColumnRenamed("value", "cov")
 
 
 def period_cov(
