@@ -201,4 +201,4 @@ def test_pairs_leave_python_as_matrices(spark):
 
 
 def test_block_count():
-    assert [block_count(n) for n in (0, 5, 1_000, 6_000, 60_000)] == [1, 1, 7, 8, 59]
+    assert [block_count(n) for n in (0, 5, 1_000, 6_000, 60_000)] == [1, 1, 7, 12, 118]

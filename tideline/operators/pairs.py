@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK_ASSETS = 1024
+BLOCK_ASSETS = 512
 #: Smaller panels are dealt into so many blocks, if these are not smaller than the second figure.
 LEAST_BLOCKS, LEAST_ASSETS = 8, 128
 CHUNK_DAYS = 366
+#: Blocks of either side that a task meets, about.
+SIDE_BLOCKS = 2
 #: Pairs in a row that leaves Python, about.
 SLAB_CELLS = 8192
 
@@ -214,8 +216,8 @@ def _pairs(
     block = [T.StructField("blk", T.IntegerType()), T.StructField("names", strings), *blobs]
     blocks = packets.groupBy(*keys, "blk").applyInArrow(_packing(keys, centred), T.StructType(fields + block))
     # The join reads a side again for each part of the other, so both are one shuffle after the packing. Python
-    # is given all pairs of a task at once, up to 64 MB, so parts of one block each keep the executors small.
-    left = blocks.repartition(n_blocks)
+    # is given all pairs of a task at once, up to 64 MB, so parts of few blocks keep the executors small.
+    left = blocks.repartition(-(-n_blocks // SIDE_BLOCKS))
     right = left.select(*(F.col(c).alias(f"{c}_r") for c in blocks.columns))
     # Round a circle every block meets the half that follows it, so that all have as many partners.
     ahead = F.pmod(F.col("blk_r") - F.col("blk"), F.lit(n_blocks))
